@@ -170,3 +170,51 @@ def groups(batches, key: str):
             held.append(batch.slice(a, b - a))
     if held:
         yield current, pa.Table.from_batches(held)
+
+
+#: Bytes of a filter of keys: a fixed bound, whatever the number of keys. With more than about
+#: 8 * FILTER_BYTES of them it thins out less; what passes is always joined exactly.
+FILTER_BYTES = 1 << 22
+
+
+def _slots(batches):
+    """A filter's set bits, by 64 kB segments; a task sends a segment once."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        slot = mix(batch.column(0).to_numpy(zero_copy_only=False).view(U64)) % U64(8 * FILTER_BYTES)
+        for segment in np.unique(slot >> U64(19)).tolist():
+            bits = held.setdefault(segment, np.zeros(1 << 19, bool))
+            bits[(slot[slot >> U64(19) == segment] & U64((1 << 19) - 1)).astype(np.int64)] = True
+    for segment, bits in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["segment", "bits"])
+
+
+def _either(batches):
+    for segment, table in groups(batches, "segment"):
+        out = np.zeros(1 << 16, np.uint8)
+        for x in table.column("bits").to_pylist():
+            out |= np.frombuffer(x, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["segment", "bits"])
+
+
+def key_filter(keys: DataFrame):
+    """A broadcast of FILTER_BYTES over the long keys of a one-column frame."""
+    spark = keys.sparkSession
+    bits = keys.mapInArrow(_slots, "segment int, bits binary").repartition(partitions(spark), "segment").sortWithinPartitions("segment").mapInArrow(_either, "segment int, bits binary")
+    bound = np.zeros(FILTER_BYTES, np.uint8)
+    for r in bits.collect():  # FILTER_BYTES at most
+        bound[r.segment << 16 : (r.segment + 1) << 16] = np.frombuffer(r.bits, np.uint8)
+    return spark.sparkContext.broadcast(bound.tobytes())
+
+
+def passing(df: DataFrame, key: str, held, want: bool = True) -> DataFrame:
+    """Rows of df whose key may be in the filter (or, for want=False, surely is not)."""
+    at = df.columns.index(key)
+
+    def run(batches):
+        filtered = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            slot = mix(batch.column(at).to_numpy(zero_copy_only=False).view(U64)) % U64(8 * FILTER_BYTES)
+            yield batch.filter(pa.array(((filtered[(slot >> U64(3)).astype(np.int64)] >> (7 - (slot & U64(7)).astype(np.uint8))) & 1 == 1) == want))
+
+    return df.mapInArrow(run, df.schema)

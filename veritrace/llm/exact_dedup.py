@@ -19,11 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, groups, partitions, stash, text_or_empty
+from .common import U64, groups, key_filter, partitions, passing, stash, text_or_empty
 
-#: Bytes of the filter of suspect slots: a fixed bound, whatever the size of the corpus. Beyond
-#: 8 * FILTER_BYTES suspects it thins out less; results stay the same.
-FILTER_BYTES = 1 << 22
 #: Salts over which the rows of one text are spread when they look up their group.
 SALTS = 16
 
@@ -98,26 +95,6 @@ def _suspects(owners: int):
     return run
 
 
-def _slots(batches):
-    """The filter's set bits, by 64 kB segments; a task sends a segment once."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        slot = batch.column(0).to_numpy(zero_copy_only=False).view(U64) % U64(8 * FILTER_BYTES)
-        for segment in np.unique(slot >> U64(19)).tolist():
-            bits = held.setdefault(segment, np.zeros(1 << 19, bool))
-            bits[(slot[slot >> U64(19) == segment] & U64((1 << 19) - 1)).astype(np.int64)] = True
-    for segment, bits in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["segment", "bits"])
-
-
-def _either(batches):
-    for segment, table in groups(batches, "segment"):
-        out = np.zeros(1 << 16, np.uint8)
-        for x in table.column("bits").to_pylist():
-            out |= np.frombuffer(x, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["segment", "bits"])
-
-
 def suspect_hashes(hashes: DataFrame) -> DataFrame:
     """hashes: one column h (long). Returns the distinct values that occur more than once."""
     owners = partitions(hashes.sparkSession)
@@ -137,22 +114,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the kept row are kept = true each (they carry the same id). Empty tables give no rows; columns
     beside id and text are ignored.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     suspects = stash(suspect_hashes(base.select("h")))
-    bits = suspects.mapInArrow(_slots, "segment int, bits binary").repartition(partitions(spark), "segment").sortWithinPartitions("segment").mapInArrow(_either, "segment int, bits binary")
-    bound = np.zeros(FILTER_BYTES, np.uint8)
-    for r in bits.collect():  # FILTER_BYTES at most
-        bound[r.segment << 16 : (r.segment + 1) << 16] = np.frombuffer(r.bits, np.uint8)
-    held = spark.sparkContext.broadcast(bound.tobytes())
-
-    def may(batches):
-        filtered = np.frombuffer(held.value, np.uint8)
-        for batch in batches:
-            slot = batch.column(0).to_numpy(zero_copy_only=False).view(U64) % U64(8 * FILTER_BYTES)
-            yield batch.filter(pa.array((filtered[(slot >> U64(3)).astype(np.int64)] >> (7 - (slot & U64(7)).astype(np.uint8))) & 1 == 1))
-
-    texts = base.select("h", "text", "id").mapInArrow(may, "h long, text string, id long")
+    texts = passing(base.select("h", "text", "id"), "h", key_filter(suspects))
     # Texts meet by their bytes: the grouping key is the text itself, combined in each task first.
     equal = texts.groupBy("h", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     equal = equal.select("h", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

@@ -117,14 +117,18 @@ class Network:
         return logits
 
     def probabilities(self, bytes_: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
-        """(positions, segments, languages)."""
+        """(languages, positions, segments)."""
         h = self.ahead.h
         ahead = self.ahead.forward(bytes_, mask)
         back = self.back.forward(bytes_[::-1], None if mask is None else mask[::-1])[::-1]
         logits = ahead.reshape(-1, h) @ self.out[:h]
         logits += (back @ self.out[h:]).reshape(logits.shape)
         logits += self.bias
-        return self._softmax(logits).reshape(*bytes_.shape, -1)
+        p = np.ascontiguousarray(logits.T)
+        p -= p.max(0)
+        np.exp(p, out=p)
+        p /= p.sum(0)
+        return p.reshape(-1, *bytes_.shape)
 
     def train(self, bytes_: np.ndarray, mask: np.ndarray, labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 2) -> None:
         """bytes_, mask: (segments, positions); labels: (segments,). Adam; the rate falls to 0."""
@@ -179,7 +183,7 @@ def pooled(network: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
             x = np.ascontiguousarray(view[begin[pick], :longest].T)
             mask = None if full else (np.arange(longest)[:, None] < length[pick]).astype(np.float32)[..., None]
             p = network.probabilities(x, mask)
-            np.add.at(total, text[pick], (p if full else p * mask).sum(0))
+            np.add.at(total, text[pick], (p if full else p * mask[..., 0]).sum(1).T)
     return total / np.maximum(np.diff(offsets), 1)[:, None]
 
 
