@@ -218,3 +218,13 @@ def passing(df: DataFrame, key: str, held, want: bool = True) -> DataFrame:
             yield batch.filter(pa.array(((filtered[(slot >> U64(3)).astype(np.int64)] >> (7 - (slot & U64(7)).astype(np.uint8))) & 1 == 1) == want))
 
     return df.mapInArrow(run, df.schema)
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not in ids (one column of that name). Only rows that a fixed-size
+    filter cannot clear are joined, so the others' texts are not shuffled. Rows without a key stay."""
+    gone = stash(ids.where(F.col(key).isNotNull()).distinct())
+    held = key_filter(gone.select(F.xxhash64(F.col(key).cast("long"))))
+    marked = df.withColumn("_slot", F.xxhash64(F.col(key).cast("long")))
+    clear = passing(marked, "_slot", held, want=False)
+    return clear.union(passing(marked, "_slot", held).join(gone, key, "left_anti").select(marked.columns)).drop("_slot")

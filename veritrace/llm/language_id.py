@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import buffers, chunks
 
@@ -236,8 +237,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", network: Network | None = None) -> DataFrame:
-    """One row per row of docs: (id, held_out, lang_pred, score).
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", network: Network | None = None, carry: bool = False) -> DataFrame:
+    """One row per row of docs: (id, held_out, lang_pred, score), and with carry the row itself as a struct.
 
     Learned from text and lang of rows that are not held out and have both; only the text decides a
     prediction. A text that is null, empty or without a letter is `und` with score 0, and so are all
@@ -248,5 +249,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     if network is None:
         network = fit(docs.where(~held_out(id_col)), F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(_label(network), "doc_id long, held_out boolean, lang_pred string, score double").withColumnRenamed("doc_id", id_col)
+    own = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), *own, F.coalesce(text, F.lit("")).alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    schema = T.StructType([*rows.schema.fields[:-2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_label(network), schema).withColumnRenamed("doc_id", id_col)
