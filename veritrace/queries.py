@@ -1,4 +1,324 @@
-"""All queries over the synthetic tables and their SQL."""
+"""All queries over the synthetic tables, each with its SQL for DuckDB.
+
+Stand-ins: orders are requirements, line items plan rows (label by return flag, complete when the
+status is O), events evidence and usage, documents and conversations texts, labels assessments.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .functions import terms
+from .functions.text import acronyms, matched_terms, natural_key, percent_sql, signals
+from .operators import consensus as agree
+from .operators import diff, linking, metrics, ordering, usage
+from .plans import coverage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _requirements(spark, d):
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("requirement_id"), F.col("o_orderpriority").alias("category"), "o_orderstatus")
+
+
+def _tests(spark, d):
+    label = F.when(F.col("l_returnflag") == "R", "covered").when(F.col("l_returnflag") == "A", "Partially Covered").otherwise("uncovered")
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("requirement_id"), label.alias("label"), (F.col("l_linestatus") == "O").alias("complete"))
+
+
+def _evidence(spark, d):
+    return _t(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("requirement_id"))
+
+
+def _report(spark, d):
+    return coverage.report(_requirements(spark, d), _tests(spark, d), _evidence(spark, d))
+
+
+_LABELLED = """
+WITH per AS (SELECT l_orderkey AS requirement_id, count(*) AS n_rows,
+    count(*) FILTER (l_linestatus = 'O' AND l_returnflag IN ('R', 'A')) AS n_complete,
+    count(*) FILTER (l_linestatus = 'O' AND l_returnflag = 'R') AS n_covered FROM lineitem GROUP BY 1),
+doubt AS (SELECT DISTINCT event_id AS requirement_id, true AS ambiguous FROM events WHERE event_type = 'error'),
+j AS (SELECT o_orderkey AS requirement_id, o_orderpriority AS category, coalesce(n_rows, 0) AS n_rows, coalesce(n_complete, 0) AS n_complete, coalesce(n_covered, 0) AS n_covered, coalesce(ambiguous, false) AS ambiguous
+    FROM orders LEFT JOIN per ON o_orderkey = per.requirement_id LEFT JOIN doubt ON o_orderkey = doubt.requirement_id),
+labelled AS (SELECT *, CASE WHEN n_rows = 0 OR n_complete = 0 THEN CASE WHEN ambiguous THEN 'Ambiguous / not yet plannable' ELSE 'Uncovered' END
+    WHEN n_complete = n_rows AND NOT ambiguous AND n_covered = n_complete THEN 'Covered' ELSE 'Partially covered' END AS verified_status FROM j)
+"""
+
+
+def _rate_sql(source: str, hit: str, before: str = "") -> str:
+    return f"{before} SELECT count(*) AS total, count(*) FILTER ({hit}) AS matched, {percent_sql(f'count(*) FILTER ({hit})', 'count(*)')} AS percentage FROM {source}"
+
+
+@query(_rate_sql("orders", "o_orderkey IN (SELECT l_orderkey FROM lineitem)"))
+def mapping_coverage(spark, d):
+    return metrics.rate(metrics.flagged(_requirements(spark, d), _tests(spark, d), "requirement_id"), F.col("hit"))
+
+
+@query("SELECT o_orderkey AS requirement_id, o_orderpriority AS category FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def unmapped_requirements(spark, d):
+    return linking.unmapped(_requirements(spark, d), _tests(spark, d), "requirement_id", "requirement_id").select("requirement_id", "category")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+def orphan_items(spark, d):
+    spec = _requirements(spark, d).where("o_orderstatus <> 'P'")
+    return linking.unmapped(_t(spark, d, "lineitem"), spec, "l_orderkey", "requirement_id").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(_rate_sql("lineitem", "l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"))
+def orphan_rate(spark, d):
+    return metrics.rate(metrics.flagged(_tests(spark, d), _requirements(spark, d).where("o_orderstatus <> 'P'"), "requirement_id"), ~F.col("hit"))
+
+
+@query(_LABELLED + "SELECT requirement_id, category, n_rows, n_complete, n_covered, ambiguous, verified_status FROM labelled")
+def status_classifier(spark, d):
+    return linking.verify(_requirements(spark, d), _tests(spark, d), _evidence(spark, d)).select("requirement_id", "category", "n_rows", "n_complete", "n_covered", "ambiguous", "verified_status")
+
+
+@query(_LABELLED + "SELECT verified_status AS status, count(*) AS n FROM labelled GROUP BY 1")
+def status_counts(spark, d):
+    return _report(spark, d)["status"]
+
+
+@query(_LABELLED + f"SELECT count(*) AS total, sum(CASE verified_status WHEN 'Covered' THEN 1.0 WHEN 'Partially covered' THEN 0.5 ELSE 0 END)::double AS score, {percent_sql('sum(CASE verified_status WHEN $$Covered$$ THEN 2 WHEN $$Partially covered$$ THEN 1 ELSE 0 END)', 'count(*) * 2')} AS percentage FROM labelled")
+def weighted_coverage(spark, d):
+    return _report(spark, d)["weighted"]
+
+
+@query(_LABELLED + "SELECT requirement_id, category, verified_status, ambiguous FROM labelled WHERE verified_status <> 'Covered'")
+def gap_report(spark, d):
+    return _report(spark, d)["gaps"].select("requirement_id", "category", "verified_status", "ambiguous")
+
+
+@query(_rate_sql("labelled", "verified_status LIKE 'Ambig%' OR (verified_status = 'Uncovered' AND ambiguous)", _LABELLED))
+def ambiguity_uncovered(spark, d):
+    return _report(spark, d)["ambiguous"]
+
+
+@query(_rate_sql("labelled WHERE n_rows > 0", "verified_status IN ('Covered', 'Partially covered')", _LABELLED))
+def testability_headline(spark, d):
+    return _report(spark, d)["testability"]
+
+
+@query("SELECT o_orderkey AS requirement_id, coalesce(string_agg(l_linenumber::varchar || ':' || l_partkey::varchar, ',' ORDER BY l_linenumber, l_partkey, l_suppkey), '') AS tests FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def links_by_requirement(spark, d):
+    nested = linking.nest(_t(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], ["l_linenumber", "l_partkey"], "tests")
+    out = _requirements(spark, d).join(nested, F.col("requirement_id") == F.col("l_orderkey"), "left")
+    return out.select("requirement_id", F.coalesce(F.array_join(F.transform("tests", lambda t: F.concat_ws(":", t["l_linenumber"], t["l_partkey"])), ","), F.lit("")).alias("tests"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_ids(spark, d):
+    rows = _t(spark, d, "lineitem").withColumn("id", F.struct("l_orderkey", "l_linenumber"))
+    return linking.duplicate_ids(rows, "id").select("id.l_orderkey", "id.l_linenumber", "n")
+
+
+@query("""SELECT event_id, CASE WHEN n = 1 THEN base ELSE base || '_DUP' || n END AS unique_id FROM
+(SELECT event_id, user_id::varchar AS base, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)""")
+def dup_suffix(spark, d):
+    return ordering.suffixed(_t(spark, d, "events"), "user_id", ["event_id"]).select("event_id", "unique_id")
+
+
+@query("""SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_custkey ORDER BY lower(o_orderpriority), o_orderkey) - 1) // 4 + 1)::int AS part,
+ceil(count(*) OVER (PARTITION BY o_custkey) / 4.0)::int AS parts FROM orders""")
+def category_batches(spark, d):
+    return ordering.category_batches(_t(spark, d, "orders"), "o_custkey", "o_orderpriority", ["o_orderkey"], 4).select("o_orderkey", "part", "parts")
+
+
+@query("SELECT min(doc_id) AS doc_id, lower(text) AS key_text FROM documents GROUP BY lower(text)")
+def first_seen_dedup(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", "text")
+    return ordering.first_seen(rows, F.lower("text"), ["doc_id"]).select("doc_id", F.lower("text").alias("key_text"))
+
+
+@query("SELECT doc_id, 'REQ_' || source || '_' || lpad(n::varchar, greatest(3, length(n::varchar))::int, '0') AS new_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
+def section_sequence_ids(spark, d):
+    return ordering.section_ids(_t(spark, d, "documents").select("doc_id", "source"), "source", ["doc_id"]).select("doc_id", "new_id")
+
+
+@query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn::varchar END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'Unknown') AS section FROM conversations")
+def carry_forward_section(spark, d):
+    value = F.when(F.col("role") == "user", F.col("turn").cast("string"))
+    return ordering.carried(_t(spark, d, "conversations"), value, ["conv_id"], ["turn"], "section").select("conv_id", "turn", "section")
+
+
+@query("""WITH m AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS chunk FROM conversations)
+SELECT conv_id, chunk::bigint AS chunk, count(*) AS n_rows, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS text_md5 FROM m WHERE chunk > 0 GROUP BY 1, 2""")
+def semantic_chunks(spark, d):
+    out = ordering.chunks(_t(spark, d, "conversations"), F.col("role") == "user", ["conv_id"], ["turn"], "text")
+    return out.select("conv_id", "chunk", "n_rows", F.md5("text").alias("text_md5"))
+
+
+_LINT = ["the", "and", "for", "with", "that"]
+_LINT_SQL = " || ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_]){t}($|[^a-z0-9_])') THEN '{t},' ELSE '' END" for t in sorted(_LINT, key=lambda t: (-len(t), t)))
+
+
+@query(f"SELECT doc_id, {_LINT_SQL} AS terms FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+def term_lint(spark, d):
+    docs = _t(spark, d, "documents").where(r"lang = 'en' and not text rlike '[^\\x00-\\x7f]'")
+    return docs.select("doc_id", F.array_join(F.transform(matched_terms(F.col("text"), _LINT), lambda t: F.concat(t, F.lit(","))), "").alias("terms"))
+
+
+def _found_sql(pattern: str, where: str = "") -> str:
+    return f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{pattern}'))), ',') AS found FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7f]')"
+
+
+def _ascii(spark, d):
+    return _t(spark, d, "documents").where(r"lang = 'en' and not text rlike '[^\\x00-\\x7f]'")
+
+
+@query(_found_sql(r"\b[A-Z]{2,10}\b"))
+def acronym_list(spark, d):
+    return _ascii(spark, d).select("doc_id", F.array_join(acronyms(F.col("text"), []), ",").alias("found"))
+
+
+@query(_found_sql(r"\b[A-Z][A-Z0-9_]{2,}\b"))
+def signal_list(spark, d):
+    return _ascii(spark, d).select("doc_id", F.array_join(signals(F.col("text")), ",").alias("found"))
+
+
+@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+(\\.[0-9]+)?'), ',') AS found FROM documents WHERE lang = 'en'")
+def number_extract(spark, d):
+    return _t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"[0-9]+(\.[0-9]+)?"), F.lit(0)), ",").alias("found"))
+
+
+@query(f"""WITH c AS (SELECT l_partkey, l_quantity, count(*) FILTER (l_linestatus = 'O') AS a, count(*) FILTER (l_linestatus = 'F') AS e FROM lineitem GROUP BY 1, 2),
+t AS (SELECT sum(least(a, e))::bigint AS common, sum(a)::bigint AS actual, sum(e)::bigint AS expected FROM c)
+SELECT common, actual, expected, {percent_sql('common * 2', 'actual + expected')} AS f1 FROM t""")
+def multiset_f1(spark, d):
+    rows = _t(spark, d, "lineitem")
+    return metrics.multiset_f1(rows.where("l_linestatus = 'O'"), rows.where("l_linestatus = 'F'"), ["l_partkey", "l_quantity"])
+
+
+def _versions(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "text", "source")
+    return docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+
+
+@query("""WITH h AS (SELECT doc_id, substr(sha1(lower(trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\s*-\\s*', '-', 'g'), '\\s+', ' ', 'g')))), 1, 12) AS h FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY h, doc_id % 2 ORDER BY doc_id) AS k FROM h)
+SELECT a.doc_id AS old_pos, b.doc_id AS new_pos FROM r a JOIN r b ON a.h = b.h AND a.k = b.k AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1""")
+def exact_pairing(spark, d):
+    old, new = _versions(spark, d)
+    return diff.exact_pairs(old, new, "text", "doc_id").select("old_pos", "new_pos")
+
+
+@query("""WITH c AS (SELECT n_name AS old_name, s_suppkey % 7 AS shift, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+o AS (SELECT s_suppkey, s_name || ' in ' || n_name AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 <> 0),
+n AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name || '  IN ' || n_name ELSE s_name || ' at ' || n_name END AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 <> 0)
+SELECT coalesce(o.s_suppkey, n.s_suppkey) AS s_suppkey, CASE WHEN o.text IS NULL THEN 'added' WHEN n.text IS NULL THEN 'removed' ELSE 'modified' END AS change
+FROM o FULL JOIN n ON o.s_suppkey = n.s_suppkey WHERE o.text IS NULL OR n.text IS NULL OR lower(regexp_replace(o.text, '\\s+', ' ', 'g')) <> lower(regexp_replace(n.text, '\\s+', ' ', 'g'))""")
+def full_outer_diff(spark, d):
+    rows = _t(spark, d, "supplier").join(_t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    old = rows.where("s_suppkey % 5 <> 0").select("s_suppkey", F.concat("s_name", F.lit(" in "), "n_name").alias("text"))
+    new = rows.where("s_suppkey % 4 <> 0").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.concat("s_name", F.lit("  IN "), "n_name")).otherwise(F.concat("s_name", F.lit(" at "), "n_name")).alias("text"))
+    return diff.by_key(old, new, "s_suppkey", "text").select("s_suppkey", "change")
+
+
+@query()
+def similar_changes(spark, d):
+    """Similar pairs of two versions' part descriptions, matched one to one, with the kind of change."""
+    rows = _t(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type", F.lit("size"), "p_size").alias("text"))
+    old, new = rows.where("p_partkey % 40 = 0"), rows.where("p_partkey % 40 = 1")
+    pairs = diff.scored(diff.candidates(old, new, "text", "p_partkey"), old, new, "text", "p_partkey", terms.MATCH_LIMITS["requirement"])
+    out = diff.one_to_one(pairs)
+    return out.withColumn("change", diff.wording_class("old_text", "new_text")).select("old_pos", "new_pos", "similarity", "change")
+
+
+@query("""WITH p AS (SELECT l_shipdate::date - o_orderdate::date AS delta, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT delta::int AS "offset", n FROM p WHERE n >= 3 ORDER BY n DESC, delta LIMIT 1""")
+def page_offset_mode(spark, d):
+    pairs = _t(spark, d, "orders").join(_t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    epoch = F.to_date(F.lit("1970-01-01"))
+    pairs = pairs.select(F.datediff(F.to_date("o_orderdate"), epoch).alias("old_page"), F.datediff(F.to_date("l_shipdate"), epoch).alias("new_page"))
+    return ordering.most_common_offset(pairs, "old_page", "new_page")
+
+
+@query("""WITH per AS (SELECT event_type, (event_id // 50) AS page, user_id, max(value) AS best FROM events GROUP BY 1, 2, 3)
+SELECT event_type, page, count(*) AS votes, max(best) AS value FROM per GROUP BY 1, 2 HAVING count(*) >= 4""")
+def consensus_votes(spark, d):
+    rows = _t(spark, d, "events").withColumn("page", F.floor(F.col("event_id") / 50).cast("bigint")).select("event_id", "user_id", "event_type", "page", "value")
+    none = F.lit(None).cast("bigint")
+    key = agree.finding_key(F.col("page"), F.lit("a"), none, F.lit("b"), F.col("event_type"))
+    return agree.consensus(rows, key, "user_id", F.col("value"), ["event_id"], 4).select("event_type", "page", "votes", "value")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') THEN 2 ELSE 3 END AS priority FROM orders")
+def priorities(spark, d):
+    return usage.prioritise(_t(spark, d, "orders"), "o_orderpriority", ["1-URGENT"], ["2-HIGH", "3-MEDIUM"]).select("o_orderkey", "priority")
+
+
+def _usage(spark, d):
+    models = F.array(*[F.lit(m) for m, _, _ in terms.MODEL_PRICES], F.lit("unknown"))
+    tokens = F.get_json_object("props", "$.k").cast("bigint")
+    return _t(spark, d, "events").select(F.col("event_type").alias("agent"), F.get(models, (F.col("user_id") % 7).cast("int")).alias("model"), tokens.alias("tin"), (tokens * 3).alias("tout"))
+
+
+_USAGE = "WITH u AS (SELECT event_type AS agent, [" + ", ".join(f"'{m}'" for m, _, _ in terms.MODEL_PRICES) + ", 'unknown'][user_id % 7 + 1] AS model, (props->>'$.k')::bigint AS tin, (props->>'$.k')::bigint * 3 AS tout FROM events), prices(model, pin, pout) AS (VALUES " + ", ".join(f"('{m}', {i}, {o})" for m, i, o in terms.MODEL_PRICES) + ")"
+
+
+@query(_USAGE + " SELECT agent, model, sum(tin)::bigint AS prompt_tokens, sum(tout)::bigint AS completion_tokens, sum(tin + tout)::bigint AS total_tokens, round(sum(coalesce(tin * pin + tout * pout, 0))::double / 1e6, 8) AS cost FROM u LEFT JOIN prices USING (model) GROUP BY 1, 2")
+def usage_by_agent(spark, d):
+    out = usage.totals(usage.priced(_usage(spark, d), "model", "tin", "tout"), ["agent", "model"], "tin", "tout")
+    return out.withColumn("cost", F.round(F.col("cost").cast("double"), 8))
+
+
+@query("SELECT event_type, user_id % 10 AS area, count(*) AS n, grouping(event_type) * 2 + grouping(user_id % 10) AS level FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 10), ())")
+def grouped_change_summary(spark, d):
+    rows = _t(spark, d, "events").withColumn("area", F.col("user_id") % 10)
+    return rows.groupingSets([["event_type"], ["area"], []], "event_type", "area").agg(F.count("*").alias("n"), F.grouping_id("event_type", "area").alias("level"))
+
+
+@query("SELECT source, row_number() OVER (ORDER BY regexp_extract(source, '^([^0-9]*)', 1), regexp_extract(source, '([0-9]+)', 1)::bigint, source)::int AS place FROM (SELECT DISTINCT source FROM documents)")
+def natural_sort_chapters(spark, d):
+    from pyspark.sql import Window
+
+    rows = _t(spark, d, "documents").select("source").distinct()
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(natural_key(F.col("source")))))
+
+
+@query("SELECT o_orderkey FROM orders WHERE contains(lower(o_orderkey::varchar || '|' || o_orderstatus || '|' || o_orderpriority), '7|o|1-urg')")
+def record_search(spark, d):
+    row = F.lower(F.concat_ws("|", "o_orderkey", "o_orderstatus", "o_orderpriority"))
+    return _t(spark, d, "orders").where(row.contains("7|o|1-urg")).select("o_orderkey")
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NULL THEN 'not_mapped' WHEN quality = 1 THEN 'suitable_detail' ELSE 'unclear' END AS label FROM documents LEFT JOIN labels USING (doc_id)")
+def assessment_defaults(spark, d):
+    reqs = _t(spark, d, "documents").select(F.col("doc_id").alias("requirement_id"))
+    found = _t(spark, d, "labels").select(F.col("doc_id").alias("requirement_id"), F.when(F.col("quality") == 1, "suitable_detail").otherwise("not_mapped").alias("label"), F.lit(0).alias("pos"))
+    return linking.assess(reqs, found, found, "label").select(F.col("requirement_id").alias("doc_id"), "label")
+
+
+@query(f"SELECT count(*) AS n, (count(text) + count(lang) + count(nullif(trim(source), '')))::bigint AS filled, {percent_sql('count(text) + count(lang) + count(source)', 'count(*) * 3')} AS percentage FROM documents")
+def field_completeness(spark, d):
+    return metrics.field_completeness(_t(spark, d, "documents"), ["text", "lang", "source"])
+
+
+@query("SELECT DISTINCT unnest(range(greatest(p_size - 2, 1)::bigint, p_size + 3)) AS page FROM part")
+def chunk_page_ranges(spark, d):
+    rows = _t(spark, d, "part").select((F.col("p_size") - 2).cast("bigint").alias("a"), (F.col("p_size") + 2).cast("bigint").alias("b"))
+    return metrics.covered_pages(rows, "a", "b")
+
+
+@query("SELECT l_orderkey % 1000 AS item, bool_or(l_partkey % 50 = 0) AS resolved FROM lineitem GROUP BY 1")
+def trace_resolution(spark, d):
+    items = _t(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 1000).alias("item")).agg(F.collect_set("l_partkey").alias("values"))
+    known = _t(spark, d, "part").where("p_partkey % 50 = 0").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"))
+    return linking.resolve_traces(items, known).select("item", "resolved")
