@@ -228,3 +228,23 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     marked = df.withColumn("_slot", F.xxhash64(F.col(key).cast("long")))
     clear = passing(marked, "_slot", held, want=False)
     return clear.union(passing(marked, "_slot", held).join(gone, key, "left_anti").select(marked.columns)).drop("_slot")
+
+
+def whole_groups(batches, key: str):
+    """Tables of complete runs of equal keys, from batches sorted by it: many small groups at once."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        turn = np.flatnonzero(keys[1:] != keys[:-1])
+        cut = int(turn[-1]) + 1 if len(turn) else 0
+        if held and not cut and held[-1].column(held[-1].schema.get_field_index(key))[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -8,8 +8,9 @@ which many documents have. Two sets of similarity t share at least t times the s
 * The boundary is the largest size at which the subsets cost no more than the scans; sets up to
   1/t of it post both, so that a small and a large set meet in the subsets.
 
-Every pair of similar sets meets in some list. A first round checks each list's neighbours in size
-order, which joins most groups of copies; the lists whose members then still lie in two components
+Every pair of similar sets meets in some list. A first round checks each list's members against one
+of them, the set that meets most others in all its lists (of a group of near copies, the one most
+like the rest); this joins most groups. The lists whose members then still lie in two components
 are scanned for all pairs across components that sizes and positions allow. Pairs inside a
 component are never made. Equal sets are one representative throughout.
 """
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, buffers, chunks, groups, key_filter, mix, partitions, passing, runs, stash, text_or_empty
+from .common import U64, Words, buffers, chunks, groups, key_filter, mix, partitions, passing, runs, stash, text_or_empty, whole_groups
 from .components import components
 from .substring_dedup import normalised
 
@@ -32,7 +33,9 @@ SHINGLE, NUM, DEN = 5, 75, 100
 #: Cells of the table of document counts (a byte each when sent out), in 16 segments.
 CELLS = 1 << 22
 FINE = 8
-POSTINGS = 1 << 19
+POSTINGS = 1 << 18
+#: Bytes of text, and documents, that a task works on at once.
+CHUNK, DOCS = 1 << 20, 250
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -70,7 +73,7 @@ def _sets(batches):
     counts = np.zeros(CELLS, np.uint32)
     met: set[tuple[int, int]] = set()
     some = False
-    for table in chunks(batches):
+    for table in chunks(batches, limit=CHUNK):
         data, offsets = buffers(table.column("text"))
         h, first, words = shingle_sets(_LOWER[data], offsets)
         buffer, starts, ends = normalised(words)
@@ -134,8 +137,8 @@ def boundary(length: float) -> int:
     return size
 
 
-_LIST = "kind int, sig long, uid long, size int, pos int"
-_LIST_ARROW = pa.schema([("kind", pa.int32()), ("sig", pa.int64()), ("uid", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
+_LIST = "sig long, uid long, size int, pos int, length int"
+_LIST_ARROW = pa.schema([("sig", pa.int64()), ("uid", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("length", pa.int32())])
 
 
 def _post(buckets: int, ranks, limit: int):
@@ -162,8 +165,8 @@ def _post(buckets: int, ranks, limit: int):
 
         total = 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a in range(0, batch.num_rows, DOCS):
+                part = batch.slice(a, DOCS)
                 texts = [unpack.decompress(x) for x in part.column("words").to_pylist()]
                 uids = part.column("uid").to_numpy()
                 h, first, _ = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
@@ -192,7 +195,7 @@ def _post(buckets: int, ranks, limit: int):
 
 
 def _lists(batches):
-    """Lists with two members or more (kind 0), and their neighbours in size order (kind 1)."""
+    """The lists with two members or more."""
     unpack = zstandard.ZstdDecompressor()
     for bucket, table in groups(batches, "bucket"):
         parts = []
@@ -214,38 +217,50 @@ def _lists(batches):
         many = np.zeros(len(sig), bool)
         many[near] = many[near + 1] = True
         key = (sig.astype(np.int64) << 20) | int(bucket)
+        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        length = np.repeat(np.diff(np.append(begin, len(sig))), np.diff(np.append(begin, len(sig))))
         for a in range(0, int(many.sum()), 100_000):
             own = np.flatnonzero(many)[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int32)), pa.array(key[own]), pa.array(uid[own]), pa.array(size[own]), pa.array(pos[own], pa.int32())], schema=_LIST_ARROW)
-        near = near[size[near].astype(np.int64) * DEN >= size[near + 1].astype(np.int64) * NUM]
-        pairs = np.unique(np.stack([np.minimum(uid[near], uid[near + 1]), np.maximum(uid[near], uid[near + 1])], 1), axis=0)
-        for a in range(0, len(pairs), 100_000):
-            p = pairs[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(p), np.int32)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int32()), pa.nulls(len(p), pa.int32())], schema=_LIST_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(uid[own]), pa.array(size[own]), pa.array(pos[own], pa.int32()), pa.array(length[own], pa.int32())], schema=_LIST_ARROW)
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+
+
+def _star(batches):
+    """Of each list, the member that meets most others in all its lists, paired with the rest."""
+    for table in whole_groups(batches, "sig"):
+        sig, uid, size, met = (table.column(c).to_numpy() for c in ("sig", "uid", "size", "met"))
+        order = np.lexsort((uid, -met, sig))
+        sig, uid, size = sig[order], uid[order], size[order].astype(np.int64)
+        head = np.concatenate([[True], sig[1:] != sig[:-1]])
+        hub = np.flatnonzero(head)[np.cumsum(head) - 1]
+        own = ~head & (np.minimum(size, size[hub]) * DEN >= np.maximum(size, size[hub]) * NUM)
+        if own.any():
+            yield _pairs(uid[own], uid[hub][own])
 
 
 def _cross(batches):
     """Pairs of a list across components that sizes and prefix positions allow."""
-    for _, table in groups(batches, "sig"):
-        uid, size, pos, comp = (table.column(c).to_numpy() for c in ("uid", "size", "pos", "component"))
-        order = np.lexsort((uid, size))
-        uid, size, pos, comp = uid[order], size[order].astype(np.int64), pos[order].astype(np.int64), comp[order]
-        out = []
-        stop = np.searchsorted(size, size * DEN // NUM, "right")
-        for i in range(len(uid) - 1):
-            j = np.arange(i + 1, int(stop[i]))
-            j = j[comp[j] != comp[i]]
-            if pos[i] >= 0:  # both lie at these places: what comes before and after bounds the overlap
-                most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1
-                j = j[(NUM + DEN) * most >= NUM * (size[i] + size[j])]
-            if len(j):
-                out.append(np.stack([np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j])], 1))
-            if len(out) > 2000:
-                p, out = np.concatenate(out), []
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["x", "y"])
-        if out:
-            p = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["x", "y"])
+    for table in whole_groups(batches, "sig"):
+        sig, uid, size, pos, comp = (table.column(c).to_numpy() for c in ("sig", "uid", "size", "pos", "component"))
+        order = np.lexsort((uid, size, sig))
+        sig, uid, size, pos, comp = sig[order], uid[order], size[order].astype(np.int64), pos[order].astype(np.int64), comp[order]
+        i, step = np.arange(len(sig)), 0
+        while len(i):  # each member against the one `step` places on, as long as sizes allow
+            step += 1
+            i = i[: np.searchsorted(i, len(sig) - step)]
+            i = i[(sig[i] == sig[i + step]) & (size[i] * DEN >= size[i + step] * NUM)]
+            x = i[comp[i] != comp[i + step]]
+            y = x + step
+            # Similar sets share `least` at least, so one within the first size - least + 1 of both;
+            # and of a shared one, what lies before and after in both bounds what they share.
+            least = -(-NUM * (size[x] + size[y]) // (NUM + DEN))
+            most = np.minimum(pos[x], pos[y]) + np.minimum(size[x] - pos[x], size[y] - pos[y])
+            ok = (pos[x] < 0) | ((pos[x] <= size[x] - least) & (pos[y] <= size[y] - least) & (most >= least))
+            if ok.any():
+                yield _pairs(uid[x[ok]], uid[y[ok]])
 
 
 def _verify(batches):
@@ -279,7 +294,7 @@ def _verify(batches):
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs: (x, y), distinct; texts: (uid, words). The pairs that are similar, as (u, v)."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("uid")).distinct()
+    ids = pairs.select(F.col("x").alias("uid")).union(pairs.select("y")).distinct()
     own = passing(texts, "uid", key_filter(ids))
     left = pairs.join(own.select(F.col("uid").alias("x"), F.col("words").alias("words_x")), "x")
     return left.join(own.select(F.col("uid").alias("y"), F.col("words").alias("words_y")), "y").select("x", "y", "words_x", "words_y").mapInArrow(_verify, "u long, v long")
@@ -311,10 +326,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = passing(light, "uid", held, want=False).union(passing(light, "uid", held).join(extra, "uid", "left_anti"))
     posted = texts.mapInArrow(_post(n * FINE, spark.sparkContext.broadcast(ranks.tobytes()), boundary(length)), "bucket int, blob binary")
     lists = stash(posted.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket").mapInArrow(_lists, _LIST))
-    tried = stash(lists.where("kind = 1").select(F.col("sig").alias("x"), F.col("uid").alias("y")).distinct())
+    met = lists.groupBy("uid").agg(F.sum("length").alias("met"))
+    stars = lists.select("sig", "uid", "size").join(met, "uid").repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_star, "x long, y long")
+    tried = stash(stars.distinct())
     first = stash(similar(tried, light))
     joined = components(first)
-    members = lists.where("kind = 0").select("sig", "uid", "size", "pos").join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    members = lists.drop("length").join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     split = members.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
     across = members.join(split, "sig", "left_semi").repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_cross, "x long, y long").distinct()
     across = stash(across.join(tried, ["x", "y"], "left_anti"))
