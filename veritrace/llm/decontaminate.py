@@ -19,7 +19,7 @@ from .common import U64, Words, buffers, chunks, mix, runs, text_or_empty
 
 #: Words of a window; literal words that a window needs to say anything; share of an item's windows
 #: that a document must hold.
-K, LITERAL, COVERAGE = 8, 5, 0.5
+K, LITERAL, COVERAGE = 8, 4, 0.5
 #: Windows of the benchmark up to which their sorted hashes are sent to all tasks (8 bytes each);
 #: beyond it, a fixed-size filter goes out instead and Spark joins what passes.
 SENT_WINDOWS = 1 << 20
