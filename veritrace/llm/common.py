@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -38,6 +39,31 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch. A row may be short or long, so a count of rows bounds nothing; a batch
+#: is held by the JVM, on its way, and by Python at once, for each core of an executor.
+BATCH_BYTES = 8 << 20
+
+
+def tidy(run):
+    """run, after which the allocators return to the system what they hold: Python workers live on."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+
+    return tidied
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of at most about BATCH_BYTES (or one row)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(tidy(run), schema)
+
+
 def partitions(spark: SparkSession) -> int:
     """What the cluster deals its shuffles out to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -200,7 +226,7 @@ def _either(batches):
 def key_filter(keys: DataFrame):
     """A broadcast of FILTER_BYTES over the long keys of a one-column frame."""
     spark = keys.sparkSession
-    bits = keys.mapInArrow(_slots, "segment int, bits binary").repartition(partitions(spark), "segment").sortWithinPartitions("segment").mapInArrow(_either, "segment int, bits binary")
+    bits = keys.transform(in_arrow, _slots, "segment int, bits binary").repartition(partitions(spark), "segment").sortWithinPartitions("segment").transform(in_arrow, _either, "segment int, bits binary")
     bound = np.zeros(FILTER_BYTES, np.uint8)
     for r in bits.collect():  # FILTER_BYTES at most
         bound[r.segment << 16 : (r.segment + 1) << 16] = np.frombuffer(r.bits, np.uint8)
@@ -217,7 +243,7 @@ def passing(df: DataFrame, key: str, held, want: bool = True) -> DataFrame:
             slot = mix(batch.column(at).to_numpy(zero_copy_only=False).view(U64)) % U64(8 * FILTER_BYTES)
             yield batch.filter(pa.array(((filtered[(slot >> U64(3)).astype(np.int64)] >> (7 - (slot & U64(7)).astype(np.uint8))) & 1 == 1) == want))
 
-    return df.mapInArrow(run, df.schema)
+    return df.transform(in_arrow, run, df.schema)
 
 
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, buffers, chunks, mix, runs, text_or_empty
+from .common import U64, Words, buffers, chunks, in_arrow, mix, runs, text_or_empty
 
 #: Words of a window; literal words that a window needs to say anything; share of an item's windows
 #: that a document must hold.
@@ -140,7 +140,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_or_empty(text_col)).alias("mark"), text_or_empty(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_or_empty(item_text_col).alias("text"))
-    windows = items.mapInArrow(_item_windows, "item_id long, item_pos int, h long, k int, item_slots array<long>").dropDuplicates(["item_id", "item_pos", "h"])
+    windows = items.transform(in_arrow, _item_windows, "item_id long, item_pos int, h long, k int, item_slots array<long>").dropDuplicates(["item_id", "item_pos", "h"])
     lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())
     known = windows.select("h").distinct()
     if (n := known.count()) <= SENT_WINDOWS:
@@ -159,7 +159,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             slot = np.mod(h.view(np.int64), 8 * FILTER_BYTES)
             return (np.frombuffer(held.value, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
-    found = base.mapInArrow(_find(lengths, passes), "doc_id long, mark int, h long, doc_slots array<long>")
+    found = base.transform(in_arrow, _find(lengths, passes), "doc_id long, mark int, h long, doc_slots array<long>")
     side = windows.select("item_id", "item_pos", "h", "item_slots")
     hits = found.join(F.broadcast(side) if n <= SENT_WINDOWS // 8 else side, "h")
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("of"), F.col("doc_slots").alias("to")), lambda p: (p["of"] != 0) | (p["to"] != 0))

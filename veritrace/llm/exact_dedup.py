@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, groups, key_filter, partitions, passing, stash, text_or_empty
+from .common import U64, groups, in_arrow, key_filter, partitions, passing, stash, text_or_empty
 
 #: Salts over which the rows of one text are spread when they look up their group.
 SALTS = 16
@@ -98,10 +98,10 @@ def _suspects(owners: int):
 def suspect_hashes(hashes: DataFrame) -> DataFrame:
     """hashes: one column h (long). Returns the distinct values that occur more than once."""
     owners = partitions(hashes.sparkSession)
-    sent = stash(hashes.mapInArrow(_send(owners), _SENT))
-    answers = sent.repartitionById(owners, F.col("owner")).sortWithinPartitions("owner").mapInArrow(_own, "owner int, sender long, bitmap binary")
+    sent = stash(hashes.transform(in_arrow, _send(owners), _SENT))
+    answers = sent.repartitionById(owners, F.col("owner")).sortWithinPartitions("owner").transform(in_arrow, _own, "owner int, sender long, bitmap binary")
     joined = sent.join(answers.hint("shuffle_hash"), ["owner", "sender"])
-    return joined.select("owner", "n", "k", "unary", "rest", "bitmap").mapInArrow(_suspects(owners), "h long").distinct()
+    return joined.select("owner", "n", "k", "unary", "rest", "bitmap").transform(in_arrow, _suspects(owners), "h long").distinct()
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

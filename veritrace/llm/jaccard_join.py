@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, buffers, chunks, groups, key_filter, mix, partitions, passing, runs, stash, text_or_empty, whole_groups
+from .common import U64, Words, buffers, chunks, groups, in_arrow, key_filter, mix, partitions, passing, runs, stash, text_or_empty, whole_groups
 from .components import components
 from .substring_dedup import normalised
 
@@ -113,8 +113,8 @@ def _ranks(sets: DataFrame) -> tuple[np.ndarray, float]:
     """Of each cell, the whole binary logarithm of its count; and the mean list length of the rarer half."""
     n = partitions(sets.sparkSession)
     rows = sets.where("segment is not null").select((F.col("segment") * 64 + F.pmod("uid", F.lit(64))).cast("int").alias("key"), "counts")
-    rows = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sum_counts, "key int, counts binary")
-    rows = rows.select((F.col("key") / 64).cast("int").alias("key"), "counts").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sum_counts, "key int, counts binary")
+    rows = rows.repartition(n, "key").sortWithinPartitions("key").transform(in_arrow, _sum_counts, "key int, counts binary")
+    rows = rows.select((F.col("key") / 64).cast("int").alias("key"), "counts").repartition(n, "key").sortWithinPartitions("key").transform(in_arrow, _sum_counts, "key int, counts binary")
     counts = np.zeros(CELLS, np.uint32)
     for r in rows.toLocalIterator():
         counts[r["key"] * (CELLS // 16) : (r["key"] + 1) * (CELLS // 16)] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["counts"]), np.uint32)
@@ -297,7 +297,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     ids = pairs.select(F.col("x").alias("uid")).union(pairs.select("y")).distinct()
     own = passing(texts, "uid", key_filter(ids))
     left = pairs.join(own.select(F.col("uid").alias("x"), F.col("words").alias("words_x")), "x")
-    return left.join(own.select(F.col("uid").alias("y"), F.col("words").alias("words_y")), "y").select("x", "y", "words_x", "words_y").mapInArrow(_verify, "u long, v long")
+    return left.join(own.select(F.col("uid").alias("y"), F.col("words").alias("words_y")), "y").select("x", "y", "words_x", "words_y").transform(in_arrow, _verify, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,7 +314,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = partitions(spark)
     text = text_or_empty(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
-    sets = stash(base.select("uid", "doc_id", "text").mapInArrow(_sets, _SETS))
+    sets = stash(base.select("uid", "doc_id", "text").transform(in_arrow, _sets, _SETS))
     ranks, length = _ranks(sets)
     rows = sets.where("segment is null")
     leads = rows.where("words is not null")
@@ -324,16 +324,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = key_filter(extra)
     light = leads.select("uid", "words")
     texts = passing(light, "uid", held, want=False).union(passing(light, "uid", held).join(extra, "uid", "left_anti"))
-    posted = texts.mapInArrow(_post(n * FINE, spark.sparkContext.broadcast(ranks.tobytes()), boundary(length)), "bucket int, blob binary")
-    lists = stash(posted.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket").mapInArrow(_lists, _LIST))
+    posted = texts.transform(in_arrow, _post(n * FINE, spark.sparkContext.broadcast(ranks.tobytes()), boundary(length)), "bucket int, blob binary")
+    lists = stash(posted.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket").transform(in_arrow, _lists, _LIST))
     met = lists.groupBy("uid").agg(F.sum("length").alias("met"))
-    stars = lists.select("sig", "uid", "size").join(met, "uid").repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_star, "x long, y long")
+    stars = lists.select("sig", "uid", "size").join(met, "uid").repartition(n, "sig").sortWithinPartitions("sig").transform(in_arrow, _star, "x long, y long")
     tried = stash(stars.distinct())
     first = stash(similar(tried, light))
     joined = components(first)
     members = lists.drop("length").join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     split = members.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    across = members.join(split, "sig", "left_semi").repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_cross, "x long, y long").distinct()
+    across = members.join(split, "sig", "left_semi").repartition(n, "sig").sortWithinPartitions("sig").transform(in_arrow, _cross, "x long, y long").distinct()
     across = stash(across.join(tried, ["x", "y"], "left_anti"))
     links = first.union(similar(across, light))
     node = components(links)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, chunks
+from .common import buffers, chunks, in_arrow
 
 #: Bytes of a segment, hidden units of a direction.
 SEGMENT, HIDDEN = 128, 8
@@ -211,10 +211,15 @@ def fit(docs: DataFrame, text: Column, label: Column, sample_docs: int = SAMPLE_
     return network
 
 
-def _label(network: Network | None):
+def _label(network: Network | None, inside: str | None):
+    """inside: the text's field of the carried row, which then has no column of its own."""
+
+    def texts(batch):
+        return batch.append_column("text", batch.column("row").field(inside)) if inside else batch
+
     def run(batches):
         names = np.array([*(network.languages if network else []), "und"], object)
-        for table in chunks(batches):
+        for table in chunks(map(texts, batches)):
             data, offsets = buffers(table.column("text"))
             clear = table.column("letters").to_numpy().astype(bool)
             if network:
@@ -225,9 +230,10 @@ def _label(network: Network | None):
                 clear &= False
                 best, score = np.zeros(len(clear), int), np.zeros(len(clear))
             best = np.where(clear, best, len(names) - 1)
-            out = [table.column(i) for i in range(table.num_columns - 2)]
+            kept = [x for x in table.column_names if x not in ("letters", "text")]
+            out = [table.column(x) for x in kept]
             fields = [*out, pa.chunked_array([pa.array(names[best], pa.string())]), pa.chunked_array([pa.array(np.where(clear, score, 0.0))])]
-            yield from pa.Table.from_arrays(fields, names=[*table.column_names[:-2], "lang_pred", "score"]).to_batches()
+            yield from pa.Table.from_arrays(fields, names=[*kept, "lang_pred", "score"]).to_batches()
 
     return run
 
@@ -250,6 +256,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         network = fit(docs.where(~held_out(id_col)), F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
     text = F.col(text_col).cast("string")
     own = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), *own, F.coalesce(text, F.lit("")).alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    schema = T.StructType([*rows.schema.fields[:-2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_label(network), schema).withColumnRenamed("doc_id", id_col)
+    inside = text_col if carry and isinstance(docs.schema[text_col].dataType, T.StringType) else None
+    body = [] if inside else [F.coalesce(text, F.lit("")).alias("text")]
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), *own).schema.fields
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), *own, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), *body)
+    schema = T.StructType([*out, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.transform(in_arrow, _label(network, inside), schema).withColumnRenamed("doc_id", id_col)

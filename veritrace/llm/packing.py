@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stash, text_or_empty
+from .common import in_arrow, partitions, stash, text_or_empty
 
 LENGTH = 1024
 OPEN = 32
@@ -186,6 +186,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """
     path, ranks = path or tokenizer_path(), ranks or tokenizer_path("byte_bpe_50k.tiktoken")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    placed = stash(base.mapInArrow(_pack(path, ranks), _ROW))
-    left = placed.where("rest is not null").repartition(partitions(docs.sparkSession), "rest").mapInArrow(_merge, _ROW)
+    placed = stash(base.transform(in_arrow, _pack(path, ranks), _ROW))
+    left = placed.where("rest is not null").repartition(partitions(docs.sparkSession), "rest").transform(in_arrow, _merge, _ROW)
     return placed.where("rest is null").union(left).drop("rest").withColumnRenamed("doc_id", id_col)

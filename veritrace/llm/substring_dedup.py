@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, buffers, chunks, groups, long_runs, mix, partitions, runs, text_or_empty
+from .common import U64, Words, buffers, chunks, groups, in_arrow, long_runs, mix, partitions, runs, text_or_empty
 
 #: Words of a window, and of the m-mers whose smallest hash is its minimiser.
 WINDOW, MINIMISER = 35, 6
@@ -196,9 +196,9 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
     """docs: doc_id long, mark int, text string. Spans of words (first, last exclusive; they may
     overlap) of each document that repeated windows cover; mark comes along as given."""
     n = partitions(docs.sparkSession)
-    sent = docs.select("doc_id", "mark", "text").mapInArrow(_send(n * FINE, k, m), _ROW)
+    sent = docs.select("doc_id", "mark", "text").transform(in_arrow, _send(n * FINE, k, m), _ROW)
     there = sent.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
-    return there.mapInArrow(_count(k), _ROW).select("doc_id", "mark", "first", "last")
+    return there.transform(in_arrow, _count(k), _ROW).select("doc_id", "mark", "first", "last")
 
 
 def _remove(batches):
@@ -240,5 +240,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = by_doc.select(F.col("doc_id").alias("to_id"), F.col("mark").alias("to_mark"), "spans")
     joined = base.join(held, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("mark") == F.col("to_mark")), "left")
     none = F.array().cast("array<struct<first:int,last:int>>")
-    out = joined.select("doc_id", "text", F.coalesce("spans", none).alias("spans")).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    out = joined.select("doc_id", "text", F.coalesce("spans", none).alias("spans")).transform(in_arrow, _remove, "doc_id long, n_words long, n_removed long, kept_text string")
     return out.withColumnRenamed("doc_id", id_col)
