@@ -141,6 +141,16 @@ _LIST = "sig long, uid long, size int, pos int, length int"
 _LIST_ARROW = pa.schema([("sig", pa.int64()), ("uid", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("length", pa.int32())])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by byte plane, so that planes of zeros compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unplane(raw: bytes, dtype, n: int, at: int) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(dtype).ravel()
+
+
 def _post(buckets: int, ranks, limit: int):
     """Signatures of each set, packed by bucket."""
 
@@ -159,8 +169,9 @@ def _post(buckets: int, ranks, limit: int):
             blobs = []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 who, first, index = np.unique(uid[a:b], return_index=True, return_inverse=True)
-                head = np.array([b - a, len(who)], np.int32)
-                blobs.append(pack.compress(b"".join(x.tobytes() for x in (head, who, size[a:b][first], index.astype(np.int32), sig[a:b], pos[a:b].astype(np.int32)))))
+                head = np.array([b - a, len(who)], np.int32).tobytes()
+                body = (np.diff(who, prepend=0), size[a:b][first], np.diff(index, prepend=0).astype(np.int32), pos[a:b].astype(np.int32))
+                blobs.append(pack.compress(head + sig[a:b].tobytes() + b"".join(map(_planes, body))))
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         total = 0
@@ -202,9 +213,10 @@ def _lists(batches):
         for blob in table.column("blob").to_pylist():
             raw = unpack.decompress(blob)
             n, m = np.frombuffer(raw, np.int32, 2).tolist()
-            who, size = np.frombuffer(raw, np.int64, m, 8), np.frombuffer(raw, np.int32, m, 8 + 8 * m)
-            index = np.frombuffer(raw, np.int32, n, 8 + 12 * m)
-            parts.append((np.frombuffer(raw, np.uint32, n, 8 + 12 * m + 4 * n), who[index], size[index], np.frombuffer(raw, np.int32, n, 8 + 12 * m + 8 * n)))
+            at = 8 + 4 * n
+            who, size = np.cumsum(_unplane(raw, np.int64, m, at)), _unplane(raw, np.int32, m, at + 8 * m)
+            index = np.cumsum(_unplane(raw, np.int32, n, at + 12 * m))
+            parts.append((np.frombuffer(raw, np.uint32, n, 8), who[index], size[index], _unplane(raw, np.int32, n, at + 12 * m + 4 * n)))
         sig, uid, size, pos = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((uid, size, sig))
         sig, uid, size, pos = sig[order], uid[order], size[order], pos[order]
@@ -228,15 +240,26 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
 
 
+def _possible(size_x: np.ndarray, pos_x: np.ndarray, size_y: np.ndarray, pos_y: np.ndarray) -> np.ndarray:
+    """Which pairs of a list's members may be met here, by sizes and places (below 0: a subset's list).
+
+    Similar sets share `least` at least, so one within the first size - least + 1 of both: in that
+    one's list, if not in this, they are met. Of a shared one, what lies before and after in both
+    bounds what they share."""
+    least = -(-NUM * (size_x + size_y) // (NUM + DEN))
+    most = np.minimum(pos_x, pos_y) + np.minimum(size_x - pos_x, size_y - pos_y)
+    return (pos_x < 0) | ((pos_x <= size_x - least) & (pos_y <= size_y - least) & (most >= least))
+
+
 def _star(batches):
     """Of each list, the member that meets most others in all its lists, paired with the rest."""
     for table in whole_groups(batches, "sig"):
-        sig, uid, size, met = (table.column(c).to_numpy() for c in ("sig", "uid", "size", "met"))
+        sig, uid, size, pos, met = (table.column(c).to_numpy() for c in ("sig", "uid", "size", "pos", "met"))
         order = np.lexsort((uid, -met, sig))
-        sig, uid, size = sig[order], uid[order], size[order].astype(np.int64)
+        sig, uid, size, pos = sig[order], uid[order], size[order].astype(np.int64), pos[order].astype(np.int64)
         head = np.concatenate([[True], sig[1:] != sig[:-1]])
         hub = np.flatnonzero(head)[np.cumsum(head) - 1]
-        own = ~head & (np.minimum(size, size[hub]) * DEN >= np.maximum(size, size[hub]) * NUM)
+        own = ~head & (np.minimum(size, size[hub]) * DEN >= np.maximum(size, size[hub]) * NUM) & _possible(size, pos, size[hub], pos[hub])
         if own.any():
             yield _pairs(uid[own], uid[hub][own])
 
@@ -254,11 +277,7 @@ def _cross(batches):
             i = i[(sig[i] == sig[i + step]) & (size[i] * DEN >= size[i + step] * NUM)]
             x = i[comp[i] != comp[i + step]]
             y = x + step
-            # Similar sets share `least` at least, so one within the first size - least + 1 of both;
-            # and of a shared one, what lies before and after in both bounds what they share.
-            least = -(-NUM * (size[x] + size[y]) // (NUM + DEN))
-            most = np.minimum(pos[x], pos[y]) + np.minimum(size[x] - pos[x], size[y] - pos[y])
-            ok = (pos[x] < 0) | ((pos[x] <= size[x] - least) & (pos[y] <= size[y] - least) & (most >= least))
+            ok = _possible(size[x], pos[x], size[y], pos[y])
             if ok.any():
                 yield _pairs(uid[x[ok]], uid[y[ok]])
 
@@ -307,13 +326,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     have a Jaccard similarity of 0.75 or more, compared in integers; a text of one to four words is
     one shingle. component_id is the smallest id that links reach. Null, empty and blank texts have
     no shingle and link with nothing: their component is their own id. Rows that agree in id and
-    text are one node; rows without an id link like others but give no component id. Empty tables
+    text link like any equal texts; rows without an id link like others but give no component id. Empty tables
     give no rows; further columns are ignored. Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     text = text_or_empty(text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
+    # A row's number is fixed by the first table written. Numbers of a task lie close together, so lists of them compress.
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("uid", F.monotonically_increasing_id())
     sets = stash(base.select("uid", "doc_id", "text").transform(in_arrow, _sets, _SETS))
     ranks, length = _ranks(sets)
     rows = sets.where("segment is null")
@@ -327,7 +347,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     posted = texts.transform(in_arrow, _post(n * FINE, spark.sparkContext.broadcast(ranks.tobytes()), boundary(length)), "bucket int, blob binary")
     lists = stash(posted.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket").transform(in_arrow, _lists, _LIST))
     met = lists.groupBy("uid").agg(F.sum("length").alias("met"))
-    stars = lists.select("sig", "uid", "size").join(met, "uid").repartition(n, "sig").sortWithinPartitions("sig").transform(in_arrow, _star, "x long, y long")
+    stars = lists.select("sig", "uid", "size", "pos").join(met, "uid").repartition(n, "sig").sortWithinPartitions("sig").transform(in_arrow, _star, "x long, y long")
     tried = stash(stars.distinct())
     first = stash(similar(tried, light))
     joined = components(first)
