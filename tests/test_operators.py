@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,32 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write_csv(spark.createDataFrame([(1, ["a", "b"])], "i int, l array<string>"), str(tmp_path / "out"), ["i", "l", "missing"], single=True)
     text = next((tmp_path / "out").glob("*.csv")).read_text()
     assert text.splitlines() == ["i,l,missing", '1,"a, b",']
+
+
+def test_similar_changes_reads_every_part(spark):
+    import difflib
+
+    from veritrace.queries import similar_changes
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.p_partkey: f"{r.p_name} {r.p_brand} {r.p_type} size {r.p_size}" for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    words = {i: [w for w in dict.fromkeys(re.findall("[a-z0-9_]+", t.lower())) if len(w) >= 3 and w not in terms.COMMON_TOKENS] for i, t in rows.items()}
+    pairs = []
+    for a in (i for i in rows if i % 2 == 0):
+        shared = sorted((-len(set(words[a]) & set(words[b])), b) for b in rows if b % 2)
+        for rank, (score, b) in enumerate(shared[: terms.CANDIDATES]):
+            ratio = round(difflib.SequenceMatcher(None, rows[a].lower(), rows[b].lower()).ratio(), 4)
+            if score and ratio >= terms.MATCH_LIMITS["requirement"]:
+                pairs.append((-ratio, a, rank, b))
+    want, used = set(), set()
+    for ratio, a, _, b in sorted(pairs):
+        if ("old", a) not in used and ("new", b) not in used:
+            used |= {("old", a), ("new", b)}
+            want.add((a, b, -ratio))
+    assert {(r.old_pos, r.new_pos, r.similarity) for r in similar_changes(spark, sf).collect()} == want
+
+
+def test_one_to_one_has_no_last_round(spark):
+    chain = [(i, i + d, 0, 1, 1 - (2 * i + d) / 1000, "", "") for i in range(60) for d in (0, 1)]
+    pairs = spark.createDataFrame(chain, "old_pos long, new_pos long, token_score long, rank int, similarity double, old_text string, new_text string")
+    assert diff.one_to_one(pairs.withColumn("similarity", 1 - F.col("similarity"))).count() == 60

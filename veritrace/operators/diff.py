@@ -26,11 +26,19 @@ def exact_pairs(old: DataFrame, new: DataFrame, text: str, pos: str) -> DataFram
 
 
 def candidates(old: DataFrame, new: DataFrame, text: str, pos: str) -> DataFrame:
-    """Pairs that share tokens, by how many; each old record's best. (old_pos, new_pos, token_score)"""
-    side = lambda df, p: df.select(F.col(pos).alias(p), F.explode(F.slice(significant_tokens(F.col(text), terms.COMMON_TOKENS), 1, terms.TOKENS_USED)).alias("token"))
-    score = side(old, "old_pos").join(side(new, "new_pos"), "token").groupBy("old_pos", "new_pos").agg(F.count("*").alias("token_score"))
-    w = Window.partitionBy("old_pos").orderBy(F.desc("token_score"), "new_pos")
-    return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= terms.CANDIDATES)
+    """Pairs that share tokens, by how many; each old record's best. (old_pos, new_pos, token_score)
+
+    Records of equal token sets have equal scores, so sets are compared, not records: of a new set
+    only its first records can be among the best, and those are the same for all records of an old one.
+    """
+    tokens = F.array_sort(F.slice(significant_tokens(F.col(text), terms.COMMON_TOKENS), 1, terms.TOKENS_USED))
+    a, b = old.select(F.col(pos).alias("old_pos"), tokens.alias("old_set")), new.select(F.col(pos).alias("new_pos"), tokens.alias("new_set"))
+    first = b.withColumn("place", F.row_number().over(Window.partitionBy("new_set").orderBy("new_pos"))).where(F.col("place") <= terms.CANDIDATES)
+    side = lambda df, s: df.select(s).distinct().select(s, F.explode(s).alias("token"))
+    score = side(a, "old_set").join(side(b, "new_set"), "token").groupBy("old_set", "new_set").agg(F.count("*").alias("token_score"))
+    w = Window.partitionBy("old_set").orderBy(F.desc("token_score"), "new_pos")
+    best = score.join(first, "new_set").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= terms.CANDIDATES)
+    return a.join(best, "old_set").select("old_pos", "new_pos", "token_score", "rank")
 
 
 def scored(pairs: DataFrame, old: DataFrame, new: DataFrame, text: str, pos: str, limit: float) -> DataFrame:
@@ -45,20 +53,21 @@ def scored(pairs: DataFrame, old: DataFrame, new: DataFrame, text: str, pos: str
     return out.where(F.col("similarity") >= limit).select("old_pos", "new_pos", "token_score", "rank", "similarity", "old_text", "new_text")
 
 
-def one_to_one(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def one_to_one(pairs: DataFrame) -> DataFrame:
     """Greedy matching by similarity, then order: in each round the pairs that are best for both
-    sides match, which in the end is what taking pairs one by one from the best gives."""
+    sides match, which in the end is what taking pairs one by one from the best gives. The best pair
+    of all that are left always matches, so rounds go on until none is left."""
     order = [F.desc("similarity"), F.asc("old_pos"), F.asc("rank"), F.asc("new_pos")]
     context = pairs.sparkSession.sparkContext
     if not pairs.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir("/tmp/veritrace-checkpoints")  # only a session without a cluster's folder
     left, done = pairs.checkpoint(), None
-    for _ in range(rounds):
+    while True:
         best = left.withColumn("_o", F.row_number().over(Window.partitionBy("old_pos").orderBy(*order))).withColumn("_n", F.row_number().over(Window.partitionBy("new_pos").orderBy(*order)))
         now = best.where("_o = 1 and _n = 1").drop("_o", "_n").checkpoint()
         if now.isEmpty():
             break
-        done = now if done is None else done.union(now)
+        done = now if done is None else done.unionByName(now)  # joins move their key to the front
         left = left.join(now.select("old_pos"), "old_pos", "left_anti").join(now.select("new_pos"), "new_pos", "left_anti").checkpoint()
     return done if done is not None else pairs.limit(0)
 
