@@ -193,6 +193,15 @@ def test_decontamination(spark):
     assert (1, 1) in got and got.get((2, 1)) is False and not {d for d, _ in got} & {3, 4, 5, 6}
 
 
+def test_decontamination_per_occurrence(spark):
+    text = "Tom buys {} kg of apples for {} dollars and eats {} of them before dinner with {} today"
+    leak, variant, mixed = text.format(3, 12, 3, "Anna"), text.format(7, 40, 7, "Berta"), text.format(7, 40, 9, "Berta")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    rows = [(1, f"Some words. {leak}. Then more. {variant}."), (2, f"{variant}. {variant.replace('7', '8')}. {mixed}"), (3, f"{mixed}. Then {mixed}"), (4, f"{leak} {mixed} of apples for 99 dollars and eats 3 of them before")]
+    got = {r.doc_id: r.exact for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: True, 2: False, 4: True}
+
+
 def test_html():
     page = "<html><head><title>T</title></head><body class=has-sidebar><nav><a href=x>Home</a></nav><div class='ad'>Buy.</div><article><h1>A &amp; B</h1><p>First, a  para\ngraph.<br><p>Second <b>one</b>.<script>no()</script></article><div id=comments><p>Nice, very nice.</p></div><footer>&copy; F.</footer></body>"
     assert html_extract.main_text(page) == "A & B\n\nFirst, a para graph.\n\nSecond one."

@@ -3,13 +3,16 @@
 Words lose their outer punctuation and case; numbers, units after a number, and names (capitalised
 inside a sentence) become typed placeholders whose values are kept aside as slots. Windows of K
 template words of the benchmark are joined to those of the documents by hash. An item is found in
-a document when enough of its windows are, and when its slots map to the document's by a function:
-one value of the item never stands for two of the document. So re-parameterised copies count, and
-chance meetings of templates do not.
+a document when enough of its windows are in one occurrence, whose slots map to the document's by a
+function: one value of the item never stands for two of the occurrence. So re-parameterised copies
+count, and chance meetings of templates do not. Windows with the item's own slots always count, so
+that no further text of a document clears it.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -122,7 +125,64 @@ def _find(lengths: list[int], passes):
                     doc = pa.array(t.text[part])
                     slots = t.value[part[:, None] + np.arange(k)].view(np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * k), pa.array(slots.ravel()))
-                    yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(doc), table.column("mark").combine_chunks().take(doc), pa.array(x.view(np.int64)), lists], names=["doc_id", "mark", "h", "doc_slots"])
+                    yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(doc), table.column("mark").combine_chunks().take(doc), pa.array(x.view(np.int64)), pa.array(part - t.firsts[t.text[part]], pa.int64()), lists], names=["doc_id", "mark", "h", "doc_pos", "doc_slots"])
+
+    return run
+
+
+def _occurrence(hits: list[dict], least: float) -> tuple[bool, bool]:
+    """Whether some occurrence has at least that many item positions and steady slots, and whether
+    one has the item's own slots. An occurrence is the hits of about one shift (document position
+    less item position): first of one shift, then within 1, 2, 4 and so on of any, at last all."""
+    if len({x["item_pos"] for x in hits}) < least:
+        return False, False
+    rows = sorted((x["doc_pos"] - x["item_pos"], x["item_pos"], [(a, b) for a, b in zip(x["item_slots"], x["doc_slots"]) if a or b]) for x in hits)
+    shifts, found, radius = [r[0] for r in rows], False, 0
+    while True:
+        held, pairs, values = Counter(), Counter(), Counter()  # positions; pairs; document values of an item's value
+        positions = unsteady = foreign = lo = hi = 0
+        for anchor in shifts:
+            while hi < len(rows) and shifts[hi] <= anchor + radius:
+                held[rows[hi][1]] += 1
+                positions += held[rows[hi][1]] == 1
+                for pair in rows[hi][2]:
+                    pairs[pair] += 1
+                    if pairs[pair] == 1:
+                        values[pair[0]] += 1
+                        unsteady += values[pair[0]] == 2
+                        foreign += pair[0] != pair[1]
+                hi += 1
+            while shifts[lo] < anchor - radius:
+                held[rows[lo][1]] -= 1
+                positions -= held[rows[lo][1]] == 0
+                for pair in rows[lo][2]:
+                    pairs[pair] -= 1
+                    if pairs[pair] == 0:
+                        values[pair[0]] -= 1
+                        unsteady -= values[pair[0]] == 1
+                        foreign -= pair[0] != pair[1]
+                lo += 1
+            if positions >= least and not unsteady:
+                found = True
+                if not foreign:
+                    return True, True
+        if radius > shifts[-1] - shifts[0]:
+            return found, False
+        radius = 2 * radius or 1
+
+
+def _judge(coverage: float):
+    """Of the hits of a document and an item: whether it is found, and with its own slots."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for hits, of in zip(batch.column("hits").to_pylist(), batch.column("of").to_pylist()):
+                own = {x["item_pos"] for x in hits if x["item_slots"] == x["doc_slots"]}
+                found, exact = _occurrence(hits, coverage * of)
+                rows.append((found or len(own) >= coverage * of, exact, len({x["item_pos"] for x in hits}) / of))
+            found, exact, share = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), batch.column("item_id"), pa.array(share, pa.float64()), pa.array(found, pa.bool_()), pa.array(exact, pa.bool_())], names=["doc_id", "mark", "item_id", "coverage", "found", "exact"])
 
     return run
 
@@ -130,8 +190,8 @@ def _find(lengths: list[int], passes):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """One row per document and benchmark item found in it: (id, item_id, coverage, exact).
 
-    coverage is the share of the item's windows that the document holds, exact whether all slots have
-    the item's own values. Null and empty texts hold and are nothing; items without a window that
+    coverage is the share of the item's windows that the document holds, exact whether an occurrence
+    has the item's own values in all slots. Null and empty texts hold and are nothing; items without a window that
     has enough literal words cannot be found. Repeated items of one id are one item, repeated documents
     one result; rows without an id count as one document per text. Empty tables give no rows; further
     columns are ignored. A passage that very many documents hold makes rows per document and
@@ -159,14 +219,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             slot = np.mod(h.view(np.int64), 8 * FILTER_BYTES)
             return (np.frombuffer(held.value, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
-    found = base.transform(in_arrow, _find(lengths, passes), "doc_id long, mark int, h long, doc_slots array<long>")
+    found = base.transform(in_arrow, _find(lengths, passes), "doc_id long, mark int, h long, doc_pos long, doc_slots array<long>")
     side = windows.select("item_id", "item_pos", "h", "item_slots")
     hits = found.join(F.broadcast(side) if n <= SENT_WINDOWS // 8 else side, "h")
-    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("of"), F.col("doc_slots").alias("to")), lambda p: (p["of"] != 0) | (p["to"] != 0))
-    # A window counts once for each item position, with the pairs of slots that it shows.
-    met = hits.groupBy("doc_id", "mark", "item_id").agg(F.countDistinct("item_pos").alias("n"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    met = hits.groupBy("doc_id", "mark", "item_id").agg(F.collect_set(F.struct("doc_pos", "item_pos", "item_slots", "doc_slots")).alias("hits"))
     total = windows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("of"))
-    out = met.join(total, "item_id").withColumn("coverage", F.col("n") / F.col("of"))
-    steady = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["of"])))
-    exact = F.forall("pairs", lambda p: p["of"] == p["to"])
-    return out.where((F.col("coverage") >= coverage) & steady).select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "coverage", exact.alias("exact"), F.col("mark").alias("text_mark"))
+    out = met.join(total, "item_id").select("doc_id", "mark", "item_id", "hits", "of")
+    out = out.transform(in_arrow, _judge(coverage), "doc_id long, mark int, item_id long, coverage double, found boolean, exact boolean").where("found")
+    return out.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "coverage", "exact", F.col("mark").alias("text_mark"))
