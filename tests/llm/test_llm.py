@@ -202,6 +202,13 @@ def test_decontamination_per_occurrence(spark):
     assert got == {1: True, 2: False, 4: True}
 
 
+def test_decontamination_without_literals(spark):
+    items = [(1, "Compute 12 + 7 - 3 * 5"), (2, "Anna 3 4 Bob 5 6 Carl 7 8 Dora 9 10 Emil 11 12")]
+    rows = [(1, f"Exercise: {items[0][1]}. Go on."), (2, "x " + items[1][1] + " y"), (3, "Compute 12 + 7 - 3 * 6"), (4, "Compute 12 * 7 - 3 + 5"), (5, items[1][1].replace("4", "44").replace("7", "77").replace("10", "99"))]
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): True, (2, 2): True}
+
+
 def test_html():
     page = "<html><head><title>T</title></head><body class=has-sidebar><nav><a href=x>Home</a></nav><div class='ad'>Buy.</div><article><h1>A &amp; B</h1><p>First, a  para\ngraph.<br><p>Second <b>one</b>.<script>no()</script></article><div id=comments><p>Nice, very nice.</p></div><footer>&copy; F.</footer></body>"
     assert html_extract.main_text(page) == "A & B\n\nFirst, a para graph.\n\nSecond one."

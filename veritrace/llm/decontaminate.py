@@ -6,7 +6,8 @@ template words of the benchmark are joined to those of the documents by hash. An
 a document when enough of its windows are in one occurrence, whose slots map to the document's by a
 function: one value of the item never stands for two of the occurrence. So re-parameterised copies
 count, and chance meetings of templates do not. Windows with the item's own slots always count, so
-that no further text of a document clears it.
+that no further text of a document clears it. Windows with few literal words say too little as
+templates: they are joined by their raw words, operators between them included.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, buffers, chunks, in_arrow, mix, runs, text_or_empty
 
-#: Words of a window; literal words that a window needs to say anything; share of an item's windows
+#: Words of a window; literal words that a window needs to stand as a template; share of an item's windows
 #: that a document must hold.
 K, LITERAL, COVERAGE = 8, 4, 0.5
 #: Windows of the benchmark up to which their sorted hashes are sent to all tasks (8 bytes each);
@@ -82,16 +83,29 @@ class Template:
         self.value = np.where(number | name | unit, h | U64(1), U64(0))
         self.h = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
         self.firsts = np.searchsorted(self.text, np.arange(len(offsets)))
-
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """First words and hashes of the windows of k words that have enough literal ones."""
+        self.word, self.joined = h, h.copy()  # joined: with the marks (+, -, =) that stand before the word
+        marks = np.flatnonzero(starts >= ends)
+        if len(marks) and len(keep):
+            lone = object.__new__(Words)
+            lone.data, lone.starts, lone.ends = lower, raw.starts[marks], raw.ends[marks]
+            before = np.searchsorted(keep, marks)
+            own = before < len(keep)
+            np.add.at(self.joined, before[own], mix(lone.hashes()[own] + (keep[np.minimum(before, len(keep) - 1)] - marks)[own].astype(U64)))
+
+    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words and hashes of the windows of k words, and whether they are raw: windows with
+        enough literal words are hashed as templates, the others by their words themselves."""
         n = len(self.h) - k + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, U64)
+            return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, bool)
         literal = np.concatenate([[0], np.cumsum(self.value == 0)])
-        ok = (self.text[:n] == self.text[k - 1 :]) & (literal[k:] - literal[:-k] >= min(LITERAL, k - k // 3))
-        at = np.flatnonzero(ok)
-        return at, runs(self.h, k)[at] ^ U64(k)
+        at = np.flatnonzero(self.text[:n] == self.text[k - 1 :])
+        raw = (literal[k:] - literal[:-k])[at] < min(LITERAL, k - k // 3)
+        out = runs(self.h, k)[at] ^ U64(k)
+        if raw.any():
+            rest = runs(self.joined[1:], k - 1)[at[raw]] if k > 1 else np.zeros(int(raw.sum()), U64)
+            out[raw] = mix(rest * U64(0x9E3779B97F4A7C15 | 1) + self.word[at[raw]]) ^ U64(1000 + k)
+        return at, out, raw
 
 
 def _item_windows(batches):
@@ -102,12 +116,12 @@ def _item_windows(batches):
         size = np.diff(t.firsts)
         rows = []
         for k in [K, *sorted(set(size[(size > 0) & (size < K)].tolist()))]:
-            at, h = t.windows(k)
+            at, h, raw = t.windows(k)
             own = (size[t.text[at]] >= K) if k == K else (size[t.text[at]] == k)
-            for a, x in zip(at[own].tolist(), h[own].tolist()):
-                rows.append((ids[t.text[a]], a - int(t.firsts[t.text[a]]), x - (1 << 64) if x >> 63 else x, k, t.value[a : a + k].view(np.int64).tolist()))
+            for a, x, exactly in zip(at[own].tolist(), h[own].tolist(), raw[own].tolist()):
+                rows.append((ids[t.text[a]], a - int(t.firsts[t.text[a]]), x - (1 << 64) if x >> 63 else x, k, exactly, t.value[a : a + k].view(np.int64).tolist()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())))], names=["item_id", "item_pos", "h", "k", "item_slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64())))], names=["item_id", "item_pos", "h", "k", "raw", "item_slots"])
 
 
 def _find(lengths: list[int], passes):
@@ -117,7 +131,7 @@ def _find(lengths: list[int], passes):
         for table in chunks(batches):
             t = Template(*buffers(table.column("text")))
             for k in lengths:
-                at, h = t.windows(k)
+                at, h, _ = t.windows(k)
                 own = passes(h)
                 at, h = at[own], h[own]
                 for a in range(0, len(at), 20_000):
@@ -177,10 +191,13 @@ def _judge(coverage: float):
     def run(batches):
         for batch in batches:
             rows = []
-            for hits, of in zip(batch.column("hits").to_pylist(), batch.column("of").to_pylist()):
+            for hits, of, of_template in zip(*(batch.column(n).to_pylist() for n in ("hits", "of", "of_template"))):
                 own = {x["item_pos"] for x in hits if x["item_slots"] == x["doc_slots"]}
-                found, exact = _occurrence(hits, coverage * of)
-                rows.append((found or len(own) >= coverage * of, exact, len({x["item_pos"] for x in hits}) / of))
+                template = [x for x in hits if not x["raw"]]  # raw windows have no copies with other values
+                found, exact = _occurrence(template, coverage * of_template) if template else (False, False)
+                share = len({x["item_pos"] for x in template}) / of_template if template else 0.0
+                whole = len(own) >= coverage * of
+                rows.append((found or whole, exact or whole and not template, max(share, len(own) / of)))
             found, exact, share = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), batch.column("item_id"), pa.array(share, pa.float64()), pa.array(found, pa.bool_()), pa.array(exact, pa.bool_())], names=["doc_id", "mark", "item_id", "coverage", "found", "exact"])
 
@@ -191,8 +208,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document and benchmark item found in it: (id, item_id, coverage, exact).
 
     coverage is the share of the item's windows that the document holds, exact whether an occurrence
-    has the item's own values in all slots. Null and empty texts hold and are nothing; items without a window that
-    has enough literal words cannot be found. Repeated items of one id are one item, repeated documents
+    has the item's own values in all slots. Null and empty texts hold and are nothing; windows with
+    few literal words (an item of numbers and names) must have the same words. Repeated items of one id are one item, repeated documents
     one result; rows without an id count as one document per text. Empty tables give no rows; further
     columns are ignored. A passage that very many documents hold makes rows per document and
     window only, which are grouped by document.
@@ -200,7 +217,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_or_empty(text_col)).alias("mark"), text_or_empty(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_or_empty(item_text_col).alias("text"))
-    windows = items.transform(in_arrow, _item_windows, "item_id long, item_pos int, h long, k int, item_slots array<long>").dropDuplicates(["item_id", "item_pos", "h"])
+    windows = items.transform(in_arrow, _item_windows, "item_id long, item_pos int, h long, k int, raw boolean, item_slots array<long>").dropDuplicates(["item_id", "item_pos", "h"])
     lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())
     known = windows.select("h").distinct()
     if (n := known.count()) <= SENT_WINDOWS:
@@ -220,10 +237,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             return (np.frombuffer(held.value, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
     found = base.transform(in_arrow, _find(lengths, passes), "doc_id long, mark int, h long, doc_pos long, doc_slots array<long>")
-    side = windows.select("item_id", "item_pos", "h", "item_slots")
+    side = windows.select("item_id", "item_pos", "h", "raw", "item_slots")
     hits = found.join(F.broadcast(side) if n <= SENT_WINDOWS // 8 else side, "h")
-    met = hits.groupBy("doc_id", "mark", "item_id").agg(F.collect_set(F.struct("doc_pos", "item_pos", "item_slots", "doc_slots")).alias("hits"))
-    total = windows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("of"))
-    out = met.join(total, "item_id").select("doc_id", "mark", "item_id", "hits", "of")
+    met = hits.groupBy("doc_id", "mark", "item_id").agg(F.collect_set(F.struct("doc_pos", "item_pos", "raw", "item_slots", "doc_slots")).alias("hits"))
+    total = windows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("of"), F.countDistinct(F.when(~F.col("raw"), F.col("item_pos"))).alias("of_template"))
+    out = met.join(total, "item_id").select("doc_id", "mark", "item_id", "hits", "of", "of_template")
     out = out.transform(in_arrow, _judge(coverage), "doc_id long, mark int, item_id long, coverage double, found boolean, exact boolean").where("found")
     return out.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "coverage", "exact", F.col("mark").alias("text_mark"))
