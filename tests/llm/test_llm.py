@@ -150,6 +150,14 @@ def test_licenses(spark):
     assert got == {(1, "MIT", 2), (2, "Apache-2.0", 1)}
 
 
+def test_licenses_that_just_match(spark):
+    rows = spark.createDataFrame([(1, "CC BY-NC 4.0"), (2, "Code.\nCC BY-SA 4.0\nMore.")], "doc_id long, text string")
+    got = {(r.doc_id, r.license_id, r.dice) for r in license_scan.license_scan(rows).collect()}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (1, 'CC BY-NC 4.0'), (2, 'Code.' || chr(10) || 'CC BY-SA 4.0' || chr(10) || 'More.')) t(doc_id, text)")
+    assert got == {r[:3] for r in c.execute(license_scan.license_sql()).fetchall()} == {(1, "CC-BY-NC-4.0", 0.8), (2, "CC-BY-SA-4.0", 0.8)}
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "a\\1<s>[+]"), (1, 1, "user", None), (1, 2, "assistant", "</s>[x]"), (1, 3, "assistant", "\\\\0"), (2, None, None, ""), (None, 0, "assistant", "z")]
     out = chat_format.format_chats(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))

@@ -7,6 +7,8 @@ t / (2 - t) <= b / a <= (2 - t) / t can match: the others are pruned before any
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +46,18 @@ def _grams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:])))
 
 
+def _share(threshold: float) -> tuple[int, int]:
+    """t / (2 - t) in integers: with floats, sizes that just match are lost."""
+    t = Fraction(str(threshold))
+    return (t / (2 - t)).as_integer_ratio()
+
+
 def _signals(grams: list[str], threshold: float) -> list[str]:
     """Words of which a matching sentence has one at least. Dice >= t needs the sentence to share
     t / (2 - t) of the template's bigrams, so it cannot miss all of a larger share than the rest;
     of the bigrams with the longest words, so many are taken, and of each its longer word."""
-    need = int(len(grams) * (1 - threshold / (2 - threshold))) + 1
+    part, whole = _share(threshold)
+    need = len(grams) + len(grams) * part // -whole + 1
     longest = sorted((max(g.split(" "), key=len) for g in grams), key=lambda w: (-len(w), w))
     return longest[:need]
 
@@ -63,8 +72,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives no rows; further columns are ignored.
     """
     grams = [(i, g) for i, t in templates if (g := _grams(t))]
-    low = min(len(g) for _, g in grams) * threshold / (2 - threshold)
-    high = max(len(g) for _, g in grams) * (2 - threshold) / threshold
+    part, whole = _share(threshold)
+    low = -(min(len(g) for _, g in grams) * part // -whole)
+    high = max(len(g) for _, g in grams) * whole // part
     signal = r"(?<![a-z0-9])(?:" + "|".join(sorted({w for _, g in grams for w in _signals(g, threshold)})) + r")(?![a-z0-9])"
     known = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, g)).alias("grams")) for i, g in grams])
     cut = F.split(F.regexp_replace(F.col(text_col), r"([.!?])[ \t]+([A-Z])", "$1\n$2"), "\n")
@@ -73,7 +83,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A sentence of a bigrams has more than a words, and at most a + 1 different ones.
     units = units.where((F.size("w") - 1 >= low) & (F.size(F.array_distinct("w")) - 1 <= high)).select("id", bigrams(F.col("w")).alias("g"))
     size = F.size("g")
-    fits = F.filter(known, lambda t: (F.size(t["grams"]) * (2 - threshold) >= size * threshold) & (size * (2 - threshold) >= F.size(t["grams"]) * threshold))
+    fits = F.filter(known, lambda t: (F.size(t["grams"]) * whole >= size * part) & (size * whole >= F.size(t["grams"]) * part))
     dice = F.transform(fits, lambda t: F.struct((F.lit(-2.0) * F.size(F.array_intersect(t["grams"], F.col("g"))) / (F.size(t["grams"]) + size)).alias("loss"), t["id"].alias("license_id")))
     hits = units.select("id", F.array_min(dice).alias("hit")).where(F.col("hit.loss") <= -threshold)
     return hits.groupBy(F.col("id").alias(id_col), F.col("hit.license_id").alias("license_id")).agg(F.max(-F.col("hit.loss")).alias("dice"), F.count("*").alias("n_sentences"))
