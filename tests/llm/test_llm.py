@@ -223,6 +223,18 @@ def test_html():
     assert [html_extract.main_text(x) for x in ("", "<p>", "<!-- a", "<nav>x</nav>")] == [""] * 4
 
 
+@pytest.mark.parametrize("tag", ["article", "div class=body-text"])
+def test_html_keeps_the_whole_container(tag):
+    long = "A sentence, of some length; with marks. " * 10
+    page = f"<body><ul class=menu><li><a href=x>Home</a></ul><{tag}><p>{long}</p><table><tr><td>1</td><td>22</td></tr></table><p>{long}</p><ol><li><a href=y>A reference</a></li></ol></{tag.split()[0]}><footer>F.</footer></body>"
+    assert html_extract.main_text(page) == "\n\n".join([long.strip(), "1", "22", long.strip(), "A reference"])
+
+
+def test_html_keeps_the_title():
+    page = "<body><div class=site-header>Site.</div><article><div class='entry-header'><h1>Title</h1></div><p>Text, and more text.</p></article></body>"
+    assert html_extract.main_text(page) == "Title\n\nText, and more text."
+
+
 def test_html_pages(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.html_extract(rows).collect()}

@@ -2,7 +2,8 @@
 
 Text length, punctuation and link text are summed per root-to-block tag path. Length and
 punctuation per block, each smoothed with the other paths of the same container, are fused into
-one score; blocks whose path scores above a share of the best path's are content. Paths inside
+one score; blocks whose path scores above a share of the best path's are content, and so are all
+others in the container of the best path: short cells, lists of links, its header. Paths inside
 elements that name themselves as something else (menus, footers, adverts, comments, forms) score 0.
 """
 
@@ -26,7 +27,10 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 _NOT_CONTENT = frozenset("nav footer aside form button head menu dialog".split())
 _HINTS = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside complementary footer contentinfo masthead header comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe subscription signup login search widget pagination pager toolbar skip".split())
+#: Hints that inside an article name parts of it: its title, its notes.
+_OWN_PARTS = frozenset("header masthead notice alert search".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_INNER = frozenset("ul ol dl li dt dd table tbody thead tr td th blockquote figure".split())
 _SCOPE = frozenset("ul ol dl table tbody thead tr div section article main body td th blockquote aside nav footer header form figure".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟¡¿]")
 #: Share of the best path's score at which a path is content; share of the container in a path's score.
@@ -101,9 +105,10 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
         rest = m[4] or ""
         named = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)) if "=" in rest else ""
         words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", named).lower())) if named else set()
-        own = name in _NOT_CONTENT or bool(words & _HINTS) and name not in ("html", "body") or bool(rest) and bool(_HIDDEN.search(rest))
+        within = any(e.name.partition(".")[0] in ("article", "main") for e in stack)
+        own = name in _NOT_CONTENT or bool(words & (_HINTS - _OWN_PARTS if within else _HINTS)) and name not in ("html", "body") or bool(rest) and bool(_HIDDEN.search(rest))
         if name == "header":  # an article's own header holds its title
-            own = not any(e.name.partition(".")[0] in ("article", "main") for e in stack)
+            own = not within
         element = _Element(name + ("." + named.split()[0] if named else ""), stack[-1], own)
         if name in ("article", "main"):
             e = element.parent
@@ -118,6 +123,19 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
     return out
 
 
+def _container(element: _Element) -> _Element | None:
+    """The outermost article or main around a block; else the nearest element that is no part of a
+    list or table; None if that is the page itself."""
+    outer, e = None, element
+    while e is not None:
+        outer, e = e if e.name.partition(".")[0] in ("article", "main") else outer, e.parent
+    if outer is None:
+        outer = element.parent
+        while outer is not None and outer.name.partition(".")[0] in _INNER:
+            outer = outer.parent
+    return outer if outer is not None and outer.name.partition(".")[0] not in ("", "html", "body") else None
+
+
 def main_text(page: str) -> str:
     found = []
     for element, raw, links in blocks(page):
@@ -149,7 +167,16 @@ def main_text(page: str) -> str:
                 lead = 4.0 if re.search(r"(?:^|/)(?:article|main)\b", p) else 1.0
                 score[p] = math.log1p(a) * (1 + math.log1p(b)) * lead
     best = max(score.values(), default=0.0)
-    return "\n\n".join(text for element, text, barred, _ in found if not barred and score.get(element.path, 0.0) >= SHARE * best > 0)
+    if not best:
+        return ""
+    containers = {_container(e) for e, _, barred, _ in found if not barred and score.get(e.path) == best} - {None}
+
+    def held(e: _Element | None) -> bool:
+        while e is not None and e not in containers:
+            e = e.parent
+        return e is not None
+
+    return "\n\n".join(text for e, text, barred, _ in found if not barred and (score.get(e.path, 0.0) >= SHARE * best or held(e)))
 
 
 def _extract(batches):
