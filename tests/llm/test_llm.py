@@ -275,10 +275,15 @@ def test_empty_tables(spark, docs):
     assert [f.count() for f in frames] == [0] * len(frames)
 
 
-def test_without(spark):
-    rows = spark.createDataFrame([(i, "t") for i in range(100)] + [(None, "t")], "doc_id long, text string")
-    left = common.without(rows, rows.where("doc_id % 3 = 0").select("doc_id"), "doc_id").collect()
-    assert sorted((r.doc_id is not None, r.doc_id) for r in left if r.doc_id is not None) == [(True, i) for i in range(100) if i % 3] and len(left) == 67
+def test_without_and_single(spark):
+    rows = spark.createDataFrame([(i, "t") for i in range(100)] + [(None, "t"), (None, "u"), (1, "u"), (1, "u")], "doc_id long, text string")
+    on = {"doc_id": F.col("doc_id"), "of": F.col("text")}
+    gone = rows.where("doc_id % 3 = 0 or text = 'u' and doc_id is null").select("doc_id", F.col("text").alias("of"))
+    left = common.without(rows, gone, on)
+    want = Counter([(i, "t") for i in range(100) if i % 3] + [(None, "t"), (1, "u"), (1, "u")])
+    assert Counter(map(tuple, left.collect())) == want
+    one = common.single(left, spark.createDataFrame([(1, "u"), (None, "t")], "doc_id long, of string"), on)
+    assert Counter(map(tuple, one.collect())) == want - Counter([(1, "u")])
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -19,12 +21,19 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _TAIL = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], U64)
 
 
+_stashed: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a session without one (tests) gets one of its own."""
+    """The folder that all executors share: spark.checkpoint.dir, else the checkpoint folder that the
+    session has set. A session on one machine without either gets a folder of its own; on a cluster
+    that is an error, since a machine's own folder would lose or mix up data there."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
-            spark.sparkContext.setCheckpointDir("/tmp/veritrace-checkpoints")
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veritrace-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get()
     return folder.rstrip("/")
@@ -32,13 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stash(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: its lineage is cut,
-    lost executors do not lose it, and both uses of it see the same rows."""
+    lost executors do not lose it, and both uses of it see the same rows. drop_stashed removes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veritrace-{uuid.uuid4().hex}"
+    _stashed.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stashed(spark: SparkSession) -> None:
+    """Deletes this process's stashed tables. Results that still read them must be written before."""
+    while _stashed:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stashed.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bytes of an Arrow batch. A row may be short or long, so a count of rows bounds nothing; a batch
 #: is held by the JVM, on its way, and by Python at once, for each core of an executor.
 BATCH_BYTES = 8 << 20
@@ -246,14 +263,39 @@ def passing(df: DataFrame, key: str, held, want: bool = True) -> DataFrame:
     return df.transform(in_arrow, run, df.schema)
 
 
-def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of df whose key is not in ids (one column of that name). Only rows that a fixed-size
-    filter cannot clear are joined, so the others' texts are not shuffled. Rows without a key stay."""
-    gone = stash(ids.where(F.col(key).isNotNull()).distinct())
-    held = key_filter(gone.select(F.xxhash64(F.col(key).cast("long"))))
-    marked = df.withColumn("_slot", F.xxhash64(F.col(key).cast("long")))
-    clear = passing(marked, "_slot", held, want=False)
-    return clear.union(passing(marked, "_slot", held).join(gone, key, "left_anti").select(marked.columns)).drop("_slot")
+def _split(df: DataFrame, keys: DataFrame, on: dict[str, Column]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows of df (with its keys, under names of their own) that surely are not among keys, and the
+    rest; only the latter need a join, so the others' texts are not shuffled."""
+    names = [f"_key_{n}" for n in on]
+    held = key_filter(keys.select(F.xxhash64(*on)))
+    marked = df.withColumns(dict(zip(names, on.values()))).withColumn("_slot", F.xxhash64(*names))
+    return passing(marked, "_slot", held, want=False).select(df.columns), passing(marked, "_slot", held), names
+
+
+def _same(on: dict[str, Column], names: list[str]) -> Column:
+    met = F.lit(True)
+    for name, own in zip(on, names):
+        met = met & F.col(own).eqNullSafe(F.col(name + "_gone"))
+    return met
+
+
+def without(df: DataFrame, gone: DataFrame, on: dict[str, Column]) -> DataFrame:
+    """Rows of df whose keys are not in gone. on: gone's columns, and what they are of a row of df;
+    nulls are equal to each other."""
+    gone = stash(gone.select(*on).distinct())
+    clear, rest, names = _split(df, gone, on)
+    return clear.union(rest.join(gone.toDF(*[n + "_gone" for n in on]), _same(on, names), "left_anti").select(df.columns))
+
+
+def single(df: DataFrame, repeated: DataFrame, on: dict[str, Column]) -> DataFrame:
+    """df with one row of those that agree in a key of `repeated`; which one, its whole content decides."""
+    repeated = stash(repeated.select(*on).distinct())
+    clear, rest, names = _split(df, repeated, on)
+    met = rest.join(repeated.toDF(*[n + "_gone" for n in on]), _same(on, names), "left_semi")
+    others = rest.join(repeated.toDF(*[n + "_gone" for n in on]), _same(on, names), "left_anti")
+    row = F.struct(*[F.col(c) for c in df.columns])
+    one = met.groupBy(*names).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row")).select("_row.*")
+    return clear.union(others.select(df.columns)).union(one)
 
 
 def whole_groups(batches, key: str):

@@ -19,15 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, buffers, chunks, in_arrow, mix, runs, text_or_empty
+from . import common
+from .common import U64, Words, buffers, chunks, in_arrow, key_filter, mix, runs, stash, text_or_empty
 
 #: Words of a window; literal words that a window needs to stand as a template; share of an item's windows
 #: that a document must hold.
 K, LITERAL, COVERAGE = 8, 4, 0.5
 #: Windows of the benchmark up to which their sorted hashes are sent to all tasks (8 bytes each);
-#: beyond it, a fixed-size filter goes out instead and Spark joins what passes.
+#: beyond it, a filter of fixed size goes out instead. In both cases Spark joins what passes, and up to
+#: an eighth of that number of windows it may broadcast them (some 100 bytes each).
 SENT_WINDOWS = 1 << 20
-FILTER_BYTES = 1 << 23
+#: Bytes of text that a task works on at once; parts into which the rows of one window are dealt.
+CHUNK, SALTS = 1 << 20, 16
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches s sec min h hr hour hours day days week weeks year years km/h mph l ml % percent usd eur dollars euros cents degrees c f w kw kwh mb gb tb hz khz mhz ghz".split()
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "%"]] = True
@@ -128,7 +131,7 @@ def _find(lengths: list[int], passes):
     """Windows of documents that may be windows of the benchmark."""
 
     def run(batches):
-        for table in chunks(batches):
+        for table in chunks(batches, limit=CHUNK):
             t = Template(*buffers(table.column("text")))
             for k in lengths:
                 at, h, _ = t.windows(k)
@@ -204,43 +207,54 @@ def _judge(coverage: float):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """One row per document and benchmark item found in it: (id, item_id, coverage, exact).
-
-    coverage is the share of the item's windows that the document holds, exact whether an occurrence
-    has the item's own values in all slots. Null and empty texts hold and are nothing; windows with
-    few literal words (an item of numbers and names) must have the same words. Repeated items of one id are one item, repeated documents
-    one result; rows without an id count as one document per text. Empty tables give no rows; further
-    columns are ignored. A passage that very many documents hold makes rows per document and
-    window only, which are grouped by document.
-    """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_or_empty(text_col)).alias("mark"), text_or_empty(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_or_empty(item_text_col).alias("text"))
-    windows = items.transform(in_arrow, _item_windows, "item_id long, item_pos int, h long, k int, raw boolean, item_slots array<long>").dropDuplicates(["item_id", "item_pos", "h"])
-    lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())
-    known = windows.select("h").distinct()
-    if (n := known.count()) <= SENT_WINDOWS:
+def _passes(known: DataFrame, n: int, sent: int):
+    """A test, for tasks, of which hashes may be among the n of known."""
+    spark = known.sparkSession
+    if n <= sent:
         held = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in known.collect()], np.int64).view(U64)).tobytes())
 
         def passes(h):
             table = np.frombuffer(held.value, U64)
             return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h if len(table) else np.zeros(len(h), bool)
     else:
-        bits = np.zeros(FILTER_BYTES, np.uint8)
-        for r in known.select(F.pmod("h", F.lit(8 * FILTER_BYTES)).alias("s")).groupBy((F.col("s") / 8).cast("int").alias("byte")).agg(F.bit_or(F.shiftleft(F.lit(1), (F.col("s") % 8).cast("int"))).alias("bits")).toLocalIterator():
-            bits[r["byte"]] = r["bits"]  # FILTER_BYTES rows at most
-        held = spark.sparkContext.broadcast(bits.tobytes())
+        held = key_filter(known)  # built in tasks, of fixed size
 
         def passes(h):
-            slot = np.mod(h.view(np.int64), 8 * FILTER_BYTES)
-            return (np.frombuffer(held.value, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            slot = mix(h) % U64(8 * common.FILTER_BYTES)
+            return (np.frombuffer(held.value, np.uint8)[(slot >> U64(3)).astype(np.int64)] >> (7 - (slot & U64(7)).astype(np.uint8))) & 1 == 1
+
+    return passes
+
 
-    found = base.transform(in_arrow, _find(lengths, passes), "doc_id long, mark int, h long, doc_pos long, doc_slots array<long>")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, sent: int = SENT_WINDOWS) -> DataFrame:
+    """One row per document and benchmark item found in it: (id, item_id, coverage, exact, text_mark).
+
+    coverage is the share of the item's windows that the document holds, exact whether an occurrence
+    has the item's own values in all slots, text_mark xxhash64 of the text. Null and empty texts hold
+    and are nothing; windows with few literal words (an item of numbers and names) must have the same
+    words. A very long text is read whole: its windows stream, and only those that the benchmark has
+    are kept. Repeated items of one id are one item, items of equal text are found alike, repeated
+    documents give one result, and so do rows without an id per text. Texts that repeat an id are
+    documents of their own. Empty tables give no rows; further columns, whatever their names, are
+    ignored. A passage that very many documents hold makes rows per document and window only; they are
+    dealt over SALTS parts per window, or meet a broadcast, and are grouped by document.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_or_empty(item_text_col).alias("text"))
+    windows = items.transform(in_arrow, _item_windows, "item_id long, item_pos int, h long, k int, raw boolean, item_slots array<long>")
+    windows = stash(windows.dropDuplicates(["item_id", "item_pos", "h"]))
+    lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())  # K at most
+    known = windows.select("h").distinct()
+    rows, n = windows.count(), known.count()
+    found = base.transform(in_arrow, _find(lengths, _passes(known, n, sent)), "doc_id long, mark long, h long, doc_pos long, doc_slots array<long>")
     side = windows.select("item_id", "item_pos", "h", "raw", "item_slots")
-    hits = found.join(F.broadcast(side) if n <= SENT_WINDOWS // 8 else side, "h")
+    if rows <= sent // 8:
+        hits = found.join(F.broadcast(side), "h")
+    else:
+        dealt = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SALTS)).cast("int")).join(dealt, ["h", "salt"])
     met = hits.groupBy("doc_id", "mark", "item_id").agg(F.collect_set(F.struct("doc_pos", "item_pos", "raw", "item_slots", "doc_slots")).alias("hits"))
     total = windows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("of"), F.countDistinct(F.when(~F.col("raw"), F.col("item_pos"))).alias("of_template"))
     out = met.join(total, "item_id").select("doc_id", "mark", "item_id", "hits", "of", "of_template")
-    out = out.transform(in_arrow, _judge(coverage), "doc_id long, mark int, item_id long, coverage double, found boolean, exact boolean").where("found")
+    out = out.transform(in_arrow, _judge(coverage), "doc_id long, mark long, item_id long, coverage double, found boolean, exact boolean").where("found")
     return out.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "coverage", "exact", F.col("mark").alias("text_mark"))

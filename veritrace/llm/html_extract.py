@@ -1,10 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
 Text length, punctuation and link text are summed per root-to-block tag path. Length and
-punctuation per block, each smoothed with the other paths of the same container, are fused into
-one score; blocks whose path scores above a share of the best path's are content, and so are all
-others in the container of the best path: short cells, lists of links, its header. Paths inside
-elements that name themselves as something else (menus, footers, adverts, comments, forms) score 0.
+punctuation per block, each smoothed with the other paths of the same container, are fused into one
+score. The paths whose score is a share of the best one's select the content nodes: the smallest
+element around them, with all that it holds (short cells, lists of links, its own header).
+Elements that are no article text by their tag (nav, footer, aside, form) never count. Class words
+bar an element outside of an article; inside, only whole names made of such words do, and names that
+articles use for parts of themselves (notice, header) need a low score of the path as well.
 """
 
 from __future__ import annotations
@@ -27,29 +29,62 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 _NOT_CONTENT = frozenset("nav footer aside form button head menu dialog".split())
 _HINTS = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside complementary footer contentinfo masthead header comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe subscription signup login search widget pagination pager toolbar skip".split())
-#: Hints that inside an article name parts of it: its title, its notes.
-_OWN_PARTS = frozenset("header masthead notice alert search".split())
+#: Readers' comments read like an article: no score tells them apart.
+_COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+#: Names that an article also has for parts of itself: a title, a note, a figure of speech.
+_OWN_PARTS = frozenset("header masthead notice alert search banner".split())
+#: Words that say nothing of their own in a name like comment-list or share-buttons.
+_PLAIN = frozenset("area bar block body bottom box button buttons container content form group holder inner item items left link links list main message outer page panel post posts row section site text thread title top right unit widget wrap wrapper".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _INNER = frozenset("ul ol dl li dt dd table tbody thead tr td th blockquote figure".split())
 _SCOPE = frozenset("ul ol dl table tbody thead tr div section article main body td th blockquote aside nav footer header form figure".split())
+_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre address hr".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟¡¿]")
-#: Share of the best path's score at which a path is content; share of the container in a path's score.
-SHARE, SMOOTH = 0.1, 0.5
+#: Shares of the best path's score: of paths that say where the content is, and of such that are content
+#: wherever they are, on a page without an article; share of the container in a path's score.
+CORE, SHARE, SMOOTH = 0.5, 0.7, 0.5
 #: Above this share of link text a path is a menu.
 LINKS = 0.6
 
 
 class _Element:
-    __slots__ = ("name", "parent", "path", "barred", "holds")
+    """barred: never content. weak: content only by a high score of its path."""
 
-    def __init__(self, name, parent, barred):
-        self.name, self.parent, self.barred, self.holds = name, parent, barred, False
+    __slots__ = ("name", "tag", "parent", "path", "barred", "weak", "depth")
+
+    def __init__(self, name, tag, parent):
+        self.name, self.tag, self.parent, self.barred, self.weak = name, tag, parent, False, False
         self.path = (parent.path + "/" if parent else "") + name
+        self.depth = parent.depth + 1 if parent else 0
+
+
+def _judge(element: _Element, named: str, rest: str) -> None:
+    """Sets barred and weak of an element from its tag, names and attributes."""
+    e, within = element.parent, False
+    while e is not None and not within:
+        within, e = e.tag in ("article", "main"), e.parent
+    if element.tag in _NOT_CONTENT or element.tag == "header" and not within or rest and _HIDDEN.search(rest):
+        element.barred = True
+    if not named or element.tag in ("html", "body"):
+        return
+    names = [re.split(r"[^a-z]+", x) for x in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", named).lower().split()]
+    names = [[w for w in x if w] for x in names]
+    whole = [set(x) & _HINTS for x in names if x and set(x) <= _HINTS | _PLAIN]  # of names made of such words only
+    if element.tag in ("article", "main") and not within:
+        return  # class words alone never empty an article
+    if any(x & _COMMENTS for x in whole):
+        element.barred = True
+    elif within:
+        element.barred |= any(x - _OWN_PARTS for x in whole)
+        element.weak = any(x & _OWN_PARTS - {"header", "masthead"} for x in whole)
+    else:
+        element.weak = any(set(x) & _HINTS for x in names)
+        element.barred |= any(x for x in whole)
 
 
 def blocks(page: str) -> list[tuple[_Element, str, int]]:
     """Text blocks in page order: (element, raw text, characters of it in links)."""
-    root = _Element("", None, False)
+    root = _Element("", "", None)
     stack, out, held, links = [root], [], [], 0
 
     def flush():
@@ -84,18 +119,18 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
         anchors = 0
         if m[2]:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name.partition(".")[0] == name:
+                if stack[i].tag == name:
                     pop(i)
                     break
             else:
                 flush()
             continue
         flush()
-        if stack[-1].name.partition(".")[0] == "p":
+        if stack[-1].tag == "p":
             pop(len(stack) - 1)  # a block ends an open paragraph
         if name in _CLOSES:
             for i in range(len(stack) - 1, 0, -1):
-                if (tag := stack[i].name.partition(".")[0]) in _CLOSES[name]:
+                if (tag := stack[i].tag) in _CLOSES[name]:
                     pop(i)
                     break
                 if tag in _SCOPE and tag != "tr":
@@ -104,16 +139,8 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             continue
         rest = m[4] or ""
         named = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)) if "=" in rest else ""
-        words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", named).lower())) if named else set()
-        within = any(e.name.partition(".")[0] in ("article", "main") for e in stack)
-        own = name in _NOT_CONTENT or bool(words & (_HINTS - _OWN_PARTS if within else _HINTS)) and name not in ("html", "body") or bool(rest) and bool(_HIDDEN.search(rest))
-        if name == "header":  # an article's own header holds its title
-            own = not within
-        element = _Element(name + ("." + named.split()[0] if named else ""), stack[-1], own)
-        if name in ("article", "main"):
-            e = element.parent
-            while e is not None:
-                e.holds, e = True, e.parent
+        element = _Element(name + ("." + named.split()[0] if named else ""), name, stack[-1])
+        _judge(element, named, rest)
         if not rest.rstrip().endswith("/"):
             stack.append(element)
     if at < len(page):
@@ -123,60 +150,80 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
     return out
 
 
-def _container(element: _Element) -> _Element | None:
-    """The outermost article or main around a block; else the nearest element that is no part of a
-    list or table; None if that is the page itself."""
-    outer, e = None, element
+def _up(e: _Element | None):
     while e is not None:
-        outer, e = e if e.name.partition(".")[0] in ("article", "main") else outer, e.parent
-    if outer is None:
-        outer = element.parent
-        while outer is not None and outer.name.partition(".")[0] in _INNER:
-            outer = outer.parent
-    return outer if outer is not None and outer.name.partition(".")[0] not in ("", "html", "body") else None
+        yield e
+        e = e.parent
 
 
-def main_text(page: str) -> str:
-    found = []
-    for element, raw, links in blocks(page):
-        if text := " ".join(html.unescape(raw).split()):
-            e, barred = element, False
-            while e is not None:
-                barred |= e.barred and not (e.holds and e.name.partition(".")[0] not in _NOT_CONTENT)
+def _around(elements: list[_Element]) -> _Element:
+    """The smallest element that holds all of them, and is no part of a list or table."""
+    out = elements[0]
+    for e in elements[1:]:
+        while e is not out:
+            if e.depth >= out.depth:
                 e = e.parent
-            found.append((element, text, barred, links / max(1, len(raw))))
+            else:
+                out = out.parent
+    while out.parent is not None and (out.tag in _INNER or out.tag in _BLOCKS):
+        out = out.parent
+    return out
+
+
+def _scores(found, smooth: float = SMOOTH) -> dict[str, float]:
+    """The fused, smoothed ratios of each tag path."""
     paths: dict[str, list[float]] = defaultdict(lambda: [0.0] * 4)
-    for element, text, barred, share in found:
-        if not barred:
-            row = paths[element.path]
-            for i, v in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), share * len(text))):
-                row[i] += v
+    for element, text, share in found:
+        row = paths[element.path]
+        for i, v in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), share * len(text))):
+            row[i] += v
     length, marks, inside = {}, {}, defaultdict(list)
     for path, (n, chars, points, linked) in paths.items():
         menu = linked > LINKS * chars
         length[path], marks[path] = (0.0, 0.0) if menu else (chars / n, points / n)
         inside[path.rpartition("/")[0]].append(path)
     score = {}
-    for container, held in inside.items():
+    for held in inside.values():
         total = sum(paths[p][0] for p in held)
         mean = [sum(v[p] * paths[p][0] for p in held) / total for v in (length, marks)]
         for p in held:
             if length[p]:
-                a = (1 - SMOOTH) * length[p] + SMOOTH * mean[0]
-                b = (1 - SMOOTH) * marks[p] + SMOOTH * mean[1]
-                lead = 4.0 if re.search(r"(?:^|/)(?:article|main)\b", p) else 1.0
-                score[p] = math.log1p(a) * (1 + math.log1p(b)) * lead
-    best = max(score.values(), default=0.0)
-    if not best:
-        return ""
-    containers = {_container(e) for e, _, barred, _ in found if not barred and score.get(e.path) == best} - {None}
+                a = (1 - smooth) * length[p] + smooth * mean[0]
+                b = (1 - smooth) * marks[p] + smooth * mean[1]
+                score[p] = math.log1p(a) * (1 + math.log1p(b))
+    return score
 
-    def held(e: _Element | None) -> bool:
-        while e is not None and e not in containers:
-            e = e.parent
-        return e is not None
 
-    return "\n\n".join(text for e, text, barred, _ in found if not barred and (score.get(e.path, 0.0) >= SHARE * best or held(e)))
+def main_text(page: str) -> str:
+    found = []
+    for element, raw, links in blocks(page):
+        if text := " ".join(html.unescape(raw).split()):
+            chain = list(_up(element))
+            if not any(e.barred for e in chain):
+                found.append((element, text, links / max(1, len(raw)), any(e.weak for e in chain), any(e.tag in ("article", "main") for e in chain)))
+    score = _scores([f[:3] for f in found])
+    bare = _scores([f[:3] for f in found], 0.0) if any(f[3] for f in found) else {}
+    # An article says where it is; on a page without one, the ratios decide among all paths. Weak
+    # names need the score of the best path's core.
+    articles = any(inside and not weak for *_, weak, inside in found)
+    pool = [f for f in found if f[4]] if articles else found
+    best = max((score.get(f[0].path, 0.0) for f in pool if not f[3]), default=0.0) or max((score.get(f[0].path, 0.0) for f in pool), default=0.0)
+    if not best:
+        return "\n\n".join(text for _, text, _, weak, inside in pool if inside and not weak)
+    core = [f for f in pool if score.get(f[0].path, 0.0) >= CORE * best and not f[3]] or [f for f in pool if score.get(f[0].path, 0.0) == best]
+    if articles:
+        nodes = {next(e for e in reversed(list(_up(f[0]))) if e.tag in ("article", "main")) for f in core}
+    else:
+        node = _around([f[0] for f in core])
+        nodes = {node} if node.tag not in ("", "html", "body") or any(_around([f[0]]) is node for f in core) else {_around([f[0]]) for f in core}
+    whole = {e for e in nodes if e.tag not in ("", "html", "body")}
+    out = []
+    for element, text, share, weak, _ in found:
+        held = {e for e in _up(element)} & nodes
+        own = score.get(element.path, 0.0)
+        if held and (not weak or bare.get(element.path, 0.0) >= CORE * best) and (held & whole or share <= LINKS) or not articles and own >= SHARE * best and not weak:
+            out.append(text)
+    return "\n\n".join(out)
 
 
 def _extract(batches):
@@ -188,9 +235,11 @@ def _extract(batches):
 def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: (page_id, url, text).
 
-    The whole html is read; null is empty and gives an empty text. Character references are decoded,
-    white space inside a block becomes one space, blocks stand in page order with two newlines
-    between. Repeated rows give repeated rows; an empty table none; other columns are ignored.
+    The whole html is read, however long (a page is one row of a task); null is empty and gives an
+    empty text. Character references are decoded, white space inside a block becomes one space,
+    blocks stand in page order with two newlines between. Of several articles that the ratios select,
+    all count; of equal scores too. Repeated rows give repeated rows, rows without an id or url keep
+    their null; an empty table gives none; other columns, whatever their names, are ignored.
     Paths and scores are of one page: no row depends on another.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -13,6 +13,10 @@ of them, the set that meets most others in all its lists (of a group of near cop
 like the rest); this joins most groups. The lists whose members then still lie in two components
 are scanned for all pairs across components that sizes and positions allow. Pairs inside a
 component are never made. Equal sets are one representative throughout.
+
+A list that its shingle's count announces as long is dealt over parts, by the numbers of its sets: its
+members lie in several buckets, meet their hub by a salted join, and are scanned in blocks, each
+block of the list's largest component against each block of the others. So no task holds a list.
 """
 
 from __future__ import annotations
@@ -58,8 +62,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tup
     return found, np.searchsorted(text, np.arange(len(offsets))), words
 
 
-_SETS = "uid long, doc_id long, size int, one long, two long, words binary, segment int, counts binary"
-_SETS_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("words", pa.binary()), ("segment", pa.int32()), ("counts", pa.binary())])
+_SETS = "uid long, doc_id long, mark long, size int, one long, two long, words binary, segment int, counts binary"
+_SETS_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("size", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("words", pa.binary()), ("segment", pa.int32()), ("counts", pa.binary())])
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
@@ -92,12 +96,12 @@ def _sets(batches):
                 kept.append(None)
         np.add.at(counts, _cell(h[np.repeat(lead, size)]).astype(np.int64), 1)
         none = len(size)
-        fields = [table.column("uid").combine_chunks(), table.column("doc_id").combine_chunks(), pa.array(size, pa.int32()), pa.array(one), pa.array(two), pa.array(kept, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())]
+        fields = [table.column("uid").combine_chunks(), table.column("doc_id").combine_chunks(), table.column("mark").combine_chunks(), pa.array(size, pa.int32()), pa.array(one), pa.array(two), pa.array(kept, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())]
         yield pa.RecordBatch.from_arrays(fields, schema=_SETS_ARROW)
     for segment in range(16) if some else []:
         part = pack.compress(counts[segment * (CELLS // 16) : (segment + 1) * (CELLS // 16)].tobytes())
         task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), *[pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())], pa.array([segment], pa.int32()), pa.array([part], pa.binary())], schema=_SETS_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), *[pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())], pa.array([segment], pa.int32()), pa.array([part], pa.binary())], schema=_SETS_ARROW)
 
 
 def _sum_counts(batches):
@@ -137,8 +141,16 @@ def boundary(length: float) -> int:
     return size
 
 
-_LIST = "sig long, uid long, size int, pos int, length int"
-_LIST_ARROW = pa.schema([("sig", pa.int64()), ("uid", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("length", pa.int32())])
+_LIST = "sig long, uid long, size int, pos int, length long, parts int"
+_LIST_ARROW = pa.schema([("sig", pa.int64()), ("uid", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("length", pa.int64()), ("parts", pa.int32())])
+#: Members of a list, by its shingle's count, from which on it is dealt over parts of about that size
+#: (binary logarithm); and the most parts.
+SPLIT, MOST_PARTS = 9, 15
+
+
+def _parts(rank: np.ndarray, split: int) -> np.ndarray:
+    """Binary logarithm of a list's parts, from that of its shingle's count."""
+    return np.clip(rank.astype(np.int64) - split, 0, MOST_PARTS)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -151,8 +163,9 @@ def _unplane(raw: bytes, dtype, n: int, at: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(dtype).ravel()
 
 
-def _post(buckets: int, ranks, limit: int):
-    """Signatures of each set, packed by bucket."""
+def _post(buckets: int, ranks, limit: int, split: int):
+    """Signatures of each set, packed by bucket. A list of several parts lies in as many buckets, one
+    after the other, by its members' numbers."""
 
     def run(batches):
         pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -160,17 +173,19 @@ def _post(buckets: int, ranks, limit: int):
         held: list[list[np.ndarray]] = []
 
         def flush():
-            sig, uid, size, pos = (np.concatenate(x) for x in zip(*held))
+            sig, uid, size, pos, wide = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            bucket = (sig % U64(buckets)).astype(np.int64)
+            part = (mix(uid.view(U64)) & ((U64(1) << wide.astype(U64)) - U64(1))).astype(np.int64)
+            bucket = ((sig % U64(buckets)).astype(np.int64) + part) % buckets
+            code = (wide << 16 | part).astype(np.int32)
             order = np.lexsort((uid, bucket))
-            sig, uid, size, pos, bucket = (sig[order] >> U64(32)).astype(np.uint32), uid[order], size[order], pos[order], bucket[order]
+            sig, uid, size, pos, bucket, code = (sig[order] >> U64(32)).astype(np.uint32), uid[order], size[order], pos[order], bucket[order], code[order]
             cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
             blobs = []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 who, first, index = np.unique(uid[a:b], return_index=True, return_inverse=True)
                 head = np.array([b - a, len(who)], np.int32).tobytes()
-                body = (np.diff(who, prepend=0), size[a:b][first], np.diff(index, prepend=0).astype(np.int32), pos[a:b].astype(np.int32))
+                body = (np.diff(who, prepend=0), size[a:b][first], np.diff(index, prepend=0).astype(np.int32), pos[a:b].astype(np.int32), code[a:b])
                 blobs.append(pack.compress(head + sig[a:b].tobytes() + b"".join(map(_planes, body))))
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
@@ -183,18 +198,19 @@ def _post(buckets: int, ranks, limit: int):
                 h, first, _ = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
                 size = np.diff(first)
                 text = np.repeat(np.arange(len(size)), size)
-                order = np.lexsort((h, rank[_cell(h).astype(np.int64)], text))
-                h = h[order]
+                seen = rank[_cell(h).astype(np.int64)]
+                order = np.lexsort((h, seen, text))
+                h, wide = h[order], _parts(seen[order], split)
                 place = np.arange(len(h)) - first[text]
                 own = (place <= _missing(size)[text]) & (size[text] > limit)
                 if own.any():
-                    held.append([mix(h[own]), uids[text[own]], size[text[own]].astype(np.int32), place[own]])
+                    held.append([mix(h[own]), uids[text[own]], size[text[own]].astype(np.int32), place[own], wide[own]])
                     total += int(own.sum())
                 for i in np.flatnonzero((size > 1) & (size <= limit * DEN // NUM)).tolist():
                     n = int(_missing(size[i])) + 2
                     x, y = np.triu_indices(n, 1)
-                    p = h[first[i] : first[i] + n]
-                    held.append([mix(p[x] * U64(3) + p[y]), np.full(len(x), uids[i]), np.full(len(x), size[i], np.int32), np.full(len(x), -1)])
+                    p, w = h[first[i] : first[i] + n], wide[first[i] : first[i] + n]
+                    held.append([mix(p[x] * U64(3) + p[y]), np.full(len(x), uids[i]), np.full(len(x), size[i], np.int32), np.full(len(x), -1), w[x]])
                     total += len(x)
                 if total >= POSTINGS:
                     yield flush()
@@ -205,35 +221,39 @@ def _post(buckets: int, ranks, limit: int):
     return run
 
 
-def _lists(batches):
-    """The lists with two members or more."""
-    unpack = zstandard.ZstdDecompressor()
-    for bucket, table in groups(batches, "bucket"):
-        parts = []
-        for blob in table.column("blob").to_pylist():
-            raw = unpack.decompress(blob)
-            n, m = np.frombuffer(raw, np.int32, 2).tolist()
-            at = 8 + 4 * n
-            who, size = np.cumsum(_unplane(raw, np.int64, m, at)), _unplane(raw, np.int32, m, at + 8 * m)
-            index = np.cumsum(_unplane(raw, np.int32, n, at + 12 * m))
-            parts.append((np.frombuffer(raw, np.uint32, n, 8), who[index], size[index], _unplane(raw, np.int32, n, at + 12 * m + 4 * n)))
-        sig, uid, size, pos = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((uid, size, sig))
-        sig, uid, size, pos = sig[order], uid[order], size[order], pos[order]
-        new = np.ones(len(sig), bool)  # a set that two shingles of one bucket bring to one list counts once
-        new[1:] = (sig[1:] != sig[:-1]) | (uid[1:] != uid[:-1])
-        sig, uid, size, pos = sig[new], uid[new], size[new], pos[new]
-        near = np.flatnonzero(sig[1:] == sig[:-1])
-        if not len(near):
-            continue
-        many = np.zeros(len(sig), bool)
-        many[near] = many[near + 1] = True
-        key = (sig.astype(np.int64) << 20) | int(bucket)
-        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        length = np.repeat(np.diff(np.append(begin, len(sig))), np.diff(np.append(begin, len(sig))))
-        for a in range(0, int(many.sum()), 100_000):
-            own = np.flatnonzero(many)[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(uid[own]), pa.array(size[own]), pa.array(pos[own], pa.int32()), pa.array(length[own], pa.int32())], schema=_LIST_ARROW)
+def _lists(buckets: int):
+    """The lists with two members or more, and all members of lists in several parts. length: of the
+    list, estimated from the part if there are several."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for bucket, table in groups(batches, "bucket"):
+            rows = []
+            for blob in table.column("blob").to_pylist():
+                raw = unpack.decompress(blob)
+                n, m = np.frombuffer(raw, np.int32, 2).tolist()
+                at = 8 + 4 * n
+                who, size = np.cumsum(_unplane(raw, np.int64, m, at)), _unplane(raw, np.int32, m, at + 8 * m)
+                at += 12 * m
+                index, pos, code = np.cumsum(_unplane(raw, np.int32, n, at)), _unplane(raw, np.int32, n, at + 4 * n), _unplane(raw, np.int32, n, at + 8 * n)
+                rows.append((np.frombuffer(raw, np.uint32, n, 8), who[index], size[index], pos, code))
+            sig, uid, size, pos, code = (np.concatenate(x) for x in zip(*rows))
+            key = sig.astype(np.int64) << 20 | (int(bucket) - (code & 0xFFFF)) % buckets
+            order = np.lexsort((uid, size, key))
+            key, uid, size, pos, code = key[order], uid[order], size[order], pos[order], code[order]
+            new = np.ones(len(key), bool)  # a set that two shingles of one bucket bring to one list counts once
+            new[1:] = (key[1:] != key[:-1]) | (uid[1:] != uid[:-1])
+            key, uid, size, pos, wide = key[new], uid[new], size[new], pos[new], (code >> 16)[new]
+            near = np.flatnonzero(key[1:] == key[:-1])
+            many = wide > 0
+            many[near] = many[near + 1] = True
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            length = np.repeat(np.diff(np.append(begin, len(key))), np.diff(np.append(begin, len(key)))) << wide
+            for a in range(0, int(many.sum()), 100_000):
+                own = np.flatnonzero(many)[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(uid[own]), pa.array(size[own]), pa.array(pos[own], pa.int32()), pa.array(length[own], pa.int64()), pa.array((1 << wide[own]).astype(np.int32))], schema=_LIST_ARROW)
+
+    return run
 
 
 def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
@@ -264,18 +284,48 @@ def _star(batches):
             yield _pairs(uid[own], uid[hub][own])
 
 
+def _wide_stars(rows: DataFrame) -> DataFrame:
+    """As _star, for lists in several parts: the hub is an aggregate, and meets each part by a join."""
+    hub = rows.groupBy("sig").agg(F.max_by(F.struct("uid", "size", "pos"), F.struct("met", -F.col("uid"))).alias("hub"), F.max("parts").alias("n"))
+    hub = hub.select("sig", "hub", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
+    both = rows.withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).join(hub, ["sig", "salt"])
+    x, y = (lambda c: F.col(c)), (lambda c: F.col(f"hub.{c}"))
+    least = -F.floor(-NUM * (x("size") + y("size")) / (NUM + DEN))
+    most = F.least(x("pos"), y("pos")) + F.least(x("size") - x("pos"), y("size") - y("pos"))
+    possible = (x("pos") < 0) | ((x("pos") <= x("size") - least) & (y("pos") <= y("size") - least) & (most >= least))
+    fits = F.least(x("size"), y("size")) * DEN >= F.greatest(x("size"), y("size")) * NUM
+    return both.where((x("uid") != y("uid")) & fits & possible).select(F.least(x("uid"), y("uid")).alias("x"), F.greatest(x("uid"), y("uid")).alias("y"))
+
+
+def _blocks(members: DataFrame, split: int) -> DataFrame:
+    """Members of lists in several parts whose sets lie in several components, once for each pair of
+    blocks in which they meet others: blocks of the list's largest component (side 0) with blocks of
+    the others (side 1), and the others' blocks among themselves (side 2: within one block)."""
+    sizes = members.groupBy("sig", "component").agg(F.count("*").alias("n"), F.max("parts").alias("parts"))
+    of = sizes.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.max("parts").alias("p"), F.count("*").alias("met")).where("met > 1")
+    of = of.select("sig", F.col("top.component").alias("top"), F.ceil((F.col("total") - F.col("top.n")) / (1 << split)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("salt"))
+    rows = members.withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).join(of, ["sig", "salt"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("q")).cast("int"))
+    cell = lambda a, b, side: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), side.cast("int").alias("side"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    own = F.col("own")
+    inner = each("q", lambda k: cell(-1 - F.least(own, k), F.greatest(own, k), F.when(own == k, 2).when(own < k, 0).otherwise(1)))
+    where = F.when(F.col("component") == F.col("top"), each("q", lambda k: cell(F.col("salt"), k, F.lit(0)))).otherwise(F.concat(each("parts", lambda k: cell(k, own, F.lit(1))), inner))
+    return rows.select("sig", "uid", "size", "pos", "component", F.explode(where).alias("w")).select(F.xxhash64("sig", "w.a", "w.b").alias("sig"), "uid", "size", "pos", "component", "w.side")
+
+
 def _cross(batches):
-    """Pairs of a list across components that sizes and prefix positions allow."""
+    """Pairs of a list (or of two of its blocks) across components that sizes and places allow."""
     for table in whole_groups(batches, "sig"):
-        sig, uid, size, pos, comp = (table.column(c).to_numpy() for c in ("sig", "uid", "size", "pos", "component"))
+        sig, uid, size, pos, comp, side = (table.column(c).to_numpy() for c in ("sig", "uid", "size", "pos", "component", "side"))
         order = np.lexsort((uid, size, sig))
-        sig, uid, size, pos, comp = sig[order], uid[order], size[order].astype(np.int64), pos[order].astype(np.int64), comp[order]
+        sig, uid, size, pos, comp, side = sig[order], uid[order], size[order].astype(np.int64), pos[order].astype(np.int64), comp[order], side[order]
         i, step = np.arange(len(sig)), 0
         while len(i):  # each member against the one `step` places on, as long as sizes allow
             step += 1
             i = i[: np.searchsorted(i, len(sig) - step)]
             i = i[(sig[i] == sig[i + step]) & (size[i] * DEN >= size[i + step] * NUM)]
-            x = i[comp[i] != comp[i + step]]
+            x = i[(comp[i] != comp[i + step]) & ((side[i] == 2) | (side[i] != side[i + step]))]
             y = x + step
             ok = _possible(size[x], pos[x], size[y], pos[y])
             if ok.any():
@@ -319,22 +369,26 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(own.select(F.col("uid").alias("y"), F.col("words").alias("words_y")), "y").select("x", "y", "words_x", "words_y").transform(in_arrow, _verify, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (id, n_shingles, component_id).
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marks: bool = False, split: int = SPLIT) -> DataFrame:
+    """One row per row of docs: (id, n_shingles, component_id); with marks also text_mark (xxhash64 of
+    the text), class (a number of the component) and group_size (its rows; 1 without a shingle).
 
     Texts are lower-cased in A-Z; two documents link when their sets of distinct 5-word shingles
     have a Jaccard similarity of 0.75 or more, compared in integers; a text of one to four words is
     one shingle. component_id is the smallest id that links reach. Null, empty and blank texts have
     no shingle and link with nothing: their component is their own id. Rows that agree in id and
-    text link like any equal texts; rows without an id link like others but give no component id. Empty tables
-    give no rows; further columns are ignored. Shingles are compared by 64-bit hashes.
+    text link like any equal texts; rows without an id link like others but give no component id. A very long
+    text is one set, whole; it and its words are held by one task at a time. Ties need no rule: links
+    have no direction. Empty tables give no rows; further columns, whatever their names, are ignored.
+    Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     text = text_or_empty(text_col)
     # A row's number is fixed by the first table written. Numbers of a task lie close together, so lists of them compress.
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("uid", F.monotonically_increasing_id())
-    sets = stash(base.select("uid", "doc_id", "text").transform(in_arrow, _sets, _SETS))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    base = base.withColumns({"mark": F.xxhash64("text"), "uid": F.monotonically_increasing_id()})
+    sets = stash(base.select("uid", "doc_id", "mark", "text").transform(in_arrow, _sets, _SETS))
     ranks, length = _ranks(sets)
     rows = sets.where("segment is null")
     leads = rows.where("words is not null")
@@ -344,20 +398,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = key_filter(extra)
     light = leads.select("uid", "words")
     texts = passing(light, "uid", held, want=False).union(passing(light, "uid", held).join(extra, "uid", "left_anti"))
-    posted = texts.transform(in_arrow, _post(n * FINE, spark.sparkContext.broadcast(ranks.tobytes()), boundary(length)), "bucket int, blob binary")
-    lists = stash(posted.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket").transform(in_arrow, _lists, _LIST))
+    posted = texts.transform(in_arrow, _post(n * FINE, spark.sparkContext.broadcast(ranks.tobytes()), boundary(length), split), "bucket int, blob binary")
+    lists = stash(posted.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket").transform(in_arrow, _lists(n * FINE), _LIST))
     met = lists.groupBy("uid").agg(F.sum("length").alias("met"))
-    stars = lists.select("sig", "uid", "size", "pos").join(met, "uid").repartition(n, "sig").sortWithinPartitions("sig").transform(in_arrow, _star, "x long, y long")
-    tried = stash(stars.distinct())
+    ranked = lists.drop("length").join(met, "uid")
+    stars = ranked.where("parts = 1").select("sig", "uid", "size", "pos", "met").repartition(n, "sig").sortWithinPartitions("sig").transform(in_arrow, _star, "x long, y long")
+    tried = stash(stars.union(_wide_stars(ranked.where("parts > 1"))).distinct())
     first = stash(similar(tried, light))
     joined = components(first)
     members = lists.drop("length").join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    split = members.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    across = members.join(split, "sig", "left_semi").repartition(n, "sig").sortWithinPartitions("sig").transform(in_arrow, _cross, "x long, y long").distinct()
+    short = members.where("parts = 1")
+    split = short.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
+    short = short.join(split, "sig", "left_semi").select("sig", "uid", "size", "pos", "component", F.lit(2).alias("side"))
+    across = short.union(_blocks(members.where("parts > 1"), split)).repartition(n, "sig").sortWithinPartitions("sig").transform(in_arrow, _cross, "x long, y long").distinct()
     across = stash(across.join(tried, ["x", "y"], "left_anti"))
     links = first.union(similar(across, light))
     node = components(links)
-    whole = rows.select("uid", "doc_id", "size", "one", "two").join(classes, ["one", "two"], "left").join(node.withColumnRenamed("node", "rep"), "rep", "left")
+    whole = rows.select("uid", "doc_id", "mark", "size", "one", "two").join(classes, ["one", "two"], "left").join(node.withColumnRenamed("node", "rep"), "rep", "left")
     whole = whole.withColumn("class", F.when(F.col("size") > 0, F.coalesce("component", "rep")))
-    least = whole.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return whole.join(least, "class", "left").select(F.col("doc_id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = whole.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    found = whole.join(least, "class", "left")
+    more = [F.col("mark").alias("text_mark"), "class", F.coalesce("rows", F.lit(1)).alias("group_size")] if marks else []
+    return found.select(F.col("doc_id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), *more)
