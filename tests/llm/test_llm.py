@@ -83,9 +83,10 @@ def near(spark):
     return spark.createDataFrame(rows + [(i, t) for i, t in HARD if i != 15], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("name", ["near", "docs"])
-def test_jaccard_join(spark, docs, name):
-    frame = docs if name == "docs" else near(spark)
+@pytest.mark.parametrize(("name", "split"), [("near", jaccard_join.SPLIT), ("near", 0), ("docs", jaccard_join.SPLIT), ("docs", 1)])
+def test_jaccard_join(spark, docs, name, split):
+    """split: how long a list must be to be dealt over parts."""
+    frame = docs if name == "docs" else near(spark).withColumns({"h": F.lit("x"), "uid": F.lit(1), "sig": F.lit(None)})
     rows = []
     for r in frame.collect():
         w = words((r.text or "").translate({i: i + 32 for i in range(65, 91)}))
@@ -105,7 +106,7 @@ def test_jaccard_join(spark, docs, name):
     for i, (d, _) in enumerate(rows):
         least[find(i)].append(d)
     want = [(d, len(s), min((x for x in least[find(i)] if x is not None), default=None)) for i, (d, s) in enumerate(rows)]
-    assert multiset(tuple(r) for r in jaccard_join.jaccard_components(frame).collect()) == multiset(want)
+    assert multiset(tuple(r) for r in jaccard_join.jaccard_components(frame, split=split).collect()) == multiset(want)
 
 
 def test_components(spark):

@@ -408,8 +408,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = components(first)
     members = lists.drop("length").join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     short = members.where("parts = 1")
-    split = short.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    short = short.join(split, "sig", "left_semi").select("sig", "uid", "size", "pos", "component", F.lit(2).alias("side"))
+    apart = short.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
+    short = short.join(apart, "sig", "left_semi").select("sig", "uid", "size", "pos", "component", F.lit(2).alias("side"))
     across = short.union(_blocks(members.where("parts > 1"), split)).repartition(n, "sig").sortWithinPartitions("sig").transform(in_arrow, _cross, "x long, y long").distinct()
     across = stash(across.join(tried, ["x", "y"], "left_anti"))
     links = first.union(similar(across, light))

@@ -68,7 +68,7 @@ def op10_pii(spark, sf_dir):
     base = F.concat(*[pii.listed(F.col(k), k) for k in ("email", "ip", "card", "phone")])
     added = F.transform("added", lambda m: F.concat_ws(":", m["kind"], m["start"], m["end"]))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, added), ",").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, added), ",").alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("added") + F.size("email") + F.size("ip") + F.size("card") + F.size("phone")).cast("long").alias("n_spans"))
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_license_scan, op4_jaccard_join, op5_chat_format, op6_packing, op7_exact_dedup, op8_decontamination, op9_html_extract, op10_pii)}
