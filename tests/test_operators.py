@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from veritrace.functions import terms
 from veritrace.functions.text import clean, matched_terms, percent, strip
-from veritrace.operators import consensus, diff, lint, linking, metrics, ordering, usage
+from veritrace.operators import consensus, diff, extraction, lint, linking, metrics, ordering, usage
 from veritrace.sources import envelopes, sinks
 
 
@@ -67,7 +67,7 @@ def test_text_and_lint(spark):
     assert got == {("R2", lint.WEAK), ("R2", lint.MISSING)}
     assert one(spark, lint.source_section(F.lit("REQ_A2_1_003"), F.lit(None).cast("string")))[0] == "A2.1.003"
     prose = F.lit("This chapter describes the interface.")
-    assert one(spark, lint.relevant(prose, r"\bshall\b", "is set", "if "), lint.relevant(prose, r"\bshall\b", "is set", "if ", literal_compat=True)) == (False, True)
+    assert one(spark, extraction.relevant(prose), extraction.relevant(prose, literal_compat=True)) == (False, True)
 
 
 def test_ordering(spark):
@@ -132,8 +132,9 @@ def test_similar_changes_reads_every_part(spark):
     words = {i: [w for w in dict.fromkeys(re.findall("[a-z0-9_]+", t.lower())) if len(w) >= 3 and w not in terms.COMMON_TOKENS] for i, t in rows.items()}
     pairs = []
     for a in (i for i in rows if i % 2 == 0):
-        shared = sorted((-len(set(words[a]) & set(words[b])), b) for b in rows if b % 2)
-        for rank, (score, b) in enumerate(shared[: terms.CANDIDATES]):
+        both = {b: set(words[a]) & set(words[b]) for b in rows if b % 2}
+        shared = sorted((-len(x), min((words[a].index(w) for w in x), default=0), b) for b, x in both.items())
+        for rank, (score, _, b) in enumerate(shared[: terms.CANDIDATES]):
             ratio = round(difflib.SequenceMatcher(None, rows[a].lower(), rows[b].lower()).ratio(), 4)
             if score and ratio >= terms.MATCH_LIMITS["requirement"]:
                 pairs.append((-ratio, a, rank, b))

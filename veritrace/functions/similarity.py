@@ -1,13 +1,17 @@
-"""Sequence similarity: the one place where no built-in expression has the semantics."""
+"""Sequence similarity and paragraph normalising: the places where no built-in expression has the semantics."""
 
 from __future__ import annotations
 
 import difflib
+import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .patterns import TECHNICAL_TOKEN
+
 
 @F.pandas_udf(T.DoubleType())
 def similarity(old: pd.Series, new: pd.Series) -> pd.Series:
@@ -25,3 +29,33 @@ def first_change(old: pd.Series, new: pd.Series) -> pd.DataFrame:
         o = next(ops, None)
         rows.append((" ".join(x[o[1] : o[2]]), " ".join(y[o[3] : o[4]])) if o else ("", ""))
     return pd.DataFrame(rows, columns=["old", "new"])
+
+
+@F.pandas_udf(T.DoubleType())
+def ratio(old: pd.Series, new: pd.Series) -> pd.Series:
+    """As similarity, not rounded; a null text is empty."""
+    return pd.Series([difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(old, new)], dtype="float64")
+
+
+_TECHNICAL = re.compile(TECHNICAL_TOKEN)
+_RULES = [(re.compile(a), b) for a, b in ((r"(\w)-\s*\n\s*(\w)", r"\1-\2"), (r"(?<!\n)\n(?!\n)", " "), (r"\s+", " "), (r"\s+([,.;:])", r"\1"))]
+
+
+def normalized(text: str | None) -> str:
+    """Text without what extraction leaves behind: soft hyphens, wrapped lines, stray spaces, in one
+    Unicode form. Technical tokens (numbers in hexadecimal, dotted mnemonics, register names) keep theirs."""
+    held: list[str] = []
+
+    def keep(m: re.Match) -> str:
+        held.append(m[0])
+        return f"\0{len(held) - 1}\0"
+
+    out = unicodedata.normalize("NFKC", _TECHNICAL.sub(keep, text or "")).replace("\u00ad", "")
+    for pattern, by in _RULES:
+        out = pattern.sub(by, out)
+    return re.sub("\0(\\d+)\0", lambda m: held[int(m[1])], out.strip())
+
+
+@F.pandas_udf(T.StringType())
+def paragraph(text: pd.Series) -> pd.Series:
+    return text.map(normalized)

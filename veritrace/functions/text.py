@@ -50,13 +50,17 @@ def percent_sql(k: str, n: str) -> str:
 
 
 def matched_terms(c: Column, terms: list[str]) -> Column:
-    """The terms that occur in lower-cased text as whole words, longest first, then by name."""
+    """The terms that occur in lower-cased text as whole words, longest first, then by name. Each term is
+    one literal pattern, behind one pattern of all of them: most texts have none."""
     import re
 
     ordered = sorted({t.lower() for t in terms}, key=lambda t: (-len(t), t))
-    pairs = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(r"(?U)(?<!\w)" + re.sub(r"([^\w\s])", r"\\\1", t) + r"(?!\w)").alias("p")) for t in ordered])
-    text = F.lower(F.coalesce(c, F.lit("")))
-    return F.transform(F.filter(pairs, lambda x: F.regexp_like(text, x["p"])), lambda x: x["t"])
+    quoted = [re.sub(r"([^\w\s])", r"\\\1", t) for t in ordered]
+    whole = lambda p: rf"(?U)(?<!\w)(?:{p})(?!\w)"
+    text, none = F.lower(F.coalesce(c, F.lit(""))), F.array().cast("array<string>")
+    if not ordered:
+        return none
+    return F.when(text.rlike(whole("|".join(quoted))), F.array_compact(F.array(*[F.when(text.rlike(whole(p)), t) for t, p in zip(ordered, quoted)]))).otherwise(none)
 
 
 def significant_tokens(c: Column, common: list[str]) -> Column:
@@ -72,11 +76,11 @@ def natural_key(c: Column) -> Column:
 
 
 def signals(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b([A-Z][A-Z0-9_]{2,})\b"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?U)\b([A-Z][A-Z0-9_]{2,})\b"), F.lit(1))))
 
 
 def acronyms(c: Column, stop: list[str]) -> Column:
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b([A-Z]{2,10})\b"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?U)\b([A-Z]{2,10})\b"), F.lit(1))
     return F.array_sort(F.array_except(F.array_distinct(found), F.array(*map(F.lit, stop)) if stop else F.array().cast("array<string>")))
 
 
@@ -89,3 +93,37 @@ def cross_references(c: Column) -> Column:
 def lenient_decimal(c: Column) -> Column:
     """$1,234.50 and the like; junk, blank and null are 0."""
     return F.coalesce(F.regexp_replace(c.cast("string"), r"[$,\s]", "").try_cast("decimal(38,18)"), F.lit(0).cast("decimal(38,18)"))
+
+
+def folded(c: Column) -> Column:
+    """White space collapsed, case folded (sharp s as ss)."""
+    return F.replace(F.lower(strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))), F.lit("ß"), F.lit("ss"))
+
+
+def has_content(c: Column, kind: str = "string") -> Column:
+    """Content at any depth of a string, an array of strings or a number. kind: string, array or scalar."""
+    if kind == "array":
+        return F.coalesce(F.exists(c, present), F.lit(False))
+    return present(c) if kind == "string" else c.isNotNull()
+
+
+def title_case(c: Column) -> Column:
+    """Each run of letters with a capital first, also after an apostrophe or a digit."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?U)(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 30)))), "")
+
+
+def words(c: Column) -> Column:
+    return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+
+
+def lines(c: Column) -> Column:
+    """Stripped, non-empty lines."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"), strip), lambda x: x != "")
+
+
+def lenient_tokens(c: Column, grouped: bool = True) -> Column:
+    """Whole tokens; with grouped, 1,234.5 is 1234, else only plain whole numbers count; the rest is 0."""
+    text = c.cast("string")
+    number = F.regexp_replace(text, r"[,\s]", "").try_cast("decimal(38,6)").cast("bigint") if grouped else F.when(strip(text).rlike(r"^[+-]?\d+$"), strip(text).try_cast("bigint"))
+    return F.coalesce(number, F.lit(0).cast("bigint"))

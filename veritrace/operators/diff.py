@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..functions.similarity import similarity
+from ..functions.similarity import paragraph, similarity
 from ..functions.text import clean, comparison_text, significant_tokens, stable_hash
+from ..sources.shared import settled
+from .ordering import ranked
 
 
 def by_key(old: DataFrame, new: DataFrame, on: str, value: str) -> DataFrame:
@@ -19,35 +21,50 @@ def by_key(old: DataFrame, new: DataFrame, on: str, value: str) -> DataFrame:
     return both.withColumn("change", kind).where("change is not null").drop("_old", "_new")
 
 
-def exact_pairs(old: DataFrame, new: DataFrame, text: str, pos: str) -> DataFrame:
-    """The k-th old with the k-th new record of each content hash."""
-    rank = lambda df, p: df.select(stable_hash(F.col(text)).alias("h"), F.col(pos).alias(p)).withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy(p)))
-    return rank(old, "old_pos").join(rank(new, "new_pos"), ["h", "k"])
+def records(items: DataFrame, text: Column, preview: Column, pos: str, page: Column | None = None, section: Column | None = None) -> DataFrame:
+    """What two versions' items are compared by: (pos, content, normalized, hash, tokens, length, page,
+    section, preview). Hash, tokens and similarity come from the paragraph form, length from the clean one."""
+    null = F.lit(None)
+    out = items.select(F.col(pos).cast("long").alias("pos"), clean(text).alias("content"), paragraph(text).alias("normalized"), (page if page is not None else null).cast("int").alias("page"), (section if section is not None else null).cast("string").alias("section"), preview.alias("preview"))
+    return out.withColumns({"hash": stable_hash(F.col("normalized")), "tokens": significant_tokens(clean(F.col("normalized")), terms.COMMON_TOKENS), "length": F.length("content")})
 
 
-def candidates(old: DataFrame, new: DataFrame, text: str, pos: str) -> DataFrame:
-    """Pairs that share tokens, by how many; each old record's best. (old_pos, new_pos, token_score)
+def exact_pairs(old: DataFrame, new: DataFrame, text: str, pos: str, hashed: bool = False) -> DataFrame:
+    """The k-th old with the k-th new record of each content hash: (h, k, old_pos, new_pos). Only hashes that
+    both sides have are numbered, and a hot one is not held by one task. hashed: text is the hash itself."""
+    side = lambda df, p: df.select((F.col(text) if hashed else stable_hash(F.col(text))).alias("h"), F.col(pos).alias(p))
+    a, b = side(old, "old_pos"), side(new, "new_pos")
+    both = a.select("h").distinct().join(b.select("h").distinct(), "h")
+    rank = lambda df, p: ranked(df.join(both, "h", "left_semi"), ["h"], [p], "k")
+    return rank(a, "old_pos").join(rank(b, "new_pos"), ["h", "k"])
 
-    Records of equal token sets have equal scores, so sets are compared, not records: of a new set
-    only its first records can be among the best, and those are the same for all records of an old one.
+
+def candidates(old: DataFrame, new: DataFrame, text: str, pos: str, tokens: str | None = None) -> DataFrame:
+    """Pairs that share tokens, by how many; each old record's best. (old_pos, new_pos, token_score, rank)
+
+    Equal scores rank by which new record is touched first: by the place in the old record of the first
+    token that both have, then by the new record's place. Records of equal token lists are compared as one:
+    of a new list only its first records can be among the best, and they are the same for all records
+    of an old list. tokens: a column of token lists, else those of text.
     """
-    tokens = F.array_sort(F.slice(significant_tokens(F.col(text), terms.COMMON_TOKENS), 1, terms.TOKENS_USED))
-    a, b = old.select(F.col(pos).alias("old_pos"), tokens.alias("old_set")), new.select(F.col(pos).alias("new_pos"), tokens.alias("new_set"))
+    listed = F.slice(F.col(tokens) if tokens else significant_tokens(clean(F.col(text)), terms.COMMON_TOKENS), 1, terms.TOKENS_USED)
+    a, b = old.select(F.col(pos).alias("old_pos"), listed.alias("old_set")), new.select(F.col(pos).alias("new_pos"), F.array_sort(listed).alias("new_set"))
     first = b.withColumn("place", F.row_number().over(Window.partitionBy("new_set").orderBy("new_pos"))).where(F.col("place") <= terms.CANDIDATES)
-    side = lambda df, s: df.select(s).distinct().select(s, F.explode(s).alias("token"))
-    score = side(a, "old_set").join(side(b, "new_set"), "token").groupBy("old_set", "new_set").agg(F.count("*").alias("token_score"))
-    w = Window.partitionBy("old_set").orderBy(F.desc("token_score"), "new_pos")
+    left = a.select("old_set").distinct().select("old_set", F.posexplode("old_set").alias("at", "token"))
+    right = b.select("new_set").distinct().select("new_set", F.explode("new_set").alias("token"))
+    score = left.join(right, "token").groupBy("old_set", "new_set").agg(F.count("*").alias("token_score"), F.min("at").alias("touched"))
+    w = Window.partitionBy("old_set").orderBy(F.desc("token_score"), "touched", "new_pos")
     best = score.join(first, "new_set").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= terms.CANDIDATES)
     return a.join(best, "old_set").select("old_pos", "new_pos", "token_score", "rank")
 
 
-def scored(pairs: DataFrame, old: DataFrame, new: DataFrame, text: str, pos: str, limit: float) -> DataFrame:
-    """Candidates that pass the cheap gates, with their similarity, from the limit on."""
-    tokens = significant_tokens(F.col(text), terms.COMMON_TOKENS)
-    a = old.select(F.col(pos).alias("old_pos"), F.col(text).alias("old_text"), tokens.alias("old_tokens"))
-    b = new.select(F.col(pos).alias("new_pos"), F.col(text).alias("new_text"), tokens.alias("new_tokens"))
-    both = pairs.join(a, "old_pos").join(b, "new_pos")
-    x, y = F.greatest(F.length("old_text"), F.lit(1)), F.greatest(F.length("new_text"), F.lit(1))
+def scored(pairs: DataFrame, old: DataFrame, new: DataFrame, text: str, pos: str, limit: float, of: str | None = None, tokens: str | None = None, length: str | None = None) -> DataFrame:
+    """Candidates that pass the cheap gates, with their similarity, from the limit on. of: the column to
+    compare, else text; tokens and length: columns for the gates, else those of text."""
+    listed = F.col(tokens) if tokens else significant_tokens(clean(F.col(text)), terms.COMMON_TOKENS)
+    side = lambda df, p: df.select(F.col(pos).alias(f"{p}_pos"), F.col(of or text).alias(f"{p}_text"), listed.alias(f"{p}_tokens"), (F.col(length) if length else F.length(clean(F.col(text)))).alias(f"{p}_length"))
+    both = pairs.join(side(old, "old"), "old_pos").join(side(new, "new"), "new_pos")
+    x, y = F.greatest(F.col("old_length"), F.lit(1)), F.greatest(F.col("new_length"), F.lit(1))
     gate = (F.least(x, y) / F.greatest(x, y) >= terms.LENGTH_RATIO) & (F.col("token_score") / F.size(F.array_union("old_tokens", "new_tokens")) >= terms.TOKEN_OVERLAP)
     out = both.where(gate).withColumn("similarity", similarity(comparison_text(F.col("old_text")), comparison_text(F.col("new_text"))))
     return out.where(F.col("similarity") >= limit).select("old_pos", "new_pos", "token_score", "rank", "similarity", "old_text", "new_text")
@@ -58,26 +75,32 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
     sides match, which in the end is what taking pairs one by one from the best gives. The best pair
     of all that are left always matches, so rounds go on until none is left."""
     order = [F.desc("similarity"), F.asc("old_pos"), F.asc("rank"), F.asc("new_pos")]
-    context = pairs.sparkSession.sparkContext
-    if not pairs.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir("/tmp/veritrace-checkpoints")  # only a session without a cluster's folder
-    left, done = pairs.checkpoint(), None
+    left, done = settled(pairs), None
     while True:
         best = left.withColumn("_o", F.row_number().over(Window.partitionBy("old_pos").orderBy(*order))).withColumn("_n", F.row_number().over(Window.partitionBy("new_pos").orderBy(*order)))
-        now = best.where("_o = 1 and _n = 1").drop("_o", "_n").checkpoint()
+        now = settled(best.where("_o = 1 and _n = 1").drop("_o", "_n"))
         if now.isEmpty():
             break
         done = now if done is None else done.unionByName(now)  # joins move their key to the front
-        left = left.join(now.select("old_pos"), "old_pos", "left_anti").join(now.select("new_pos"), "new_pos", "left_anti").checkpoint()
+        left = settled(left.join(now.select("old_pos"), "old_pos", "left_anti").join(now.select("new_pos"), "new_pos", "left_anti"))
     return done if done is not None else pairs.limit(0)
 
 
-def wording_class(old: str, new: str, score: str = "similarity"):
+def found(c: Column, pattern: str, group: int = 0) -> Column:
+    """All matches in clean lower-case text: numbers, obligation words or references."""
+    return F.regexp_extract_all(F.lower(clean(c)), F.lit("(?i)" + pattern), F.lit(group))
+
+
+def change_class(old: Column, new: Column, score: Column) -> Column:
     """What kind of change a modified text is: numbers, obligation, references, then similarity."""
-    found = lambda c, p: F.regexp_extract_all(F.lower(clean(F.col(c))), F.lit("(?i)" + p), F.lit(0))
     differs = lambda p: found(old, p) != found(new, p)
     minor, major = terms.WORDING_LIMITS
+    blank = (clean(old) == "") | (clean(new) == "")
     return (
         F.when(differs(terms.NUMBER_PATTERN), "numeric_value_change").when(differs(terms.OBLIGATION_PATTERN), "requirement_strength_change").when(differs(terms.REFERENCE_PATTERN), "cross_reference_change")
-        .when(F.col(score) >= minor, "minor_wording_change").when(F.col(score) >= major, "substantive_wording_change").otherwise("content_change")
+        .when(blank, "content_change").when(score >= minor, "minor_wording_change").when(score >= major, "substantive_wording_change").otherwise("content_change")
     )
+
+
+def wording_class(old: str, new: str, score: str = "similarity") -> Column:
+    return change_class(F.col(old), F.col(new), F.col(score))

@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import STATUS_ALIASES, STATUS_WEIGHTS
-from ..functions.text import first_present, present, strip
+from ..functions.text import clean, first_present, present, strip
 
 #: Resolution of an id, by module: which fields are tried, in order.
-KEY_ORDER = {"plan": ("requirement_id", "id"), "spec": ("id", "requirement_id"), "evidence": ("requirement_id", "id", "req_id")}
+KEY_ORDER = {"plan": ("requirement_id", "id"), "spec": ("id", "requirement_id"), "evidence": ("requirement_id", "id", "req_id"), "version": ("requirement_id", "id", "identifier", "name", "req_id", "requirement")}
 
 
 def key(df: DataFrame, kind: str) -> Column:
     """The id of a row under one module's precedence; null if no field gives one."""
-    found = [F.col(c) for c in KEY_ORDER[kind] if c in df.columns]
-    found = [strip(c) for c in found] if kind == "evidence" else found
+    found = [F.col(c) for c in KEY_ORDER[kind] if c in df.columns and (kind != "evidence" or df.schema[c].dataType.typeName() == "string")]
+    if kind == "evidence":  # only strings are ids there
+        found = [strip(c) for c in found]
+    if kind == "version":
+        found = [clean(c.cast("string")) for c in found]
     return first_present(*found) if found else F.lit(None).cast("string")
 
 
@@ -68,6 +71,81 @@ def classify(n_rows: Column, n_complete: Column, n_covered: Column, n_labelled:
     return F.when((n_rows == 0) | (n_complete == 0), none).when(full, "Covered").otherwise("Partially covered")
 
 
+_REASONS = {
+    "id": "Requirement has no identifiable requirement ID.",
+    "none_ambiguous": "Requirement has no generated tests and has linked weak-word or edge-case signals.",
+    "none": "Requirement has no generated tests.",
+    "empty": "No linked row contains a complete executable test and observable expected result",
+    "full": "Every linked row contains a complete executable test, every row is marked covered, and no linked ambiguity evidence was found.",
+    "partial": "At least one concrete test is available, but full coverage is not justified because ",
+}
+
+
+def reason(has_id: Column, n_rows: Column, n_complete: Column, n_covered: Column, n_labelled: Column, n_partial: Column, ambiguous: Column) -> Column:
+    """Why a requirement has its status; the counts are those of classify, n_partial: labelled partial."""
+    part = lambda c, said: F.when(c, said)
+    why = F.array_compact(F.array(
+        F.when(n_rows > n_complete, F.concat((n_rows - n_complete).cast("string"), F.lit(" linked row(s) lack complete executable test content"))), part(n_labelled < n_complete, "one or more complete tests have no recognised vPlan coverage label"),
+        part(n_partial > 0, "one or more complete tests are marked partially covered"), part(ambiguous, "weak-language or edge-case evidence is linked"),
+    ))
+    full = (n_complete == n_rows) & ~ambiguous & (n_labelled == n_complete) & (n_covered == n_complete)
+    partial = F.concat(F.lit(_REASONS["partial"]), F.coalesce(F.nullif(F.array_join(why, "; "), F.lit("")), F.lit("the linked evidence is incomplete")), F.lit("."))
+    return (
+        F.when(~has_id, _REASONS["id"]).when((n_rows == 0) & ambiguous, _REASONS["none_ambiguous"]).when(n_rows == 0, _REASONS["none"]).when((n_complete == 0) & ambiguous, _REASONS["empty"] + "; ambiguity evidence is also present.")
+        .when(n_complete == 0, _REASONS["empty"] + ".").when(full, _REASONS["full"]).otherwise(partial)
+    )
+
+
+def recognised(*labels: Column) -> Column:
+    """The first of several label fields that holds a known coverage label, lower case."""
+    known = ["covered", "partially_covered", "uncovered"]
+    return F.coalesce(*[F.when(F.lower(strip(c)).isin(known), F.lower(strip(c))) for c in labels])
+
+
+def verified(requirements: DataFrame, plan: DataFrame, edge_cases: DataFrame, weak_flags: DataFrame, order: str = "pos") -> DataFrame:
+    """The labelled requirements: each with its status, reason, tests, labels, supporting ids (valid ones as
+    records, invalid ones as ids), edge cases and weak wording flags, in input order.
+
+    plan: (requirement_id, test_id, coverage, complete, supporting_requirement_ids, pos); edge_cases and
+    weak_flags: requirement_id, pos and fields of their own. Each side is grouped before it is joined; the
+    nested arrays are what the result is made of, so a requirement's evidence bounds its row."""
+    label = recognised(*[F.col(c) for c in ("coverage", "test_coverage", "status") if c in plan.columns])
+    rows = plan.where(F.col("requirement_id").isNotNull()).withColumn("_label", label).withColumn("_usable", F.col("complete") & (F.coalesce("_label", F.lit("")) != "uncovered"))
+    listed = lambda c: F.transform(F.filter(F.array_sort(F.collect_list(F.struct(order, F.col(c).alias("x")))), lambda s: s["x"].isNotNull()), lambda s: s["x"])
+    cited = F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list("supporting_requirement_ids")), lambda x: x != "")))
+    per = rows.groupBy("requirement_id").agg(
+        F.count("*").alias("n_rows"), F.count_if("_usable").alias("n_complete"), F.count_if(F.col("_usable") & F.col("_label").isNotNull()).alias("n_labelled"),
+        F.count_if(F.col("_usable") & (F.col("_label") == "covered")).alias("n_covered"), F.count_if(F.col("_usable") & (F.col("_label") == "partially_covered")).alias("n_partial"),
+        listed("test_id").alias("linked_tests"), listed("_label").alias("original_vplan_coverage_values"), cited.alias("linked_supporting_requirement_ids"),
+    )
+    nested = lambda df, name: nest(df, "requirement_id", [order], [c for c in df.columns if c not in ("requirement_id", order)], name)
+    none = F.array().cast("array<string>")
+    out = requirements.join(per, "requirement_id", "left").join(nested(edge_cases, "linked_edge_cases"), "requirement_id", "left").join(nested(weak_flags, "linked_weak_word_flags"), "requirement_id", "left")
+    out = out.fillna(0, ["n_rows", "n_complete", "n_labelled", "n_covered", "n_partial"]).withColumns({c: F.coalesce(c, none) for c in ("linked_tests", "original_vplan_coverage_values", "linked_supporting_requirement_ids")})
+    for c in ("linked_edge_cases", "linked_weak_word_flags"):
+        out = out.withColumn(c, F.coalesce(c, F.array().cast(out.schema[c].dataType)))
+    doubt = (F.size("linked_edge_cases") > 0) | (F.size("linked_weak_word_flags") > 0)
+    counts = [F.col(c) for c in ("n_rows", "n_complete", "n_covered", "n_labelled")]
+    has_id = F.col("requirement_id").isNotNull()
+    out = out.withColumn("coverage_verification_reason", reason(has_id, *counts, F.col("n_partial"), doubt)).withColumn("verified_coverage_status", F.when(~has_id, "Ambiguous / not yet plannable").otherwise(classify(*counts, doubt)))
+    return out.drop("n_rows", "n_complete", "n_labelled", "n_covered", "n_partial")
+
+
+def supporting_records(labelled: DataFrame, requirements: DataFrame, order: str = "pos") -> DataFrame:
+    """(requirement_id, records, invalid): of the ids that a labelled requirement's tests cite, those that
+    exist (the last requirement of an id; never the row itself) as records, and those that do not."""
+    fields = {"text": first_present(*[F.col(c) for c in ("text", "description") if c in requirements.columns]), "source_section": first_present(*[F.col(c) for c in ("source_section", "section") if c in requirements.columns]) if {"source_section", "section"} & set(requirements.columns) else F.lit(None).cast("string")}
+    known = requirements.where("requirement_id is not null").groupBy(F.col("requirement_id").alias("id")).agg(F.max_by(F.struct(*[F.coalesce(c, F.lit("")).alias(n) for n, c in fields.items()]), order).alias("_r"))
+    cited = labelled.select("requirement_id", F.explode("linked_supporting_requirement_ids").alias("id")).distinct().join(known, "id", "left")
+    own = F.col("_r").isNotNull() & (F.col("id") != F.col("requirement_id"))
+    return cited.groupBy("requirement_id").agg(F.array_sort(F.collect_list(F.when(own, F.struct("id", "_r.text", "_r.source_section")))).alias("records"), F.array_sort(F.collect_list(F.when(F.col("_r").isNull(), F.col("id")))).alias("invalid"))
+
+
+def traceability(labelled: DataFrame) -> DataFrame:
+    """The traceability table: requirements with an id, and whether they have either kind of evidence."""
+    return labelled.where("requirement_id is not null").select("requirement_id", F.col("linked_tests").alias("linked_test_ids"), "linked_supporting_requirement_ids", "original_vplan_coverage_values", "verified_coverage_status", (F.size("linked_edge_cases") > 0).alias("has_edge_case_flags"), (F.size("linked_weak_word_flags") > 0).alias("has_weak_word_flags"))
+
+
 def verify(requirements: DataFrame, tests: DataFrame, evidence: DataFrame) -> DataFrame:
     """requirements (requirement_id, ...), tests (requirement_id, label, complete), evidence
     (requirement_id): each requirement with verified_status and the counts behind it. Tests and
@@ -102,11 +180,16 @@ def supporting(requirements: DataFrame, on: str = "requirement_id", ids: str = "
     return cited.join(known, "cited", "left_semi"), cited.join(known, "cited", "left_anti")
 
 
+def duplicate_details(rows: DataFrame, on: str, fields: list[str], order: str = "pos") -> DataFrame:
+    """Ids that several rows have, with those rows' fields in order."""
+    return nest(rows, on, [order], fields, "rows").where(F.size("rows") > 1).withColumn("n", F.size("rows").cast("long"))
+
+
 def duplicate_ids(rows: DataFrame, on: str) -> DataFrame:
     return rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def resolve_traces(items: DataFrame, known: DataFrame) -> DataFrame:
-    """items (item, values array), known (kind, id): whether any value of an item resolves."""
-    hit = items.select("item", F.explode("values").alias("id")).join(known.select("id").distinct(), "id", "left_semi").select("item").distinct()
+def resolve_traces(items: DataFrame, values: DataFrame, known: DataFrame) -> DataFrame:
+    """items (item), values (item, id), known (id): whether any value of an item resolves. Values stay rows."""
+    hit = values.join(known.select("id").distinct(), "id", "left_semi").select("item").distinct()
     return items.join(hit.withColumn("resolved", F.lit(True)), "item", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))

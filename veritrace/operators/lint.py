@@ -21,9 +21,9 @@ def display_text(text: Column, description: Column) -> Column:
 
 
 def source_section(requirement_id: Column, *fields: Column) -> Column:
-    """The first filled field, or what the id says: REQ_A2_1_003 gives A2.1.003."""
-    derived = F.translate(F.regexp_extract(requirement_id, r"(?i)^REQ_(.+)$", 1), "_", ".")
-    return F.coalesce(*[F.when(present(f), strip(f)) for f in fields], F.nullif(derived, F.lit("")), F.lit(""))
+    """The first filled field, or what the id says: REQ_a2_1_003 gives A2.1.003; null without either."""
+    derived = F.upper(F.translate(F.regexp_extract(F.coalesce(requirement_id, F.lit("")), r"(?i)REQ_([A-Z]+\d+(?:_\d+)*)", 1), "_", "."))
+    return F.coalesce(*[F.when(present(f), strip(f)) for f in fields], F.nullif(derived, F.lit("")))
 
 
 def check_language(requirements: DataFrame, text: str = "text", weak: list[str] = terms.WEAK_WORDS, strong: list[str] = terms.STRONG_WORDS) -> DataFrame:
@@ -35,10 +35,24 @@ def check_language(requirements: DataFrame, text: str = "text", weak: list[str]
     return out.withColumn("_issue", F.explode(F.array_compact(issues))).select(*requirements.columns, "_issue.*")
 
 
-def relevant(text: Column, requirement: str, declarative: str, conditional: str, figure: str = r"(?i)^\s*(?:figure|fig\.)\s", lead_in: str | None = None, literal_compat: bool = False) -> Column:
-    """Whether a sentence states something: no figure reference or lead-in, and one of three wordings.
-    literal_compat keeps an empty alternative in the patterns: then any text with a word counts."""
-    said = text.rlike(requirement) | text.rlike(declarative) | text.rlike(conditional)
-    said = said | text.rlike(r"\w") if literal_compat else said
-    keep = ~text.rlike(figure) & said
-    return keep & ~text.rlike(lead_in) if lead_in else keep
+def flagged(requirements: DataFrame, issues: DataFrame, on: str = "id") -> DataFrame:
+    """Requirements with an issue; one without an id is never flagged, though its issues exist."""
+    return requirements.where(F.col(on).isNotNull()).join(issues.select(F.col("requirement_id").cast("string").alias("_id")).distinct(), F.col(on).cast("string") == F.col("_id"), "left_semi")
+
+
+def language_report(requirements: DataFrame, weak: list[str] = terms.WEAK_WORDS, strong: list[str] = terms.STRONG_WORDS) -> DataFrame:
+    """Issues as the report has them: (requirement_id, requirement_text, source_section, issue_type,
+    matched_words, message); a row without an id is UNKNOWN, one without text has no issue."""
+    null = F.lit(None).cast("string")
+    has = lambda c: F.col(c) if c in requirements.columns else null
+    rows = requirements.select(F.coalesce(F.nullif(has("id").cast("string"), F.lit("")), F.lit("UNKNOWN")).alias("requirement_id"), display_text(F.coalesce(has("text"), F.lit("")), F.coalesce(has("description"), F.lit(""))).alias("requirement_text"), source_section(has("id"), has("source_section"), has("section"), has("chapter")).alias("source_section"))
+    return check_language(rows.where("requirement_text <> ''"), "requirement_text", weak, strong)
+
+
+def summary_lines(issues: DataFrame, shown: int = 50) -> list[str]:
+    """A console summary: the number of issues, the first of them, and how many more there are."""
+    total = issues.count()
+    rows = issues.select("requirement_id", "issue_type", "matched_words").orderBy("requirement_id", "issue_type").limit(shown).collect()
+    said = [f"- {r.requirement_id}: " + (f"weak language found ({', '.join(r.matched_words)})" if r.issue_type == WEAK else "missing strong requirement language") for r in rows]
+    more = [f"... {total - shown} additional language issues saved to the JSON report."] if total > shown else []
+    return [f"Language issues found: {total}", *said, *more]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 
 def first_seen(rows: DataFrame, by: Column, order: list[str]) -> DataFrame:
     """Of rows with equal keys, the first; as an aggregation, so equal rows combine before the shuffle."""
@@ -16,13 +18,35 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "n")
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def section_ids(rows: DataFrame, section: str, order: list[str], prefix: str = "REQ_") -> DataFrame:
-    """Ids numbered within each section's cleaned name: REQ_A2_1_003."""
-    name = F.regexp_replace(F.coalesce(F.col(section), F.lit("Unknown")), r"[^A-Za-z0-9]+", "_")
-    out = numbered(rows.withColumn("_name", name), ["_name"], order, "_n")
+def section_ids(rows: DataFrame, section: str, order: list[str], prefix: str = "REQ_", by: list[str] | None = None) -> DataFrame:
+    """Ids numbered within each section's cleaned name (and document, given `by`): REQ_A2_1_003. A section
+    without a letter or digit, or null, is UNKNOWN.
+
+    Sections may be few and hot, so no window sorts a section: rows are range-partitioned by section
+    and order, numbered within each partition's part of a section, and moved on by the number of rows
+    that earlier partitions have of it (one row per partition and section)."""
+    name = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(section).cast("string"), F.lit("")), r"[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+    keys = [*(by or []), "_name"]
+    out = ranked(rows.withColumn("_name", F.when(name == "", "UNKNOWN").otherwise(name)), keys, order, "_n")
     return out.withColumn("new_id", F.concat(F.lit(prefix), "_name", F.lit("_"), F.format_string("%03d", "_n"))).drop("_name", "_n")
 
 
+def ranked(rows: DataFrame, by: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """As numbered, for keys that a large share of all rows may have: no task holds a whole key. The
+    range-partitioned rows are settled, since both uses must see the same partitions."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()))
+    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_rows"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
+    same = F.lit(True)
+    moved = before.toDF(*[f"_k{i}" for i in range(len(by))], "_p", "_before")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    out = local.join(moved, same & (F.col("_part") == F.col("_p")))
+    return out.withColumn(name, (F.col("_local") + F.col("_before")).cast("int")).select(*rows.columns, name)
+
+
 def carried(rows: DataFrame, value: Column, by: list[str], order: list[str], name: str, default: str = "Unknown") -> DataFrame:
     """The last non-null value so far within a document."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -40,20 +64,30 @@ def chunks(rows: DataFrame, opens: Column, by: list[str], order: list[str], text
 def suffixed(rows: DataFrame, id_col: str, order: list[str], blank: str = "TEST_UNKNOWN") -> DataFrame:
     """Second and later uses of an id get _DUP2, _DUP3, ..."""
     base = F.coalesce(F.nullif(F.col(id_col).cast("string"), F.lit("")), F.lit(blank))
-    out = numbered(rows.withColumn("_base", base), ["_base"], order, "_n")
+    out = ranked(rows.withColumn("_base", base), ["_base"], order, "_n")
     return out.withColumn("unique_id", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_DUP"), "_n"))).drop("_base", "_n")
 
 
 def category_batches(rows: DataFrame, category: str, sub: str, order: list[str], size: int) -> DataFrame:
-    """Rows of each category by subcategory in parts of `size`: part k of n. Per category only."""
-    by = Window.partitionBy(category)
-    place = F.row_number().over(by.orderBy(F.lower(sub), *order))
-    out = rows.withColumn("part", (F.floor((place - 1) / size) + 1).cast("int"))
-    return out.withColumn("parts", F.ceil(F.count("*").over(by) / size).cast("int"))
-
-
-def most_common_offset(pairs: DataFrame, old: str, new: str, least: int = 3) -> DataFrame:
-    """The most frequent difference of two page numbers, if it occurs `least` times."""
-    counts = pairs.groupBy((F.col(new) - F.col(old)).alias("offset")).agg(F.count("*").alias("n"))
-    best = counts.agg(F.max(F.struct("n", (-F.col("offset")).alias("minus"))).alias("b"))
-    return best.select((-F.col("b.minus")).alias("offset"), F.col("b.n").alias("n")).where(F.col("n") >= least)
+    """Rows of each category by subcategory in parts of `size`: part k of n. category_order numbers the
+    categories as they are first met. A category may be hot: ranks come from range partitions."""
+    seen = rows.groupBy(category).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_rows"))
+    seen = seen.withColumn("category_order", F.row_number().over(Window.orderBy("_first"))).select(F.col(category).alias("_c"), "_rows", "category_order")  # one row per category
+    out = ranked(rows.withColumn("_sub", F.lower(sub)), [category], ["_sub", *order], "_n").drop("_sub")
+    out = out.join(seen, F.col(category).eqNullSafe(F.col("_c"))).withColumn("part", (F.floor((F.col("_n") - 1) / size) + 1).cast("int"))
+    return out.withColumn("parts", F.ceil(F.col("_rows") / size).cast("int")).drop("_n", "_c", "_rows")
+
+
+def most_common_offset(pairs: DataFrame, old: str, new: str, least: int = 3, order: str | None = None) -> DataFrame:
+    """The most frequent difference of two page numbers, if it occurs `least` times. Of equals, with
+    order the one that is met first, else the smallest."""
+    met = F.min(order) if order else F.first(F.col(new) - F.col(old))
+    counts = pairs.groupBy((F.col(new) - F.col(old)).alias("offset")).agg(F.count("*").alias("n"), met.alias("met"))
+    best = counts.agg(F.max_by(F.struct("offset", "n"), F.struct("n", (-F.col("met")).alias("m"))).alias("b"))
+    return best.select("b.offset", "b.n").where(F.col("n") >= least)
+
+
+def batches(rows: DataFrame, order: list[str], size: int, by: list[str] | None = None, name: str = "batch") -> DataFrame:
+    """Rows in order, in batches of `size` numbered from 0, per key if given."""
+    out = ranked(rows.withColumn("_all", F.lit(0)), by or ["_all"], order, "_n")
+    return out.withColumn(name, F.floor((F.col("_n") - 1) / size).cast("int")).drop("_all", "_n")

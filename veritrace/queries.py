@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import terms
-from .functions.text import acronyms, matched_terms, natural_key, percent_sql, signals
+from .functions import patterns, terms
+from .functions.patterns import REPORT_LAYOUT
+from .functions.text import acronyms, cross_references, matched_terms, natural_key, percent_sql, signals
+from .operators import chapters, diff, extraction, linking, lint, metrics, ordering, planning, quality, traceability, usage, version_diff
 from .operators import consensus as agree
-from .operators import diff, linking, metrics, ordering, usage
 from .plans import coverage
 
 QUERIES: dict = {}
@@ -49,6 +50,38 @@ def _report(spark, d):
     return coverage.report(_requirements(spark, d), _tests(spark, d), _evidence(spark, d))
 
 
+def _plan(spark, d):
+    """Line items as whole plan rows: some without requirement, section or supporting ids."""
+    rows = _t(spark, d, "lineitem")
+    label = F.when(F.col("l_returnflag") == "R", "covered").when(F.col("l_returnflag") == "A", " Partially_Covered").otherwise("uncovered")
+    return rows.select(
+        F.when(F.col("l_partkey") % 11 != 0, F.col("l_orderkey")).alias("requirement_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("test_id"), F.when(F.col("l_suppkey") % 7 != 0, label).alias("coverage"),
+        (F.col("l_linestatus") == "O").alias("complete"), F.array((F.col("l_orderkey") + 1).cast("string"), F.lit("none")).alias("supporting_requirement_ids"),
+        F.when(F.col("l_linenumber") == 1, " ").when(F.col("l_linenumber") == 2, "A1").alias("source_section"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"),
+    )
+
+
+_PLAN = """plan AS (SELECT CASE WHEN l_partkey % 11 <> 0 THEN l_orderkey END AS requirement_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS test_id,
+  CASE WHEN l_suppkey % 7 <> 0 THEN CASE l_returnflag WHEN 'R' THEN 'covered' WHEN 'A' THEN 'partially_covered' ELSE 'uncovered' END END AS label, l_linestatus = 'O' AS complete,
+  CASE l_linenumber WHEN 1 THEN ' ' WHEN 2 THEN 'A1' END AS source_section, l_linenumber, l_partkey, l_suppkey FROM lineitem)"""
+
+
+def _labelled(spark, d):
+    spec = _requirements(spark, d).where("o_orderstatus <> 'P'").select("requirement_id")
+    flags = lambda kind: _t(spark, d, "events").where(F.col("event_type") == kind).select(F.col("event_id").alias("requirement_id"), F.col("event_id").alias("pos"), F.col("user_id").alias("flag"))
+    return spec, linking.verified(spec, _plan(spark, d), flags("error"), flags("login"))
+
+
+_VERIFIED = f"""WITH {_PLAN}, u AS (SELECT *, complete AND coalesce(label, '') <> 'uncovered' AS usable FROM plan),
+per AS (SELECT requirement_id, count(*) AS n, count(*) FILTER (usable) AS c, count(*) FILTER (usable AND label IS NOT NULL) AS l, count(*) FILTER (usable AND label = 'covered') AS f,
+  count(*) FILTER (usable AND label = 'partially_covered') AS p, string_agg(test_id, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS tests FROM u WHERE requirement_id IS NOT NULL GROUP BY 1),
+e AS (SELECT event_id AS requirement_id, count(*) FILTER (event_type = 'error') AS edges, count(*) FILTER (event_type = 'login') AS weak FROM events WHERE event_type IN ('error', 'login') GROUP BY 1),
+j AS (SELECT o_orderkey AS requirement_id, coalesce(n, 0) AS n, coalesce(c, 0) AS c, coalesce(l, 0) AS l, coalesce(f, 0) AS f, coalesce(p, 0) AS p, coalesce(tests, '') AS tests, coalesce(edges, 0) + coalesce(weak, 0) > 0 AS amb
+  FROM orders LEFT JOIN per ON o_orderkey = per.requirement_id LEFT JOIN e ON o_orderkey = e.requirement_id WHERE o_orderstatus <> 'P'),
+verified AS (SELECT *, CASE WHEN n = 0 OR c = 0 THEN CASE WHEN amb THEN 'Ambiguous / not yet plannable' ELSE 'Uncovered' END WHEN c = n AND NOT amb AND l = c AND f = c THEN 'Covered' ELSE 'Partially covered' END AS status FROM j)
+"""
+
+
 _LABELLED = """
 WITH per AS (SELECT l_orderkey AS requirement_id, count(*) AS n_rows,
     count(*) FILTER (l_linestatus = 'O' AND l_returnflag IN ('R', 'A')) AS n_complete,
@@ -141,10 +174,11 @@ def category_batches(spark, d):
     return ordering.category_batches(_t(spark, d, "orders"), "o_custkey", "o_orderpriority", ["o_orderkey"], 4).select("o_orderkey", "part", "parts")
 
 
-@query("SELECT min(doc_id) AS doc_id, lower(text) AS key_text FROM documents GROUP BY lower(text)")
+@query("SELECT min(doc_id) AS doc_id, sha256(lower(text)) AS key_hash FROM documents GROUP BY lower(text)")
 def first_seen_dedup(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", "text")
-    return ordering.first_seen(rows, F.lower("text"), ["doc_id"]).select("doc_id", F.lower("text").alias("key_text"))
+    """By a 256-bit hash, so that no text is a shuffle key."""
+    rows = _t(spark, d, "documents").select("doc_id", F.sha2(F.lower("text"), 256).alias("key_hash"))
+    return ordering.first_seen(rows, F.col("key_hash"), ["doc_id"])
 
 
 @query("SELECT doc_id, 'REQ_' || source || '_' || lpad(n::varchar, greatest(3, length(n::varchar))::int, '0') AS new_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
@@ -165,37 +199,52 @@ def semantic_chunks(spark, d):
     return out.select("conv_id", "chunk", "n_rows", F.md5("text").alias("text_md5"))
 
 
-_LINT = ["the", "and", "for", "with", "that"]
-_LINT_SQL = " || ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_]){t}($|[^a-z0-9_])') THEN '{t},' ELSE '' END" for t in sorted(_LINT, key=lambda t: (-len(t), t)))
+#: Common words beside the weak terms: the synthetic texts have no weak wording.
+_LINT = ["the", "and", "for", "with", "that", *terms.WEAK_WORDS]
+#: Words in RE2, whose own boundaries know ASCII only: maximal runs of letters, marks, digits and underscores.
+_WORD = r"[\p{L}\p{M}\p{N}_]"
+_NO_WORD = r"[^\p{L}\p{M}\p{N}_]"
+_TOKENS = f"regexp_extract_all(coalesce(text, ''), '{_WORD}+')"
 
 
-@query(f"SELECT doc_id, {_LINT_SQL} AS terms FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7f]')")
-def term_lint(spark, d):
-    docs = _t(spark, d, "documents").where(r"lang = 'en' and not text rlike '[^\\x00-\\x7f]'")
-    return docs.select("doc_id", F.array_join(F.transform(matched_terms(F.col("text"), _LINT), lambda t: F.concat(t, F.lit(","))), "").alias("terms"))
+def _whole(t: str) -> str:
+    """SQL: whether lower-cased text has the term as whole words."""
+    quoted = "".join(c if c.isalnum() or c == " " else "\\" + c for c in t)
+    return f"regexp_matches(lower(coalesce(text, '')), '(^|{_NO_WORD}){quoted}($|{_NO_WORD})')"
+
+
+def _by_length(found):
+    return sorted({t.lower() for t in found}, key=lambda t: (-len(t), t))
 
 
-def _found_sql(pattern: str, where: str = "") -> str:
-    return f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{pattern}'))), ',') AS found FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7f]')"
+_LINT_SQL = " || ".join(f"CASE WHEN {_whole(t)} THEN '{t},' ELSE '' END" for t in _by_length(_LINT))
 
 
-def _ascii(spark, d):
-    return _t(spark, d, "documents").where(r"lang = 'en' and not text rlike '[^\\x00-\\x7f]'")
+@query(f"SELECT doc_id, {_LINT_SQL} AS terms FROM documents")
+def term_lint(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.array_join(F.transform(matched_terms(F.col("text"), _LINT), lambda t: F.concat(t, F.lit(","))), "").alias("terms"))
+
 
+def _found_sql(pattern: str) -> str:
+    return f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter({_TOKENS}, lambda x: regexp_full_match(x, '{pattern}')))), ',') AS found FROM documents"
 
-@query(_found_sql(r"\b[A-Z]{2,10}\b"))
+
+@query(_found_sql("[A-Z]{2,10}"))
 def acronym_list(spark, d):
-    return _ascii(spark, d).select("doc_id", F.array_join(acronyms(F.col("text"), []), ",").alias("found"))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(acronyms(F.col("text"), []), ",").alias("found"))
 
 
-@query(_found_sql(r"\b[A-Z][A-Z0-9_]{2,}\b"))
+@query(_found_sql("[A-Z][A-Z0-9_]{2,}"))
 def signal_list(spark, d):
-    return _ascii(spark, d).select("doc_id", F.array_join(signals(F.col("text")), ",").alias("found"))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(signals(F.col("text")), ",").alias("found"))
+
 
+_CLEAN = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\s*-\\s*', '-', 'g'), '\\s+', ' ', 'g'))"
 
-@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+(\\.[0-9]+)?'), ',') AS found FROM documents WHERE lang = 'en'")
+
+@query(f"SELECT doc_id, array_to_string(regexp_extract_all(lower({_CLEAN}), '{terms.NUMBER_PATTERN}'), ',') AS found FROM documents")
 def number_extract(spark, d):
-    return _t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"[0-9]+(\.[0-9]+)?"), F.lit(0)), ",").alias("found"))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(diff.found(F.col("text"), terms.NUMBER_PATTERN), ",").alias("found"))
 
 
 @query(f"""WITH c AS (SELECT l_partkey, l_quantity, count(*) FILTER (l_linestatus = 'O') AS a, count(*) FILTER (l_linestatus = 'F') AS e FROM lineitem GROUP BY 1, 2),
@@ -306,7 +355,7 @@ def assessment_defaults(spark, d):
     return linking.assess(reqs, found, found, "label").select(F.col("requirement_id").alias("doc_id"), "label")
 
 
-@query(f"SELECT count(*) AS n, (count(text) + count(lang) + count(nullif(trim(source), '')))::bigint AS filled, {percent_sql('count(text) + count(lang) + count(source)', 'count(*) * 3')} AS percentage FROM documents")
+@query(f"SELECT count(*) AS n, (count(nullif(trim(text), '')) + count(nullif(trim(lang), '')) + count(nullif(trim(source), '')))::bigint AS filled, {percent_sql('count(nullif(trim(text), $$$$)) + count(nullif(trim(lang), $$$$)) + count(nullif(trim(source), $$$$))', 'count(*) * 3')} AS percentage FROM documents")
 def field_completeness(spark, d):
     return metrics.field_completeness(_t(spark, d, "documents"), ["text", "lang", "source"])
 
@@ -319,6 +368,185 @@ def chunk_page_ranges(spark, d):
 
 @query("SELECT l_orderkey % 1000 AS item, bool_or(l_partkey % 50 = 0) AS resolved FROM lineitem GROUP BY 1")
 def trace_resolution(spark, d):
-    items = _t(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 1000).alias("item")).agg(F.collect_set("l_partkey").alias("values"))
-    known = _t(spark, d, "part").where("p_partkey % 50 = 0").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"))
-    return linking.resolve_traces(items, known).select("item", "resolved")
+    values = _t(spark, d, "lineitem").select((F.col("l_orderkey") % 1000).alias("item"), F.col("l_partkey").alias("id"))
+    known = _t(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"))
+    return linking.resolve_traces(values.select("item").distinct(), values, known).select("item", "resolved")
+
+
+@query(_VERIFIED + """SELECT requirement_id, status, tests, CASE WHEN n = 0 AND amb THEN 'Requirement has no generated tests and has linked weak-word or edge-case signals.' WHEN n = 0 THEN 'Requirement has no generated tests.'
+WHEN c = 0 AND amb THEN 'No linked row contains a complete executable test and observable expected result; ambiguity evidence is also present.' WHEN c = 0 THEN 'No linked row contains a complete executable test and observable expected result.'
+WHEN status = 'Covered' THEN 'Every linked row contains a complete executable test, every row is marked covered, and no linked ambiguity evidence was found.'
+ELSE 'At least one concrete test is available, but full coverage is not justified because ' || array_to_string(list_filter([CASE WHEN n > c THEN (n - c) || ' linked row(s) lack complete executable test content' END, CASE WHEN l < c THEN 'one or more complete tests have no recognised vPlan coverage label' END,
+CASE WHEN p > 0 THEN 'one or more complete tests are marked partially covered' END, CASE WHEN amb THEN 'weak-language or edge-case evidence is linked' END], lambda x: x IS NOT NULL), '; ') || '.' END AS reason FROM verified""")
+def verified_requirements(spark, d):
+    _, out = _labelled(spark, d)
+    return out.select("requirement_id", F.col("verified_coverage_status").alias("status"), F.array_join("linked_tests", ",").alias("tests"), F.col("coverage_verification_reason").alias("reason"))
+
+
+@query(_VERIFIED + f"""SELECT {percent_sql("count(*) FILTER (requirement_id IN (SELECT requirement_id FROM plan WHERE requirement_id IS NOT NULL))", "count(*)")} AS requirement_mapping_coverage,
+{percent_sql("sum(CASE status WHEN $$Covered$$ THEN 2 WHEN $$Partially covered$$ THEN 1 ELSE 0 END)", "count(*) * 2")} AS weighted_coverage, any_value(t.traceability_coverage) AS traceability_coverage,
+{percent_sql("count(*) FILTER (n > 0 AND status IN ($$Covered$$, $$Partially covered$$))", "count(*) FILTER (n > 0)")} AS testability_coverage, any_value(t.orphan_rate) AS orphan_rate
+FROM verified, (SELECT {percent_sql("count(*) FILTER (requirement_id IS NOT NULL OR source_section <> $$$$)", "count(*)")} AS traceability_coverage,
+{percent_sql("count(*) FILTER (requirement_id IS NULL OR requirement_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> $$P$$))", "count(*)")} AS orphan_rate FROM plan) t""")
+def final_percentages(spark, d):
+    spec, labelled = _labelled(spark, d)
+    return coverage.final_report(spec, _plan(spark, d), labelled)["coverage_percentages"]
+
+
+@query(_VERIFIED + """SELECT count(*) AS total_spec_items, count(*) FILTER (status = 'Covered') AS covered, count(*) FILTER (status = 'Partially covered') AS partially_covered, count(*) FILTER (status = 'Uncovered') AS uncovered, count(*) FILTER (status LIKE 'Amb%') AS ambiguity_uncovered,
+(SELECT count(*) FROM plan WHERE requirement_id IS NULL OR requirement_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')) AS orphan_vplan_items FROM verified""")
+def final_summary(spark, d):
+    spec, labelled = _labelled(spark, d)
+    return coverage.final_report(spec, _plan(spark, d), labelled)["coverage_summary"]
+
+
+@query(f"WITH {_PLAN} " + _rate_sql("plan", "requirement_id IS NOT NULL OR source_section <> ''"))
+def traceability_headline(spark, d):
+    return traceability.headline(_plan(spark, d))
+
+
+def _cited(spark, d):
+    """Parts as plan rows that cite sections and tables in their fields or text, or nothing."""
+    return _t(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("B"), "p_size")).when(F.col("p_size") % 4 == 1, "  ").alias("section"), F.when(F.col("p_size") % 6 == 0, F.concat("p_name", F.lit(" see table A"), "p_size")).otherwise(F.col("p_name")).alias("test_description"))
+
+
+_CITED = """cited AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'B' || p_size WHEN 1 THEN '  ' END AS section, CASE WHEN p_size % 6 = 0 THEN p_name || ' see table A' || p_size ELSE p_name END AS said, p_size FROM part)"""
+
+
+@query(f"WITH {_CITED} " + _rate_sql("cited", r"trim(section) <> '' OR regexp_matches(said, '\b[A-Z]\d+(\.\d+)*\b') OR regexp_matches(said, '(?i)\bTable\s+[A-Z]?\d+(\.\d+)*\b')"))
+def traceability_drill_down(spark, d):
+    return traceability.drill_down(_cited(spark, d).drop("p_partkey"))
+
+
+@query(f"WITH {_CITED} SELECT p_partkey AS item, coalesce(section IN ('B4', 'B8', 'B20'), false) OR (p_size % 6 = 0 AND p_size IN (6, 12, 18)) AS linked FROM cited")
+def trace_linking(spark, d):
+    plan = _cited(spark, d)
+    known = spark.createDataFrame([("section", "B4"), ("section", "B8"), ("requirement", "B20"), ("table", "A6"), ("table", "A12"), ("figure", "A18"), ("requirement", "A24")], "kind string, id string")
+    known = known.where("id <> 'A24'")
+    return traceability.resolved(plan.select(F.col("p_partkey").alias("item")), traceability.trace_values(plan, "p_partkey"), known)
+
+
+_REPORTED = "changes AS (SELECT event_id, ['metadata', 'section', 'requirement', 'note', 'figure', 'table', 'page'][event_id % 7 + 1] AS area, ['added', 'removed', 'modified', 'moved'][user_id % 4 + 1] AS change_type, CASE user_id % 5 WHEN 0 THEN 'numeric_value_change' WHEN 1 THEN 'structural_page_shift' ELSE 'content_change' END AS category, ['Title', 'version', 'author'][user_id % 3 + 1] AS identifier FROM events)"
+_BUCKET = """CASE WHEN area = 'requirement' AND category = 'numeric_value_change' THEN 'numeric_changes' WHEN area = 'requirement' THEN 'requirement_changes' WHEN area IN ('table', 'figure', 'note') AND change_type <> 'moved' THEN 'modified_' || area || 's'
+WHEN area IN ('table', 'figure', 'note') THEN 'moved_' || area || 's' WHEN area IN ('section', 'page') AND change_type IN ('added', 'removed') THEN area || 's_' || change_type WHEN category = 'structural_page_shift' THEN 'page_shifts'
+WHEN area = 'metadata' AND lower(identifier) IN ('title', 'version', 'revision') THEN 'metadata_' || lower(identifier) ELSE 'requirement_changes' END"""
+
+
+def _reported(spark, d):
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    e, u = F.col("event_id"), F.col("user_id")
+    kind = F.when(u % 5 == 0, "numeric_value_change").when(u % 5 == 1, "structural_page_shift").otherwise("content_change")
+    return _t(spark, d, "events").select("event_id", pick(version_diff.AREAS, e % 7).alias("area"), pick(["added", "removed", "modified", "moved"], u % 4).alias("change_type"), kind.alias("difference_category"), pick(["Title", "version", "author"], u % 3).alias("identifier"))
+
+
+@query(f"WITH {_REPORTED}, layout(bucket, place) AS (VALUES " + ", ".join(f"('{b}', {i})" for i, (_, _, b) in enumerate(REPORT_LAYOUT)) + f") SELECT bucket, place::int AS place, count(event_id) AS n FROM layout LEFT JOIN (SELECT event_id, {_BUCKET} AS bucket FROM changes) USING (bucket) GROUP BY 1, 2")
+def report_groups(spark, d):
+    return version_diff.report_groups(_reported(spark, d)).select("bucket", "place", "n")
+
+
+@query(f"WITH {_REPORTED} SELECT 'area' AS \"by\", area AS value, count(*) AS n FROM changes GROUP BY 2 UNION ALL SELECT 'change_type', change_type, count(*) FROM changes GROUP BY 2 UNION ALL SELECT 'difference_category', category, count(*) FROM changes GROUP BY 2")
+def change_counts(spark, d):
+    return version_diff.counts(_reported(spark, d))
+
+
+_LOW = "lower(coalesce(text, ''))"
+_HITS = {name: "(" + " + ".join(f"contains({_LOW}, '{w}')::int" for w in found) + ")" for name, found in patterns.CATEGORY_KEYWORDS.items()}
+_BUS, _CSR = (f"(len(list_filter({_TOKENS}, lambda x: regexp_full_match(x, '" + p.replace("\\b", "") + "'))) > 0)::int * 2" for p in (patterns.BUS_SIGNAL, patterns.CONTROL_REGISTER))
+_SCORES = ", ".join(f"({_HITS[n]} + {_BUS if n == 'Protocol' else _CSR if n == 'Architecture' else 0}) AS s{i}" for i, n in enumerate(patterns.CATEGORY_PRIORITY))
+_BEST = "greatest(" + ", ".join(f"s{i}" for i in range(len(patterns.CATEGORY_PRIORITY))) + ")"
+
+
+@query("WITH s AS (SELECT doc_id, CASE " + " ".join(f"WHEN {h} > 0 THEN '{n}'" for n, h in _HITS.items()) + f" ELSE 'Functional' END AS category, {_SCORES} FROM documents) SELECT doc_id, category, CASE WHEN {_BEST} = 0 THEN 'Functional' " + " ".join(f"WHEN s{i} = {_BEST} THEN '{n}'" for i, n in enumerate(patterns.CATEGORY_PRIORITY)) + " END AS scored FROM s")
+def requirement_categories(spark, d):
+    return _t(spark, d, "documents").select("doc_id", quality.category(F.coalesce("text", F.lit(""))).alias("category"), quality.scored_category(F.coalesce("text", F.lit(""))).alias("scored"))
+
+
+#: Text for RE2, whose words are ASCII: other letters as underscores, which are words as well.
+_FLAT = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7f]', '_', 'g'), '\s+', ' ', 'g'))"
+_SAID = " OR ".join(f"regexp_matches({_FLAT}, '{p}')" for p in (patterns.REQUIREMENT, patterns.DECLARATIVE, patterns.CONDITIONAL, patterns.FEATURE))
+
+
+@query(f"SELECT doc_id, {_FLAT} <> '' AND NOT regexp_matches({_FLAT}, '{patterns.FIGURE_REFERENCE}') AND NOT regexp_matches({_FLAT}, '{patterns.LEAD_IN}') AND ({_SAID}) AS relevant FROM documents")
+def relevance_filter(spark, d):
+    return _t(spark, d, "documents").select("doc_id", extraction.relevant(F.col("text"), True).alias("relevant"))
+
+
+@query("SELECT doc_id, coalesce(list_count(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x, E' \\t\\r\\f\\v'), '(?i)^(NOTE|WARNING|CAUTION|IMPORTANT|ASSUMPTION)([^0-9a-z_]|$)'))), 0)::int AS notes, len(regexp_extract_all(coalesce(text, ''), '(?i)section\\s+\\d+(\\.\\d+)*'))::int AS refs FROM documents")
+def page_entities(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.size(extraction.notes(F.col("text"))).alias("notes"), F.size(cross_references(F.col("text"))).alias("refs"))
+
+
+@query(f"WITH {_PLAN}, named AS (SELECT requirement_id AS id FROM plan WHERE requirement_id IS NOT NULL), known AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P') SELECT problem, count(*) AS n, sum(n)::bigint AS total FROM (SELECT 'missing' AS problem, 1 AS n FROM known WHERE id NOT IN (SELECT id FROM named) UNION ALL SELECT 'unexpected', 1 FROM (SELECT DISTINCT id FROM named) WHERE id NOT IN (SELECT id FROM known) UNION ALL SELECT 'duplicate_test', count(*) FROM plan GROUP BY test_id HAVING count(*) > 1 UNION ALL SELECT 'several_tests', count(*) FROM named GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'row_without_id', count(*) FROM plan WHERE requirement_id IS NULL) GROUP BY 1")
+def plan_check(spark, d):
+    spec = _requirements(spark, d).where("o_orderstatus <> 'P'").select(F.col("requirement_id").alias("id"))
+    return planning.plan_check(spec, _plan(spark, d)).groupBy("problem").agg(F.count("*").alias("n"), F.sum("n").alias("total"))
+
+
+@query(f"""WITH {_PLAN} SELECT requirement_id, '{{"test_ids": [' || string_agg('"' || test_id || '"', ', ' ORDER BY l_linenumber, l_partkey, l_suppkey) || '], "supporting_requirement_ids": ["' || (requirement_id + 1) || '", "none"]}}' AS related_tests FROM plan WHERE requirement_id IS NOT NULL GROUP BY 1""")
+def requirement_links(spark, d):
+    return planning.link_cells(planning.links(_plan(spark, d)))
+
+
+@query("""WITH t AS (SELECT p_partkey, list_filter(string_split_regex(regexp_replace(p_name || ' ' || p_brand || ' ' || p_type, '[^\\w\\- /]', '', 'g'), '\\s+'), lambda w: w <> '')[1:8] AS w FROM part)
+SELECT p_partkey, array_to_string(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') OR (upper(x) = x AND lower(x) <> x) THEN x ELSE upper(x[1]) || lower(x[2:]) END), ' ') AS name, len(w) >= 2 AS usable FROM t""")
+def test_names(spark, d):
+    raw = F.concat_ws(" ", "p_name", "p_brand", "p_type")
+    return _t(spark, d, "part").select("p_partkey", planning.test_name(raw).alias("name"), planning.usable_name(raw).alias("usable"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 < 3 THEN 'Class ' || (o_custkey % 5) ELSE 'Uncategorised' END AS requirement_category, CASE WHEN o_custkey % 5 < 3 THEN 'Sub ' || (o_custkey % 5) ELSE 'Uncategorised' END AS requirement_subcategory FROM orders""")
+def taxonomy_assignment(spark, d):
+    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("k"))
+    given = rows.select(F.col("id").alias("requirement_id"), F.concat(F.lit("CLASS "), "k").alias("category"), F.concat(F.lit("sub "), "k").alias("subcategory"))
+    legal = spark.range(3).select(F.concat(F.lit("Class "), "id").alias("category"), F.concat(F.lit("Sub "), "id").alias("subcategory"))
+    return planning.assigned(rows.select("id"), given, legal)
+
+
+@query(f"""WITH {_PLAN}, edge AS (SELECT event_id AS requirement_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)
+SELECT test_id, label AS coverage, coalesce(n, 0)::int AS edge_cases, CASE WHEN l_partkey % 3 = 0 THEN 'Define observable pass/fail criteria for this requirement.' WHEN n > 0 THEN 'Clarify the edge-case behaviour before treating this requirement as fully testable.' ELSE 'Review requirement wording and provide enough detail for verification.' END AS required_clarification
+FROM plan LEFT JOIN edge USING (requirement_id) WHERE label IN ('uncovered', 'partially_covered')""")
+def uncovered_report(spark, d):
+    plan = _plan(spark, d).withColumn("coverage", F.lower(F.trim("coverage"))).withColumns({"test_description": F.lit("x"), "test_constraints": F.when(F.col("pos.l_partkey") % 3 == 0, "Pass/Fail is open")})
+    edges = _t(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("requirement_id"), F.struct(F.col("event_id").cast("int").alias("l_linenumber"), F.lit(0).cast("long").alias("l_partkey"), F.lit(0).cast("long").alias("l_suppkey")).alias("pos"), F.col("event_id").alias("edge_case_id"), F.col("event_type").alias("edge_case_type"), F.lit("").alias("edge_case_description"))
+    return planning.uncovered_report(plan, edges).select("test_id", "coverage", F.coalesce(F.size("related_edge_cases"), F.lit(0)).alias("edge_cases"), "required_clarification")
+
+
+_STRONG = ["the", "der", "les"]
+
+
+@query(f"SELECT doc_id::varchar AS requirement_id, issue_type, words FROM (SELECT doc_id, 'weak_or_optional_language' AS issue_type, {_LINT_SQL} AS words FROM documents WHERE trim(text) <> '' UNION ALL SELECT doc_id, 'missing_strong_requirement_language', '' FROM documents WHERE trim(text) <> '' AND NOT ({' OR '.join(map(_whole, _STRONG))})) WHERE issue_type LIKE 'missing%' OR words <> ''")
+def language_issues(spark, d):
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    out = lint.language_report(rows, _LINT, _STRONG)
+    return out.select("requirement_id", "issue_type", F.array_join(F.transform("matched_words", lambda w: F.concat(w, F.lit(","))), "").alias("words"))
+
+
+_NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\b(figure|table)\s+[a-z]\d+\.\d+\b', '', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH k AS (SELECT doc_id, source, {_NORMAL} AS t FROM documents), f AS (SELECT min(doc_id) AS pos, source, count(*) AS n FROM k GROUP BY source, t)
+SELECT pos, n, 'REQ_' || source || '_' || lpad(i::varchar, greatest(3, length(i::varchar))::int, '0') AS new_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS i FROM f)""")
+def merged_requirements(spark, d):
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), "text", F.col("source").alias("source_section"), F.lit(None).cast("string").alias("source_kind"))
+    return chapters.merged_requirements(rows).select("pos", "n", "new_id")
+
+
+@query("SELECT event_type AS agent_name, 'm' || (user_id % 3) AS model_name, sum((props->>'$.k')::bigint)::bigint AS prompt_tokens, count(*) AS n FROM events GROUP BY 1, 2")
+def usage_agents(spark, d):
+    """Usage records as they are logged: JSON with tokens under either of two names."""
+    name = F.when(F.col("event_id") % 2 == 0, "prompt_tokens").otherwise("input_tokens")
+    agent = F.concat(F.lit('{"agent_name": "'), "event_type", F.lit('", "model_name": "m'), (F.col("user_id") % 3).cast("string"), F.lit('", "'), name, F.lit('": '), F.get_json_object("props", "$.k"), F.lit("}"))
+    log = _t(spark, d, "events").select(F.col("event_id").alias("pos"), F.parse_json(F.concat(F.lit('{"summary": {"agents": ['), agent, F.lit("]}}"))).alias("run"))
+    _, agents = usage.runs_and_agents(log)
+    return agents.groupBy("agent_name", "model_name").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.count("*").alias("n"))
+
+
+@query()
+def version_changes(spark, d):
+    """Two versions of supplier notes under nation sections, end to end."""
+    notes = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.concat(F.lit("Supplier shall deliver "), (F.col("s_suppkey") * 37 % 1000).cast("string"), F.lit(" units of lot "), F.col("s_name"), F.lit(" when requested")).alias("text"), (F.col("s_suppkey") / 4).cast("int").alias("page"), F.col("s_nationkey").cast("string").alias("section"))
+    nations = _t(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("title"))
+    meta = lambda v: spark.range(1).select(F.lit("version").alias("key"), F.lit(v).alias("value"))
+    old = {"metadata": meta("1"), "sections": nations.where("pos % 5 <> 0"), "notes": notes.where("pos % 7 <> 0")}
+    new = {"metadata": meta("2"), "sections": nations.where("pos % 4 <> 0").withColumn("title", F.when(F.col("pos") % 3 == 0, F.concat("title", F.lit(" 2"))).otherwise(F.col("title"))), "notes": notes.where("pos % 6 <> 0").withColumns({"text": F.when(F.col("pos") % 10 == 0, F.replace("text", F.lit("shall"), F.lit("may"))).otherwise(F.col("text")), "page": F.col("page") + (F.col("pos") % 2).cast("int")})}
+    return version_diff.compare(old, new).select("change_id", "area", "change_type", "difference_category", "identifier", "old_page", "new_page", "similarity_score")
