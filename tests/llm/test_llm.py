@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -106,7 +107,7 @@ def test_jaccard_join(spark, docs, name, split):
     for i, (d, _) in enumerate(rows):
         least[find(i)].append(d)
     want = [(d, len(s), min((x for x in least[find(i)] if x is not None), default=None)) for i, (d, s) in enumerate(rows)]
-    assert multiset(tuple(r) for r in jaccard_join.jaccard_components(frame, split=split).collect()) == multiset(want)
+    assert multiset(tuple(r) for r in jaccard_join.jaccard_components(frame, split_at=split).collect()) == multiset(want)
 
 
 def test_components(spark):
@@ -146,17 +147,37 @@ def test_gradients():
 
 
 def test_licenses(spark):
-    rows = [(1, "Intro text.\nReleased under the MIT License."), (2, "It is licensed under the Apache License, version 2.0. More."), (3, None), (4, ""), (5, "MIT"), (6, "nothing of the kind"), (1, "Released under the MIT License.")]
-    got = {(r.doc_id, r.license_id, r.n_sentences) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(1, "MIT", 2), (2, "Apache-2.0", 1)}
-
-
-def test_licenses_that_just_match(spark):
-    rows = spark.createDataFrame([(1, "CC BY-NC 4.0"), (2, "Code.\nCC BY-SA 4.0\nMore.")], "doc_id long, text string")
-    got = {(r.doc_id, r.license_id, r.dice) for r in license_scan.license_scan(rows).collect()}
+    texts = dict(reversed(license_scan.TEXTS))
+    mit = next(t for i, t in license_scan.TEXTS if i == "MIT" and "Permission" in t)
+    bsd2, bsd3 = (next(t for i, t in license_scan.TEXTS if i == n and "Redistribution" in t) for n in ("BSD-2-Clause", "BSD-3-Clause"))
+    wrap = lambda t: "\n\n".join(textwrap.fill(p, 78) for p in t.split("\n\n"))
+    rows = [
+        (1, "Intro text.\nReleased under the MIT License."), (2, "It is licensed under the Apache License, version 2.0. More."), (3, None), (4, ""), (5, "MIT"), (6, "nothing of the kind"), (1, "Released under the MIT License."),
+        (7, "Some prose here.\n\n" + wrap(mit) + "\n\nThe end."), (8, "Title\n\n" + wrap(bsd2)), (9, wrap(bsd3) + "\n\nmore"), (10, "Before it. " + " ".join(mit.split()) + " After it."), (11, wrap(texts["GPL-3.0"])), (12, "long " * 50_000 + "\n\n" + wrap(mit)), (None, "Released under the MIT License."), (13, "This software is good software, and it is provided here."),
+    ]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, id string, g int")
+    got = {(r.doc_id, r.license_id): (r.dice, r.n_passages) for r in license_scan.license_scan(frame).collect()}
+    assert got[1, "MIT"] == (1.0, 3) and got[2, "Apache-2.0"][1] == 1 and got[None, "MIT"] == (1.0, 1)
+    assert {i for i, _ in got} == {1, 2, 7, 8, 9, 10, 11, 12, None}
+    assert {x for i, x in got if i in (7, 10, 12)} == {"MIT"} and got[7, "MIT"][0] == 1.0
+    assert {x for i, x in got if i == 9} == {"BSD-3-Clause"} and {x for i, x in got if i == 11} == {"GPL-3.0"} and got[8, "BSD-2-Clause"][0] == 1.0
+
+
+def test_licenses_against_all_templates(spark):
+    """Pruning loses nothing: the SQL compares everything with everything. Passages around the threshold."""
+    rng = np.random.default_rng(3)
+    rows = [(1, "CC BY-NC 4.0"), (2, "Code.\nCC BY-SA 4.0\nMore.")]
+    for n, (_, t) in enumerate(license_scan.derived()):
+        w = t.split()
+        for k in range(3):
+            keep = [x if rng.random() > 0.04 * (k + 1) else "changed" for x in w]
+            rows.append((100 + 10 * n + k, "Words before.\n" + " ".join(keep) + ("\n\nand after" if k else "")))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
     c = duckdb.connect()
-    c.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (1, 'CC BY-NC 4.0'), (2, 'Code.' || chr(10) || 'CC BY-SA 4.0' || chr(10) || 'More.')) t(doc_id, text)")
-    assert got == {r[:3] for r in c.execute(license_scan.license_sql()).fetchall()} == {(1, "CC-BY-NC-4.0", 0.8), (2, "CC-BY-SA-4.0", 0.8)}
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = multiset((r.doc_id, r.license_id, round(r.dice, 9), r.n_passages) for r in license_scan.license_scan(frame).collect())
+    assert got == multiset((a, b, round(d, 9), n) for a, b, d, n in c.execute(license_scan.license_sql()).fetchall())
 
 
 def test_chat(spark):

@@ -10,8 +10,8 @@ which many documents have. Two sets of similarity t share at least t times the s
 
 Every pair of similar sets meets in some list. A first round checks each list's members against one
 of them, the set that meets most others in all its lists (of a group of near copies, the one most
-like the rest); this joins most groups. The lists whose members then still lie in two components
-are scanned for all pairs across components that sizes and positions allow. Pairs inside a
+like the rest); in a second, members of lists still apart meet a few others. This joins most groups.
+The lists whose members then still lie in two components are scanned for all pairs across components that sizes and positions allow. Pairs inside a
 component are never made. Equal sets are one representative throughout.
 
 A list that its shingle's count announces as long is dealt over parts, by the numbers of its sets: its
@@ -146,6 +146,8 @@ _LIST_ARROW = pa.schema([("sig", pa.int64()), ("uid", pa.int64()), ("size", pa.i
 #: Members of a list, by its shingle's count, from which on it is dealt over parts of about that size
 #: (binary logarithm); and the most parts.
 SPLIT, MOST_PARTS = 9, 15
+#: Partners that each member of a list meets before all pairs across components are scanned.
+FEW = 12
 
 
 def _parts(rank: np.ndarray, split: int) -> np.ndarray:
@@ -314,22 +316,29 @@ def _blocks(members: DataFrame, split: int) -> DataFrame:
     return rows.select("sig", "uid", "size", "pos", "component", F.explode(where).alias("w")).select(F.xxhash64("sig", "w.a", "w.b").alias("sig"), "uid", "size", "pos", "component", "w.side")
 
 
-def _cross(batches):
-    """Pairs of a list (or of two of its blocks) across components that sizes and places allow."""
-    for table in whole_groups(batches, "sig"):
-        sig, uid, size, pos, comp, side = (table.column(c).to_numpy() for c in ("sig", "uid", "size", "pos", "component", "side"))
-        order = np.lexsort((uid, size, sig))
-        sig, uid, size, pos, comp, side = sig[order], uid[order], size[order].astype(np.int64), pos[order].astype(np.int64), comp[order], side[order]
-        i, step = np.arange(len(sig)), 0
-        while len(i):  # each member against the one `step` places on, as long as sizes allow
-            step += 1
-            i = i[: np.searchsorted(i, len(sig) - step)]
-            i = i[(sig[i] == sig[i + step]) & (size[i] * DEN >= size[i + step] * NUM)]
-            x = i[(comp[i] != comp[i + step]) & ((side[i] == 2) | (side[i] != side[i + step]))]
-            y = x + step
-            ok = _possible(size[x], pos[x], size[y], pos[y])
-            if ok.any():
-                yield _pairs(uid[x[ok]], uid[y[ok]])
+def _cross(steps: int | None = None):
+    """Pairs of a list (or of two of its blocks) across components that sizes and places allow. With steps,
+    each member meets only so many others, which its number's hash chooses."""
+
+    def run(batches):
+        for table in whole_groups(batches, "sig"):
+            sig, uid, size, pos, comp, side = (table.column(c).to_numpy() for c in ("sig", "uid", "size", "pos", "component", "side"))
+            order = np.lexsort((uid, size, sig)) if steps is None else np.lexsort((mix(uid.view(U64)), sig))
+            sig, uid, size, pos, comp, side = sig[order], uid[order], size[order].astype(np.int64), pos[order].astype(np.int64), comp[order], side[order]
+            i, step = np.arange(len(sig)), 0
+            while len(i) and step != steps:  # each member against the one `step` places on, as long as sizes allow
+                step += 1
+                i = i[: np.searchsorted(i, len(sig) - step)]
+                fits = np.minimum(size[i], size[i + step]) * DEN >= np.maximum(size[i], size[i + step]) * NUM
+                i, near = (i[(sig[i] == sig[i + step]) & fits], None) if steps is None else (i[sig[i] == sig[i + step]], fits[sig[i] == sig[i + step]])
+                x = i if near is None else i[near]
+                x = x[(comp[x] != comp[x + step]) & ((side[x] == 2) | (side[x] != side[x + step]))]
+                y = x + step
+                ok = _possible(size[x], pos[x], size[y], pos[y])
+                if ok.any():
+                    yield _pairs(uid[x[ok]], uid[y[ok]])
+
+    return run
 
 
 def _verify(batches):
@@ -369,7 +378,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(own.select(F.col("uid").alias("y"), F.col("words").alias("words_y")), "y").select("x", "y", "words_x", "words_y").transform(in_arrow, _verify, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marks: bool = False, split: int = SPLIT) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marks: bool = False, split_at: int = SPLIT) -> DataFrame:
     """One row per row of docs: (id, n_shingles, component_id); with marks also text_mark (xxhash64 of
     the text), class (a number of the component) and group_size (its rows; 1 without a shingle).
 
@@ -398,21 +407,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = key_filter(extra)
     light = leads.select("uid", "words")
     texts = passing(light, "uid", held, want=False).union(passing(light, "uid", held).join(extra, "uid", "left_anti"))
-    posted = texts.transform(in_arrow, _post(n * FINE, spark.sparkContext.broadcast(ranks.tobytes()), boundary(length), split), "bucket int, blob binary")
+    posted = texts.transform(in_arrow, _post(n * FINE, spark.sparkContext.broadcast(ranks.tobytes()), boundary(length), split_at), "bucket int, blob binary")
     lists = stash(posted.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket").transform(in_arrow, _lists(n * FINE), _LIST))
     met = lists.groupBy("uid").agg(F.sum("length").alias("met"))
     ranked = lists.drop("length").join(met, "uid")
     stars = ranked.where("parts = 1").select("sig", "uid", "size", "pos", "met").repartition(n, "sig").sortWithinPartitions("sig").transform(in_arrow, _star, "x long, y long")
     tried = stash(stars.union(_wide_stars(ranked.where("parts > 1"))).distinct())
     first = stash(similar(tried, light))
-    joined = components(first)
-    members = lists.drop("length").join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    short = members.where("parts = 1")
-    apart = short.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    short = short.join(apart, "sig", "left_semi").select("sig", "uid", "size", "pos", "component", F.lit(2).alias("side"))
-    across = short.union(_blocks(members.where("parts > 1"), split)).repartition(n, "sig").sortWithinPartitions("sig").transform(in_arrow, _cross, "x long, y long").distinct()
+    dealt = lambda rows: rows.repartition(n, "sig").sortWithinPartitions("sig")
+
+    def split(links: DataFrame) -> DataFrame:
+        """Members of the lists whose sets lie in several components of links."""
+        joined = components(links)
+        members = lists.drop("length").join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+        apart = members.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
+        return stash(members.join(apart, "sig", "left_semi"))
+
+    # A few partners for each member: most of what the hubs left apart comes together by them.
+    few = split(first).select(F.when(F.col("parts") > 1, F.xxhash64("sig", F.pmod(F.xxhash64("uid"), F.col("parts")))).otherwise(F.col("sig")).alias("sig"), "uid", "size", "pos", "component", F.lit(2).alias("side"))
+    some = dealt(few).transform(in_arrow, _cross(FEW), "x long, y long").distinct()
+    some = stash(some.join(tried, ["x", "y"], "left_anti"))
+    second = stash(first.union(similar(some, light)))
+    tried = tried.union(some)
+    members = split(second)
+    short = members.where("parts = 1").select("sig", "uid", "size", "pos", "component", F.lit(2).alias("side"))
+    across = dealt(short.union(_blocks(members.where("parts > 1"), split_at))).transform(in_arrow, _cross(), "x long, y long").distinct()
     across = stash(across.join(tried, ["x", "y"], "left_anti"))
-    links = first.union(similar(across, light))
+    links = second.union(similar(across, light))
     node = components(links)
     whole = rows.select("uid", "doc_id", "mark", "size", "one", "two").join(classes, ["one", "two"], "left").join(node.withColumnRenamed("node", "rep"), "rep", "left")
     whole = whole.withColumn("class", F.when(F.col("size") > 0, F.coalesce("component", "rep")))
