@@ -39,8 +39,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and all stay. Rows that agree in id and text link like others: one of them stays."""
     rows = stash(jaccard_components(docs, marks=True).where("group_size > 1"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_mark")
-    first = rows.groupBy("class").agg(F.min(place).alias("first"))
-    stay = rows.join(first, "class").withColumn("stays", F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_mark") == F.col("text_mark")))
+    parts = F.ceil(F.col("group_size") / 1024).cast("int")  # of a group, so that no task looks up a whole one
+    first = rows.groupBy("class").agg(F.min(place).alias("first"), F.max(parts).alias("n")).select("class", "first", F.explode(F.sequence(F.lit(1), "n")).alias("part"))
+    stay = rows.withColumn("part", (F.pmod(F.xxhash64("text_mark"), parts) + 1).cast("int")).join(first, ["class", "part"]).withColumn("stays", F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_mark") == F.col("text_mark")))
     left = without(docs, stay.where(~F.col("stays")), _MARK)
     return single(left, stay.where("stays").groupBy("doc_id", "text_mark").count().where("count > 1"), _MARK)
 
