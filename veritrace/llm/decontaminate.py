@@ -81,7 +81,7 @@ class Template:
         capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & after[np.minimum(words.starts + 1, max(0, len(data) - 1))])
         name = capital & ~opens & ~number
         unit = np.zeros(len(h), bool)
-        unit[1:] = number[:-1] & np.isin(h[1:], _hash_words(UNITS)) & ~number[1:]
+        unit[1:] = number[:-1] & np.isin(h[1:], _hash_words(UNITS)) & ~number[1:] & (self.text[1:] == self.text[:-1])
         name &= ~unit
         self.value = np.where(number | name | unit, h | U64(1), U64(0))
         self.h = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
