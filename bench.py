@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ["mapping_coverage", "status_classifier", "weighted_coverage", "orphan_rate", "links_by_requirement", "category_batches", "first_seen_dedup", "semantic_chunks", "term_lint", "multiset_f1", "exact_pairing", "consensus_votes", "usage_by_agent"]
+HEADLINE = ["mapping_coverage", "status_classifier", "weighted_coverage", "orphan_rate", "links_by_requirement", "category_batches", "first_seen_dedup", "semantic_chunks", "term_lint", "multiset_f1", "exact_pairing", "consensus_votes", "usage_by_agent", "verified_requirements", "final_percentages", "trace_linking", "requirement_categories", "language_issues", "relevance_filter", "plan_check"]
 
 
 def main() -> None:
