@@ -498,3 +498,47 @@ def test_pipeline(spark, docs):
     assert not [i for i in kept if any(b in rows[i] for b in bench)]
     parts = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs.where(F.col("doc_id").isin(*kept))).collect()}
     assert all(i == c for i, c in parts.items())
+
+
+def test_pipeline_stages_tell_rows_apart(spark, tmp_path):
+    """Repeated, clashing and absent ids; columns of any name; empty tables."""
+    import corpus_pipeline as c
+
+    near_text = " ".join(f"t{i}" for i in range(60))
+    other = near_text.replace("t30", "z30")
+    rows = [(5, "alpha beta"), (5, "gamma delta"), (9, "alpha beta"), (9, "alpha beta"), (None, "alpha beta"), (None, "no id here"), (None, "no id here"), (7, None), (7, ""), (3, near_text), (2, other), (2, "gamma"), (2, other)]
+    frame = spark.createDataFrame([(i, t, "en", "h", 1.5) for i, t in rows], "doc_id long, text string, lang string, h string, _slot double")
+    left = multiset(tuple(r)[:2] for r in c.copies(spark, frame, None).collect())
+    sure = multiset([(5, "gamma delta"), (9, "alpha beta"), (None, "no id here"), (3, near_text), (2, other), (2, "gamma")])
+    assert not sure - left and set(left - sure) <= {repr((7, None)), repr((7, ""))} and sum((left - sure).values()) == 1
+    kept = multiset(tuple(r)[:2] for r in c.near_copies(spark, frame, None).collect())
+    assert kept[repr((2, other))] == 1 and not kept[repr((3, near_text))] and kept[repr((2, "gamma"))] == 1 and kept[repr((7, None))] == kept[repr((7, ""))] == 1
+    assert kept[repr((5, "alpha beta"))] == 1 and not kept[repr((9, "alpha beta"))] and kept[repr((None, "no id here"))] == 1
+    spark.createDataFrame([(1, "gamma delta")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = c.leaks(spark, frame, str(tmp_path))
+    assert out.columns == frame.columns and multiset(tuple(r)[:2] for r in out.collect()) == multiset(r for r in rows if r[1] != "gamma delta")
+    none = frame.limit(0)
+    assert [f.count() for f in (c.language(spark, none, None), c.copies(spark, none, None), c.near_copies(spark, none, None), c.leaks(spark, none, str(tmp_path)), c.packed(spark, none, None))] == [0] * 5
+
+
+def test_encoder_equals_the_whole_tokenizer():
+    """Texts of hard characters: the fast way gives the ids that tokenizers gives."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(11)
+    pool = list("aZ éß0 '’.,!?\t\n\r\u00a0\u2003\u3000\u200b𝒳中ا🙂_-<|>") + ["  ", "\n\n", "'s", "'ll", " 12", "<|endoftext|>"]
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["".join(rng.choice(pool, int(rng.integers(0, 40)))) for _ in range(4000)]
+    for t, ids in zip(texts, packing.encode(texts, packing.tokenizer_path(), packing.tokenizer_path("byte_bpe_50k.tiktoken"))):
+        assert np.frombuffer(ids, "<u4").tolist() == [*whole.encode(t, add_special_tokens=False).ids, 0], repr(t)
+
+
+def test_pooled_positions_by_hand():
+    """Pooling over batches of segments equals one text at a time, position by position."""
+    network = language_id.Network(["a", "b", "c"])
+    texts = [b"", b"x", b"y" * 127, b"z" * 128, bytes(range(256)) * 2, b"end"]
+    got = language_id.pooled(network, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for row, t in zip(got, texts):
+        parts = [np.frombuffer(t[i : i + language_id.SEGMENT], np.uint8)[:, None] for i in range(0, len(t), language_id.SEGMENT)]
+        total = sum((network.probabilities(p, None).sum((1, 2)) for p in parts), np.zeros(3))
+        assert np.allclose(row, total / max(1, len(t)), atol=1e-4)
