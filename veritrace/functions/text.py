@@ -50,17 +50,25 @@ def percent_sql(k: str, n: str) -> str:
 
 
 def matched_terms(c: Column, terms: list[str]) -> Column:
-    """The terms that occur in lower-cased text as whole words, longest first, then by name. Each term is
-    one literal pattern, behind one pattern of all of them: most texts have none."""
+    """The terms that occur in lower-cased text as whole words, longest first, then by name. Terms of one
+    word are looked up among the text's words; the others are literal patterns, each tried only where
+    one pattern of all of them is met."""
     import re
 
-    ordered = sorted({t.lower() for t in terms}, key=lambda t: (-len(t), t))
-    quoted = [re.sub(r"([^\w\s])", r"\\\1", t) for t in ordered]
+    known = {t.lower() for t in terms}
+    if not known:
+        return F.array().cast("array<string>")
+    single, other = sorted(t for t in known if re.fullmatch(r"\w+", t)), sorted(t for t in known if not re.fullmatch(r"\w+", t))
+    quoted = [re.sub(r"([^\w\s])", r"\\\1", t) for t in sorted(other, key=lambda t: (-len(t), t))]
     whole = lambda p: rf"(?U)(?<!\w)(?:{p})(?!\w)"
     text, none = F.lower(F.coalesce(c, F.lit(""))), F.array().cast("array<string>")
-    if not ordered:
-        return none
-    return F.when(text.rlike(whole("|".join(quoted))), F.array_compact(F.array(*[F.when(text.rlike(whole(p)), t) for t, p in zip(ordered, quoted)]))).otherwise(none)
+    parts = []
+    if single:
+        parts.append(F.array_intersect(F.split(F.lit("|".join(single)), "[|]"), F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1))))
+    if quoted:
+        each = [F.when(text.rlike(whole(p)), t) for t, p in zip(sorted(other, key=lambda t: (-len(t), t)), quoted)]
+        parts.append(F.when(text.rlike(whole("|".join(quoted))), F.array_compact(F.array(*each))).otherwise(none))
+    return F.transform(F.array_sort(F.transform(F.concat(*parts), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
 
 
 def significant_tokens(c: Column, common: list[str]) -> Column:
