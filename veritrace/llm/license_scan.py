@@ -84,8 +84,9 @@ def _signals(templates: list[list[str]], threshold: float) -> list[str]:
     return sorted(taken)
 
 
-def _runs() -> list[int]:
-    return sorted({len(t.split("\n\n")) for _, t in TEXTS} - {1})
+def _runs(texts: list[tuple[str, str]]) -> list[int]:
+    """How many paragraphs the texts have that have several."""
+    return sorted({len(t.split("\n\n")) for _, t in texts} - {1})
 
 
 def passages(text: Column, lengths: list[int]) -> Column:
@@ -124,7 +125,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signal = r"(?<![a-z0-9])(?:" + "|".join(_signals([g for _, g in grams], threshold)) + r")(?![a-z0-9])"
     known = F.array(*[F.struct(F.lit(i).alias("id"), F.split(F.lit("|".join(g)), "[|]").alias("grams")) for i, g in grams])  # constants: folded once
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.lower("text").rlike(signal))
-    units = rows.select("id", F.explode(passages(F.col("text"), _runs())).alias("p")).where(F.col("p").rlike(signal)).select("id", F.split("p", " ").alias("w"))
+    units = rows.select("id", F.explode(passages(F.col("text"), _runs(texts))).alias("p")).where(F.col("p").rlike(signal)).select("id", F.split("p", " ").alias("w"))
     # A passage of a bigrams has more than a words, and at most a + 1 different ones.
     units = units.where((F.size("w") - 1 >= low) & (F.size(F.array_distinct("w")) - 1 <= high))
 
@@ -143,7 +144,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def license_sql(texts: list[tuple[str, str]] = TEXTS, threshold: float = THRESHOLD) -> str:
     """The same for DuckDB over the table documents, without any pruning: all templates against all passages."""
     rows = ", ".join("('" + i + "', [" + ", ".join(f"'{a} {b}'" for a, b in dict.fromkeys(zip(w, w[1:]))) + "])" for i, t in derived(texts) if (w := _words(t)))
-    runs = " || ".join(f"list_transform(range(1, greatest(len(ps) - {n} + 1, 1) + 1), lambda i: array_to_string(ps[i:i + {n - 1}], ' '))" for n in _runs())
+    runs = " || ".join(f"list_transform(range(1, greatest(len(ps) - {n} + 1, 1) + 1), lambda i: array_to_string(ps[i:i + {n - 1}], ' '))" for n in _runs(texts))
     cut = lambda c: f"string_split(regexp_replace({c}, '([.!?:])[ \\t]+([A-Z])', '\\1\n\\2', 'g'), '\n')"
     return f"""
 WITH known(license_id, tg) AS (VALUES {rows}),
