@@ -111,10 +111,23 @@ def test_jaccard_join(spark, docs, name, split):
     assert multiset(tuple(r) for r in jaccard_join.jaccard_components(frame, split_at=split).collect()) == multiset(want)
 
 
-def test_components(spark):
-    edges = [(i + 1, i) for i in range(50)] + [(200, i) for i in range(190, 200)]
-    got = dict(tuple(r) for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect())
-    assert got == {i: 0 for i in range(51)} | {i: 190 for i in range(190, 201)}
+@pytest.mark.parametrize("one_task", [components.ONE_TASK, 0])
+def test_components(spark, one_task):
+    rng = np.random.default_rng(2)
+    edges = [(i + 1, i) for i in range(50)] + [(200, i) for i in range(190, 200)] + [(int(a) + 1000, int(b) + 1000) for a, b in rng.integers(0, 300, (200, 2))] + [(7, 7)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = dict(tuple(r) for r in components.components(spark.createDataFrame(edges, "u long, v long"), one_task).collect())
+    assert got == {x: find(x) for x in list(parent)}
 
 
 def test_language(spark, docs, hard):

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import U64, groups, in_arrow, key_filter, partitions, passing, stash, text_or_empty
 
-#: Salts over which the rows of one text are spread when they look up their group.
-SALTS = 16
+#: A group of more than 1 / HOT of all rows is hot: there are fewer than HOT of them, so they are sent to
+#: all tasks, and no task of the join of the others gets more than a HOT-th of all rows for one key.
+HOT = 1000
 
 
 def golomb_encode(values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -111,16 +112,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     largest id stays; rows without an id come after all others. Rows that agree in id and text are
     one group whose rows are all marked alike, except that only one row per group can be kept:
     equal ids within a group are told apart by their order in the group's key, so exact repeats of
-    the kept row are kept = true each (they carry the same id). Empty tables give no rows; columns
-    beside id and text are ignored.
+    the kept row are kept = true each (they carry the same id). A very long text is hashed and, if
+    suspected, compared whole. Empty tables give no rows; columns beside id and text, whatever their
+    names, are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     suspects = stash(suspect_hashes(base.select("h")))
     texts = passing(base.select("h", "text", "id"), "h", key_filter(suspects))
     # Texts meet by their bytes: the grouping key is the text itself, combined in each task first.
     equal = texts.groupBy("h", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    equal = equal.select("h", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = base.select("id", "h", F.sha2("text", 256).alias("text_sha256"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = rows.join(equal, ["h", "text_sha256", "salt"], "left")
+    equal = stash(equal.select("h", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"))
+    rows = base.select("id", "h", F.sha2("text", 256).alias("text_sha256"))
+    hot = F.col("group_size") * HOT > base.count()
+    few = equal.where(hot).select("h", "text_sha256", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))
+    # Rows of hot groups go into the second join under a key of their own, which meets nothing.
+    met = rows.join(F.broadcast(few), ["h", "text_sha256"], "left").withColumn("key", F.when(F.col("hot_size").isNull(), F.col("h")).otherwise(F.xxhash64("id", F.lit(1))))
+    rest = equal.where(~hot).select(F.col("h").alias("key"), F.col("text_sha256").alias("of"), "keep_id", "group_size")
+    out = met.join(rest, (met["key"] == rest["key"]) & (F.col("text_sha256") == F.col("of")) & F.col("hot_size").isNull(), "left")
+    out = out.select("id", "text_sha256", F.coalesce("hot_id", "keep_id").alias("keep_id"), F.coalesce("hot_size", "group_size").alias("group_size"))
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), "text_sha256")

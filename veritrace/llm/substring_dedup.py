@@ -231,8 +231,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     when a window of k words over it starts anywhere else too, in the same document or another, as
     the input stands; kept words are joined by one space. A null or empty text has no words; a text
     of fewer than k words loses none. Rows that repeat an id and a text are documents of their own:
-    each is the other's repeat. Rows without an id count like any other. Empty tables give no rows;
-    columns beside id and text are ignored.
+    each is the other's repeat. Rows without an id count like any other. A very long text is a chunk of
+    its own, read whole. Ties need no rule: a window is repeated or not. Empty tables give no rows;
+    columns beside id and text, whatever their names, are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("mark", F.hash("text"))
     found = repeated_spans(base, k, m)
