@@ -84,11 +84,12 @@ class Packer:
         self.emit, self.width, self.length, self.open = emit, width, length, []
 
     def add(self, doc_id, start: int, ids: bytes, total: int) -> None:
-        while ids:
-            n = len(ids) // 4
+        at, end = 0, len(ids) // 4  # a long text's ids are cut where they are, not copied per window
+        while at < end:
+            n = end - at
             if n >= self.length:
-                self.emit([(doc_id, start, ids[: 4 * self.length], total)])
-                start, ids = start + self.length, ids[4 * self.length :]
+                self.emit([(doc_id, start + at, ids[4 * at : 4 * (at + self.length)], total)])
+                at += self.length
                 continue
             fits = [w for w in self.open if self.length - w[0] >= n]
             if fits:
@@ -99,13 +100,13 @@ class Packer:
                 window = max(self.open, key=lambda w: w[0])
                 gap = self.length - window[0]
                 if gap >= LEAST_CUT:
-                    window[1].append((doc_id, start, ids[: 4 * gap], total))
-                    start, ids = start + gap, ids[4 * gap :]
+                    window[1].append((doc_id, start + at, ids[4 * at : 4 * (at + gap)], total))
+                    at += gap
                 self.open.remove(window)
                 self.emit(window[1])
                 continue
             window[0] += n
-            window[1].append((doc_id, start, ids, total))
+            window[1].append((doc_id, start + at, ids[4 * at :], total))
             if window[0] == self.length:
                 self.open.remove(window)
                 self.emit(window[1])
@@ -181,8 +182,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     ids is binary: little-endian uint32. A document is its text's ids and a 0; a null or empty text
     is that 0 alone. path and ranks are one vocabulary in two libraries' formats. Pieces of a sequence lie without gaps from offset 0; a sequence of fewer than
-    1024 ids is to be padded. Rows that repeat an id are documents of their own. An empty table
-    gives no rows; columns beside id and text are ignored.
+    1024 ids is to be padded. Rows that repeat an id, or have none, are documents of their own. A very
+    long text is encoded whole and cut into full sequences. An empty table gives no rows; columns beside
+    id and text, whatever their names, are ignored.
     """
     path, ranks = path or tokenizer_path(), ranks or tokenizer_path("byte_bpe_50k.tiktoken")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
