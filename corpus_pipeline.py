@@ -14,9 +14,19 @@ from veritrace.llm.packing import pack
 
 #: A prediction below this mean probability is no better than chance among four languages.
 LEAST_SCORE = 0.3
-_ID = {"doc_id": F.col("doc_id").cast("long")}
-_SHA = _ID | {"text_sha256": F.sha2(text_or_empty("text"), 256)}
-_MARK = _ID | {"text_mark": F.xxhash64(text_or_empty("text"))}
+
+
+def _row(name: str, of) -> dict:
+    """What tells rows apart: the id, and something of the text."""
+    return {"doc_id": F.col("doc_id").cast("long"), name: of(text_or_empty("text"))}
+
+
+def _sha() -> dict:
+    return _row("text_sha256", lambda t: F.sha2(t, 256))
+
+
+def _mark() -> dict:
+    return _row("text_mark", F.xxhash64)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +39,8 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (null is empty), the row with the largest id stays. Rows are told apart by id
     and text, so another text under the same id stays; of rows that agree in both, one stays."""
     found = exact_dedup(docs).where("group_size > 1")
-    left = without(docs, found.where(~F.col("kept")), _SHA)
-    return single(left, found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1"), _SHA)
+    left = without(docs, found.where(~F.col("kept")), _sha())
+    return single(left, found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1"), _sha())
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +52,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     parts = F.ceil(F.col("group_size") / 1024).cast("int")  # of a group, so that no task looks up a whole one
     first = rows.groupBy("class").agg(F.min(place).alias("first"), F.max(parts).alias("n")).select("class", "first", F.explode(F.sequence(F.lit(1), "n")).alias("part"))
     stay = rows.withColumn("part", (F.pmod(F.xxhash64("text_mark"), parts) + 1).cast("int")).join(first, ["class", "part"]).withColumn("stays", F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_mark") == F.col("text_mark")))
-    left = without(docs, stay.where(~F.col("stays")), _MARK)
-    return single(left, stay.where("stays").groupBy("doc_id", "text_mark").count().where("count > 1"), _MARK)
+    left = without(docs, stay.where(~F.col("stays")), _mark())
+    return single(left, stay.where("stays").groupBy("doc_id", "text_mark").count().where("count > 1"), _mark())
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; rows are told apart by id and text, nulls included."""
-    return without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), _MARK)
+    return without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), _mark())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
