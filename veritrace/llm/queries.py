@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, pii, substring_dedup
+from . import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, pii, source_audit, structure_repair, substring_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,7 +71,21 @@ def op10_pii(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, added), ",").alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("added") + F.size("email") + F.size("ip") + F.size("card") + F.size("phone")).cast("long").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_license_scan, op4_jaccard_join, op5_chat_format, op6_packing, op7_exact_dedup, op8_decontamination, op9_html_extract, op10_pii)}
+def op11_url_filter(spark, sf_dir):
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages"))
+
+
+def op12_source_audit(spark, sf_dir):
+    return source_audit.source_audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_structure_repair(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    out = structure_repair.all_conversations(rows, structure_repair.repair(structure_repair.damaged(rows), texts=False))
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_license_scan, op4_jaccard_join, op5_chat_format, op6_packing, op7_exact_dedup, op8_decontamination, op9_html_extract, op10_pii, op11_url_filter, op12_source_audit, op13_structure_repair)}
 
 _ESCAPED = r"(length({0}) + length(regexp_replace({0}, '[^\\<\[\]]', '', 'g')))"
 ORACLE_SQL = {
@@ -90,4 +104,6 @@ FROM runs GROUP BY conv_id""",
     "op7_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op12_source_audit": source_audit.audit_sql(),
+    "op13_structure_repair": structure_repair.repair_sql(),
 }
