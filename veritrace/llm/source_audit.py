@@ -30,8 +30,9 @@ UNIT = 1_000_000_000
 TERM_RANKS = 50
 #: Sources of a tile: two tiles' sums of pairs are what a task holds.
 TILE = 128
-#: Postings of a block of terms; a language has as many blocks as its postings fill.
-BLOCK_POSTINGS = 1 << 18
+#: Postings of a block of terms; a language has as many blocks as its postings fill. A block gives a row for
+#: each pair of sources, so it has as many postings as there are pairs, if that is more.
+BLOCK_POSTINGS = 1 << 15
 #: Parts of a language's one-sided sums, so that one language is not one task.
 PARTS = 16
 
@@ -101,7 +102,7 @@ def sources(rows: DataFrame, posts: DataFrame) -> DataFrame:
     own = posts.groupBy("lang", "source").agg(F.sum("n").alias("n_all"), F.count("*").alias("size"), F.count_if("lead").alias("leads"))
     every = rows.groupBy("lang", "source").agg(F.lit(1)).select("lang", "source").join(own, ["lang", "source"], "left").na.fill(0, ["n_all", "size", "leads"])
     lang = Window.partitionBy("lang")
-    out = every.withColumns({"no": F.row_number().over(lang.orderBy("source")) - 1, "kept": F.sum("leads").over(lang), "lang_all": F.sum("n_all").over(lang), "lang_size": F.sum("size").over(lang)})
+    out = every.withColumns({"no": F.row_number().over(lang.orderBy("source")) - 1, "kept": F.sum("leads").over(lang), "lang_all": F.sum("n_all").over(lang), "lang_size": F.sum("size").over(lang), "of": F.count("*").over(lang)})
     return out.withColumn("z", _p(F.lit(0), F.col("n_all"), F.col("kept"))).drop("leads")
 
 
@@ -124,43 +125,47 @@ def _one_sided(priced: DataFrame, known: DataFrame) -> DataFrame:
 _TILED = "key string, lang string, a int, b int, no array<int>, p array<bigint>, z array<bigint>"
 
 
-def _overlaps(batches):
+def _overlaps(size: int):
     """For each block of terms and two tiles: what the common terms of each pair of sources correct."""
-    for _, table in groups(batches, "key"):
-        lang, a, b = table.column("lang")[0].as_py(), table.column("a")[0].as_py(), table.column("b")[0].as_py()
-        wide = TILE if a == b else 2 * TILE
-        total, z = np.zeros((wide, wide), np.int64), np.zeros(wide, np.int64)
-        common = np.zeros((wide, wide), np.int64)
-        for at in range(0, table.num_rows, 256):
-            part = table.slice(at, 256)
-            no, p, zs = (part.column(c).combine_chunks() for c in ("no", "p", "z"))
-            size = pc.list_value_length(no).to_numpy()
-            row = np.repeat(np.arange(len(size)), size)
-            flat = no.flatten().to_numpy()
-            place = flat % TILE + np.where((flat // TILE == b) & (a != b), TILE, 0)
-            z[place] = zs.flatten().to_numpy()
-            held, has = np.zeros((len(size), wide), np.int64), np.zeros((len(size), wide), bool)
-            held[row, place], has[row, place] = p.flatten().to_numpy(), True
-            alone = np.where(has, held, 0)
-            for i in np.flatnonzero(has.any(0)).tolist():
-                rows_ = has[:, i]
-                mine, theirs, both = held[rows_, i][:, None], alone[rows_], has[rows_]
-                fix = np.abs(mine - theirs) - np.abs(mine - z) - np.abs(z[i] - theirs)
-                total[i] += np.where(both, fix, 0).sum(0)
-                common[i] += both.sum(0)
-        total += common * np.abs(z[:, None] - z)
-        i, j = np.nonzero(common)
-        away = (i != j) & ((a == b) | ((i < TILE) != (j < TILE)))
-        i, j = i[away], j[away]
-        name = lambda k: (np.where(k < TILE, a * TILE, b * TILE) + k % TILE).astype(np.int32)
-        yield from pa.Table.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array(name(i)), pa.array(name(j)), pa.array(total[i, j])], names=["lang", "g", "h", "value"]).to_batches(max_chunksize=1 << 16)
+
+    def run(batches):
+        for _, table in groups(batches, "key"):
+            lang, a, b = table.column("lang")[0].as_py(), table.column("a")[0].as_py(), table.column("b")[0].as_py()
+            wide = size if a == b else 2 * size
+            total, z = np.zeros((wide, wide), np.int64), np.zeros(wide, np.int64)
+            common = np.zeros((wide, wide), np.int64)
+            for at in range(0, table.num_rows, 256):
+                part = table.slice(at, 256)
+                no, p, zs = (part.column(c).combine_chunks() for c in ("no", "p", "z"))
+                lengths = pc.list_value_length(no).to_numpy()
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                flat = no.flatten().to_numpy()
+                place = flat % size + np.where((flat // size == b) & (a != b), size, 0)
+                z[place] = zs.flatten().to_numpy()
+                held, has = np.zeros((len(lengths), wide), np.int64), np.zeros((len(lengths), wide), bool)
+                held[row, place], has[row, place] = p.flatten().to_numpy(), True
+                alone = np.where(has, held, 0)
+                for i in np.flatnonzero(has.any(0)).tolist():
+                    rows_ = has[:, i]
+                    mine, theirs, both = held[rows_, i][:, None], alone[rows_], has[rows_]
+                    fix = np.abs(mine - theirs) - np.abs(mine - z) - np.abs(z[i] - theirs)
+                    total[i] += np.where(both, fix, 0).sum(0)
+                    common[i] += both.sum(0)
+            total += common * np.abs(z[:, None] - z)
+            i, j = np.nonzero(common)
+            away = (i != j) & ((a == b) | ((i < size) != (j < size)))
+            i, j = i[away], j[away]
+            name = lambda k: (np.where(k < size, a * size, b * size) + k % size).astype(np.int32)
+            yield from pa.Table.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array(name(i)), pa.array(name(j)), pa.array(total[i, j])], names=["lang", "g", "h", "value"]).to_batches(max_chunksize=1 << 16)
+
+    return run
 
 
 def _common(priced: DataFrame) -> DataFrame:
     """(lang, g, h, value): corrections of pairs of sources that have a term in common, both orders."""
     n = partitions(priced.sparkSession)
     tile = lambda no: F.floor(no / TILE).cast("int")
-    blocks = F.floor(F.col("lang_size") / BLOCK_POSTINGS) + 1
+    blocks = F.floor(F.col("lang_size") / F.greatest(F.lit(BLOCK_POSTINGS), F.col("of") * F.col("of"))) + 1
     lists = priced.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("no", "p", "z"))).alias("posts"), F.first(blocks).alias("blocks")).where(F.size("posts") > 1)
     tiles = F.array_distinct(F.transform("posts", lambda x: tile(x["no"])))
     pairs = F.flatten(F.transform(tiles, lambda a: F.transform(F.filter(tiles, lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
@@ -168,7 +173,7 @@ def _common(priced: DataFrame) -> DataFrame:
     own = F.filter("posts", lambda x: (tile(x["no"]) == F.col("t.a")) | (tile(x["no"]) == F.col("t.b")))
     met = met.select(F.concat_ws(":", "t.a", "t.b", "block", "lang").alias("key"), "lang", "t.a", "t.b", own.alias("own"))
     rows = met.select("key", "lang", "a", "b", "own.no", "own.p", "own.z")
-    return rows.repartition(n, "key").sortWithinPartitions("key").transform(in_arrow, _overlaps, "lang string, g int, h int, value long")
+    return rows.repartition(n, "key").sortWithinPartitions("key").transform(in_arrow, _overlaps(TILE), "lang string, g int, h int, value long")
 
 
 def source_audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, term_ranks: int = TERM_RANKS) -> DataFrame:
@@ -189,7 +194,7 @@ def source_audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     rows = docs.select(text_or_empty(text_col).alias("text"), text_or_empty(lang_col).alias("lang"), text_or_empty(source_col).alias("source"))
     posts = stash(postings(rows, least_docs))
     known = stash(sources(rows, posts))
-    own = known.select("lang", "source", "no", "n_all", "kept", "lang_all", "lang_size", "z")
+    own = known.select("lang", "source", "no", "n_all", "kept", "lang_all", "lang_size", "of", "z")
     priced = posts.join(own, ["lang", "source"]).withColumn("p", _p(F.col("n"), F.col("n_all"), F.col("kept")))
 
     parts = _one_sided(priced.select("lang", "no", "p"), known).unionByName(_common(priced), allowMissingColumns=True)

@@ -186,7 +186,7 @@ def _summed(held: list[dict]) -> dict:
     }
 
 
-def _segment(schema: pa.Schema):
+def _segment(schema: pa.Schema, most_rows: int):
     def run(batches):
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
         ready: list[dict] = []
@@ -199,7 +199,7 @@ def _segment(schema: pa.Schema):
         weight = 0
         for batch in batches:
             for r in batch.to_pylist():
-                if held and (held[0]["conv"] != r["conv"] or held[0]["no_conv"] != r["no_conv"] or len(held) >= SEGMENT_ROWS or size + len(r["text"]) > SEGMENT_CHARS):
+                if held and (held[0]["conv"] != r["conv"] or held[0]["no_conv"] != r["no_conv"] or len(held) >= most_rows or size + len(r["text"]) > SEGMENT_CHARS):
                     weight += size
                     close()
                     if len(ready) >= 512 or weight > SEGMENT_CHARS:
@@ -347,7 +347,7 @@ def repair(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", rol
     given = rows.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit(" ")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit(" ")).alias("text"))
     order = ["no_conv", "conv", "has_turn", "at", "role", "digest"]
     ranged = stash(faults(given)).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    segments = stash(ranged.select("no_conv", "conv", "has_turn", "at", "role", "text", "times", "fault").transform(in_arrow, _segment(_arrow(spark, _SEGMENT)), _SEGMENT))
+    segments = stash(ranged.select("no_conv", "conv", "has_turn", "at", "role", "text", "times", "fault").transform(in_arrow, _segment(_arrow(spark, _SEGMENT), SEGMENT_ROWS), _SEGMENT))
     conv, place = ["no_conv", "conv"], ["no_conv", "conv", "part", "seq"]
     light = segments.select(F.concat_ws(":", *[F.col(c).cast("string") for c in conv]).alias("key"), *place, "matrix", "first_role", "last_role", "first_at", "last_at")
     chained = stash(light.repartition(n, *conv).sortWithinPartitions("key", "part", "seq").transform(in_arrow, _chain(_arrow(spark, _CHAINED)), _CHAINED))

@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 from .common import U64, buffers, in_arrow, mix
 
 #: Bytes of a gram, and hashed features.
-SIZES, WIDTH = (3, 4, 5), 1 << 16
+SIZES, WIDTH = (3, 4, 5), 1 << 18
 #: Labelled URLs that are learned from, at most; the weight of the penalty, and the steps.
-MOST_LABELLED, PENALTY, STEPS, RATE = 20_000, 0.02, 300, 0.1
+MOST_LABELLED, PENALTY, STEPS, RATE = 20_000, 0.3, 300, 0.05
 #: A score from here on blocks.
 BLOCK_FROM = 0.5
 
@@ -27,23 +27,44 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 #: Words of which the labelled URLs are made: hosts of pages nobody wants to learn from, and of others.
 UNWANTED = "casino poker slots betting bets jackpot lottery roulette bingo pills pharmacy viagra cialis pharma steroids diet adult sex xxx porn escort webcam dating loans payday credit spam scam phishing malware ads adserver tracker tracking clicks popup banner affiliate torrent warez crack keygen serial replica fake cheap free win prize giveaway bonus seo backlinks linkfarm farm".split()
-WANTED = "news journal library museum school college university science physics biology history archive weather garden kitchen recipes travel maps city council health hospital clinic law court music theatre cinema books review press daily weekly forum community wiki docs developer code software data research institute energy water forest river mountain coast bank market trade shop sports football chess gallery studio radio parents farmers".split()
+WANTED = "news journal library museum school college university science physics biology history archive weather garden kitchen recipes travel maps city council health hospital clinic law court music theatre cinema books review press daily weekly forum community wiki docs developer code software data research institute energy water forest river mountain coast bank market trade shop sports football chess gallery studio radio parents farmers freedom windows winter essex address discount cheapside".split()
+
+
+_TAILS = "online world zone shop group today central point".split()
+_ONSETS = "b c d f g h k l m n p r s t v w th sh ch st tr br gr pl".split()
+_VOWELS = "a e i o u ea ou ie".split()
+_CODAS = ["", "n", "r", "s", "t", "l", "nd", "ng", "th", "ble", "tion", "er", "ly", "ck"]
+_LEADS, _ENDS = ["", "www.", "m.", "blog."], ["com", "net", "org", "info", "example.com", "example.net", "example.org"]
+#: Paths of either kind, with a number put in, and those that only unwanted pages have.
+_PATHS = ["/", "/en/{}", "/de/{}.html", "/fr/{}?page=2", "/about", "/es/{}/", "/article/{}/title-of-it", "/index.html", "/en/{}#top", "/category/item?id={}"]
+_BAD_PATHS = ["/win-free-bonus", "/click?aff={}", "/buy-cheap-pills", "/promo/jackpot"]
+
+
+def _path(i: int, unwanted: bool) -> str:
+    paths = _BAD_PATHS if unwanted and i % 4 == 0 else _PATHS
+    return paths[i * 3 % len(paths)].format(i * 7919 % 100_000)
+
+
+def labelled(words: list[str], unwanted: bool) -> list[tuple[str, int]]:
+    """URLs made of words: each alone, with common tails, and with others of them, with and without a dash."""
+    out = []
+    for i, word in enumerate(words):
+        other, third = words[(i * 7 + 3) % len(words)], words[(i * 5 + 1) % len(words)]
+        tail, more = _TAILS[i % 8], _TAILS[(i + 3) % 8]
+        for j, name in enumerate((word, f"{word}-{other}", other + word, f"{word}-{tail}", more + word, f"{third}-{word}", f"{more}-{word}", word + tail)[: 8 if unwanted else 5]):
+            out.append((f"http{'s' * (i % 2)}://{_LEADS[(i + j) % 4]}{name}.{_ENDS[(i * 3 + j) % 7]}{_path(8 * i + j, unwanted)}", int(unwanted)))
+    return out
+
+
+def nameless(n: int) -> list[tuple[str, int]]:
+    """URLs of names without a meaning, which are no ground to block."""
+    part = lambda i, k: _ONSETS[(i * (5 + k) + k) % len(_ONSETS)] + _VOWELS[(i * (3 + k) + i // 7) % 8] + _CODAS[(i * (k + 1) + i // 5) % 14]
+    return [(f"https://{_LEADS[i % 4]}{''.join(part(i, k) for k in range(2 + i % 2))}.{_ENDS[i % 7]}{_path(i, False)}", 0) for i in range(n)]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The default table (url, unwanted), made of the words above by a rule."""
-    paths = ["/", "/en/12", "/de/345.html", "/fr/6?page=2", "/about", "/es/78/", "/article/2021/05/title-of-it", "/index.html", "/en/903#top", "/category/item?id=4"]
-    bad = ["/en/12", "/win-free-bonus", "/de/345.html", "/click?aff=77", "/fr/6?page=2", "/buy-cheap-pills", "/en/903#top", "/es/78/", "/index.html", "/promo/jackpot"]
-    lead, ends = ["", "www.", "m.", "blog."], ["com", "net", "org", "info", "example.com", "example.net", "example.org"]
-    rows = []
-    for words, own, label in ((UNWANTED, bad, 1), (WANTED, paths, 0)):
-        for i, word in enumerate(words):
-            for j, (a, b) in enumerate(((word, words[(i * 7 + 3) % len(words)]), (words[(i * 11 + 5) % len(words)], word), (word, ""))):
-                host = lead[(i + j) % 4] + (f"{a}-{b}" if b and j == 0 else a + b) + "." + ends[(i * 3 + j) % len(ends)]
-                rows.append((f"http{'s' * (i % 2)}://{host}{own[(i + 3 * j) % len(own)]}", label))
-    # Names without a meaning are no ground to block.
-    rows += [(f"https://{lead[i % 4]}{''.join('bcdfghklmnprstvw'[(i * k + k) % 16] + 'aeiou'[(i + k) % 5] for k in range(3, 6 + i % 3))}.{ends[i % len(ends)]}{paths[i % len(paths)]}", 0) for i in range(120)]
-    return spark.createDataFrame(rows, "url string, unwanted int")
+    """The default table (url, unwanted): about 1,100 rows, made of the words above by rule."""
+    return spark.createDataFrame(labelled(UNWANTED, True) + labelled(WANTED, False) + nameless(400), "url string, unwanted int")
 
 
 def host_of(url: Column) -> Column:
@@ -66,14 +87,19 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
+#: Which digit it is says nothing about a page: numbers are compared by their length.
+_DIGITS_ALIKE = np.arange(256, dtype=np.uint8)
+_DIGITS_ALIKE[0x30:0x3A] = 0x30
+
+
 def grams(data: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed n-grams of the texts, with a bound at both ends: (text, feature) of each."""
+    """The hashed n-grams of the texts, with a bound at both ends and digits alike: (text, feature) of each."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     body = np.full(len(data) + 2 * n, 1, np.uint8)  # a text between two bounds
     edge = offsets + 2 * np.arange(n + 1)
     inner = np.repeat(edge[:-1] + 1 - offsets[:-1], size) + np.arange(len(data))
-    body[inner] = data
+    body[inner] = _DIGITS_ALIKE[data]
     text = np.repeat(np.arange(n), np.diff(edge))
     left = edge[1:][text] - np.arange(len(body))  # bytes from here to the text's end
     wide = np.concatenate([body, np.zeros(8, np.uint8)]).astype(U64)
