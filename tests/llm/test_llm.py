@@ -171,7 +171,7 @@ def test_licenses(spark):
     ]
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, id string, g int")
     got = {(r.doc_id, r.license_id): (r.dice, r.n_passages) for r in license_scan.license_scan(frame).collect()}
-    assert got[1, "MIT"] == (1.0, 3) and got[2, "Apache-2.0"][1] == 1 and got[None, "MIT"] == (1.0, 1)
+    assert got[1, "MIT"] == (1.0, 3) and got[2, "Apache-2.0"][1] == 2 and got[None, "MIT"] == (1.0, 1)  # a sentence, and the line it is in
     assert {i for i, _ in got} == {1, 2, 7, 8, 9, 10, 11, 12, None}
     assert {x for i, x in got if i in (7, 10, 12)} == {"MIT"} and got[7, "MIT"][0] == 1.0
     assert {x for i, x in got if i == 9} == {"BSD-3-Clause"} and {x for i, x in got if i == 11} == {"GPL-3.0"} and got[8, "BSD-2-Clause"][0] == 1.0

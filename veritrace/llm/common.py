@@ -90,6 +90,11 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def text_mark(text: Column) -> Column:
+    """What tells texts of one id, or of none, apart: their sha256 as 32 bytes."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> U64(30))
@@ -298,6 +303,26 @@ def single(df: DataFrame, repeated: DataFrame, on: dict[str, Column]) -> DataFra
     return clear.union(others.select(df.columns)).union(one)
 
 
+#: A key of more than 1 / HOT of all rows is hot: there are fewer than HOT of them.
+HOT = 1000
+
+
+def grouped_join(rows: DataFrame, table: DataFrame, on: list[str], held: str, spread: str) -> DataFrame:
+    """rows, left joined with a table of one row per key, of which `held` counts the rows of that key. Hot keys'
+    rows of the table, fewer than HOT, go to all tasks; the rows that meet them get a key of their own
+    (a hash of `spread`) in the other join, so no task holds more than a HOT-th of all rows for one key."""
+    values = [c for c in table.columns if c not in on]
+    hot = F.col(held) * HOT > rows.count()
+    few = table.where(hot).select(*on, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))
+    rest = table.where(~hot).toDF(*[f"_rest_{c}" for c in table.columns])
+    met = rows.join(F.broadcast(few), on, "left").withColumn("_first", F.when(F.col("_hot").isNull(), F.col(on[0])).otherwise(F.xxhash64(spread)))
+    same = F.col("_hot").isNull() & (F.col("_first") == F.col(f"_rest_{on[0]}"))
+    for c in on[1:]:
+        same = same & (F.col(c) == F.col(f"_rest_{c}"))
+    out = met.join(rest, same, "left")
+    return out.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_rest_{c}").alias(c) for c in values])
+
+
 def whole_groups(batches, key: str):
     """Tables of complete runs of equal keys, from batches sorted by it: many small groups at once."""
     held = []

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import U64, Words, buffers, chunks, in_arrow, key_filter, mix, runs, stash, text_or_empty
+from .common import U64, Words, buffers, chunks, in_arrow, key_filter, mix, runs, stash, text_mark, text_or_empty
 
 #: Words of a window; literal words that a window needs to stand as a template; share of an item's windows
 #: that a document must hold.
@@ -230,7 +230,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document and benchmark item found in it: (id, item_id, coverage, exact, text_mark).
 
     coverage is the share of the item's windows that the document holds, exact whether an occurrence
-    has the item's own values in all slots, text_mark xxhash64 of the text. Null and empty texts hold
+    has the item's own values in all slots, text_mark the sha256 of the text (binary). Null and empty texts hold
     and are nothing; windows with few literal words (an item of numbers and names) must have the same
     words. A very long text is read whole: its windows stream, and only those that the benchmark has
     are kept. Repeated items of one id are one item, items of equal text are found alike, repeated
@@ -239,14 +239,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ignored. A passage that very many documents hold makes rows per document and window only; they are
     dealt over SALTS parts per window, or meet a broadcast, and are grouped by document.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("mark", text_mark(F.col("text")))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_or_empty(item_text_col).alias("text"))
     windows = items.transform(in_arrow, _item_windows, "item_id long, item_pos int, h long, k int, raw boolean, item_slots array<long>")
     windows = stash(windows.dropDuplicates(["item_id", "item_pos", "h"]))
     lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())  # K at most
     known = windows.select("h").distinct()
     rows, n = windows.count(), known.count()
-    found = base.transform(in_arrow, _find(lengths, _passes(known, n, sent)), "doc_id long, mark long, h long, doc_pos long, doc_slots array<long>")
+    found = base.transform(in_arrow, _find(lengths, _passes(known, n, sent)), "doc_id long, mark binary, h long, doc_pos long, doc_slots array<long>")
     side = windows.select("item_id", "item_pos", "h", "raw", "item_slots")
     if rows <= sent // 8:
         hits = found.join(F.broadcast(side), "h")
@@ -256,5 +256,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     met = hits.groupBy("doc_id", "mark", "item_id").agg(F.collect_set(F.struct("doc_pos", "item_pos", "raw", "item_slots", "doc_slots")).alias("hits"))
     total = windows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("of"), F.countDistinct(F.when(~F.col("raw"), F.col("item_pos"))).alias("of_template"))
     out = met.join(total, "item_id").select("doc_id", "mark", "item_id", "hits", "of", "of_template")
-    out = out.transform(in_arrow, _judge(coverage), "doc_id long, mark long, item_id long, coverage double, found boolean, exact boolean").where("found")
+    out = out.transform(in_arrow, _judge(coverage), "doc_id long, mark binary, item_id long, coverage double, found boolean, exact boolean").where("found")
     return out.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "coverage", "exact", F.col("mark").alias("text_mark"))

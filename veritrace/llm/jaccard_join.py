@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, buffers, chunks, groups, in_arrow, key_filter, mix, partitions, passing, runs, stash, text_or_empty, whole_groups
+from .common import U64, Words, buffers, chunks, groups, grouped_join, in_arrow, key_filter, mix, partitions, passing, runs, stash, text_mark, text_or_empty, whole_groups
 from .components import components
 from .substring_dedup import normalised
 
@@ -62,8 +62,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tup
     return found, np.searchsorted(text, np.arange(len(offsets))), words
 
 
-_SETS = "uid long, doc_id long, mark long, size int, one long, two long, words binary, segment int, counts binary"
-_SETS_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("size", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("words", pa.binary()), ("segment", pa.int32()), ("counts", pa.binary())])
+_SETS = "uid long, doc_id long, mark binary, size int, one long, two long, words binary, segment int, counts binary"
+_SETS_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.binary()), ("size", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("words", pa.binary()), ("segment", pa.int32()), ("counts", pa.binary())])
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ def _sets(batches):
     for segment in range(16) if some else []:
         part = pack.compress(counts[segment * (CELLS // 16) : (segment + 1) * (CELLS // 16)].tobytes())
         task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), *[pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())], pa.array([segment], pa.int32()), pa.array([part], pa.binary())], schema=_SETS_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), *[pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary())], pa.array([segment], pa.int32()), pa.array([part], pa.binary())], schema=_SETS_ARROW)
 
 
 def _sum_counts(batches):
@@ -379,8 +379,8 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marks: bool = False, split_at: int = SPLIT) -> DataFrame:
-    """One row per row of docs: (id, n_shingles, component_id); with marks also text_mark (xxhash64 of
-    the text), class (a number of the component) and group_size (its rows; 1 without a shingle).
+    """One row per row of docs: (id, n_shingles, component_id); with marks also text_mark (the sha256
+    of the text, binary), class (a number of the component) and group_size (its rows; 1 without a shingle).
 
     Texts are lower-cased in A-Z; two documents link when their sets of distinct 5-word shingles
     have a Jaccard similarity of 0.75 or more, compared in integers; a text of one to four words is
@@ -396,12 +396,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = text_or_empty(text_col)
     # A row's number is fixed by the first table written. Numbers of a task lie close together, so lists of them compress.
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    base = base.withColumns({"mark": F.xxhash64("text"), "uid": F.monotonically_increasing_id()})
+    base = base.withColumns({"mark": text_mark(F.col("text")) if marks else F.lit(None).cast("binary"), "uid": F.monotonically_increasing_id()})
     sets = stash(base.select("uid", "doc_id", "mark", "text").transform(in_arrow, _sets, _SETS))
     ranks, length = _ranks(sets)
     rows = sets.where("segment is null")
     leads = rows.where("words is not null")
-    classes = rows.where("size > 0").groupBy("one", "two").agg(F.min(F.when(F.col("words").isNotNull(), F.col("uid"))).alias("rep"))
+    classes = rows.where("size > 0").groupBy("one", "two").agg(F.min(F.when(F.col("words").isNotNull(), F.col("uid"))).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("held"))
     # Words of representatives: leads of other tasks with the same set are left out.
     extra = stash(leads.select("uid", "one", "two").join(classes, ["one", "two"]).where("uid <> rep").select("uid").distinct())
     held = key_filter(extra)
@@ -435,9 +435,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     across = stash(across.join(tried, ["x", "y"], "left_anti"))
     links = second.union(similar(across, light))
     node = components(links)
-    whole = rows.select("uid", "doc_id", "mark", "size", "one", "two").join(classes, ["one", "two"], "left").join(node.withColumnRenamed("node", "rep"), "rep", "left")
-    whole = whole.withColumn("class", F.when(F.col("size") > 0, F.coalesce("component", "rep")))
-    least = whole.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    found = whole.join(least, "class", "left")
+    # Sets and their components first, then one join with the rows: a set or component that many rows have is one row until then.
+    sets_of = stash(classes.join(node.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", F.coalesce("component", "rep").alias("class"), "least", "held"))
+    least = sets_of.groupBy("class").agg(F.min("least").alias("least"), F.sum("held").alias("rows"), F.count("*").alias("n_sets"))
+    known = grouped_join(sets_of.drop("least"), least, ["class"], "n_sets", "one")
+    found = grouped_join(rows.select("uid", "doc_id", "mark", "size", "one", "two"), known, ["one", "two"], "held", "uid")
+    found = found.withColumn("class", F.when(F.col("size") > 0, F.col("class")))
     more = [F.col("mark").alias("text_mark"), "class", F.coalesce("rows", F.lit(1)).alias("group_size")] if marks else []
     return found.select(F.col("doc_id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), *more)

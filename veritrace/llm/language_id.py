@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ from .common import buffers, chunks, in_arrow
 SEGMENT, HIDDEN = 128, 8
 #: Labelled documents per language in the training sample, and segments taken of each.
 SAMPLE_DOCS, SAMPLE_SEGMENTS = 1200, 2
+#: Languages at most; rows that are drawn for each that is kept, since copies are drawn together; steps of a draw.
+MOST_LABELS, DRAWN, _DRAW = 200, 2, 1 << 62
 STEPS, BATCH, RATE = 260, 256, 0.02
 #: Segments that inference works on at once.
 WIDE = 1024
@@ -189,18 +191,21 @@ def pooled(network: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
 
 
 def fit(docs: DataFrame, text: Column, label: Column, sample_docs: int = SAMPLE_DOCS) -> Network | None:
-    """Trains on about sample_docs rows per label, chosen by a hash of their text, of those with a
-    label and a letter; None if there are none. Texts are sampled anywhere, not at their beginning."""
+    """Trains on sample_docs different texts per label at most, chosen by a hash of them, of those with a
+    label and a letter; None if there are none. Labels are the MOST_LABELS most frequent (of equals the
+    first by name). Texts are sampled anywhere, not at their beginning. So what reaches the driver is bounded,
+    whatever repeats in the table: a text drawn is drawn with its copies, which then count once."""
     rows = docs.select(text.alias("text"), label.alias("label")).where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()}
     if not counts:
         return None
     languages = sorted(counts)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, sample_docs / n) * 1_000_000))]), F.col("label"))
-    draw = lambda seed: F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000))
+    drawn = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(_DRAW))
+    few = rows.where(drawn <= F.try_element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, DRAWN * sample_docs / n) * _DRAW))]), F.col("label"))).distinct()
+    few = few.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text", F.lit(3)), "text"))).where(F.col("place") <= sample_docs)
     span = F.greatest(F.length("text") - SEGMENT, F.lit(0)) + 1
     parts = F.array(*[F.substr("text", (F.pmod(F.xxhash64("text", F.lit(10 + i)), span) + 1).cast("int"), F.lit(SEGMENT)) for i in range(SAMPLE_SEGMENTS)])
-    got = sorted((r["label"], p.encode()[:SEGMENT]) for r in rows.where(draw(3) <= share).select("label", parts.alias("parts")).collect() for p in r["parts"])
+    got = sorted((r["label"], p.encode()[:SEGMENT]) for r in few.select("label", parts.alias("parts")).collect() for p in r["parts"])
     x = np.zeros((len(got), SEGMENT), np.uint8)
     mask = np.zeros((len(got), SEGMENT), bool)
     for i, (_, b) in enumerate(got):

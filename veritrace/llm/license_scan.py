@@ -21,6 +21,8 @@ from .arrays import let
 from .license_texts import TEXTS
 
 THRESHOLD = 0.8
+#: In place of a licence, for passages that several have; first of equals.
+SHARED = ""
 _SENTENCE = r"([.!?:])[ \t]+([A-Z])"
 
 
@@ -31,11 +33,11 @@ def parts_of(text: str) -> list[str]:
 
 
 def derived(texts: list[tuple[str, str]] = TEXTS, least: int = 2) -> list[tuple[str, str]]:
-    """(licence, passage) of all texts, without passages of fewer than `least` bigrams and without those
-    that several licences have."""
+    """(licence, passage) of all texts, without passages of fewer than `least` bigrams. A passage that several
+    licences have stands for SHARED: what is nearest to it says nothing of one licence."""
     found = {(i, " ".join(_words(p))): (i, p) for i, t in texts for p in parts_of(t) if len(_grams(p)) >= least}
     times = Counter(w for _, w in found)
-    return [v for (_, w), v in found.items() if times[w] == 1]
+    return [v for (_, w), v in found.items() if times[w] == 1] + list({w: (SHARED, p) for (_, w), (_, p) in found.items() if times[w] > 1}.values())
 
 
 def words(c: Column) -> Column:
@@ -113,17 +115,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts are licences and notices (blank lines between paragraphs); derived() makes the templates of
     them. A passage counts for its best template if that reaches the threshold (ties: the first licence
     by name); dice is the best of the document's passages, n_passages the number of different ones that
-    match. Whole texts are read, however long; null and empty texts, and passages of one word, match
+    match; one that is nearest to a passage which several licences share counts for none; a line or paragraph around a matching sentence is a passage of its own and counts too if it matches. Whole texts are read, however long; null and empty texts, and passages of one word, match
     nothing. Repeated ids are reported together, rows without an id as one; passages that several of
     such rows have count per row. An empty table gives no rows; further columns, whatever their names,
     are ignored. Rows meet only in the last grouping, combined per task first, so no text is hot.
     """
-    grams = [(i, _grams(t)) for i, t in derived(texts)]
+    every = [(i, _grams(t)) for i, t in derived(texts)]
+    grams = [x for x in every if x[0] != SHARED]
     part, whole = _share(threshold)
     low = -(min(len(g) for _, g in grams) * part // -whole)
     high = max(len(g) for _, g in grams) * whole // part
     signal = r"(?<![a-z0-9])(?:" + "|".join(_signals([g for _, g in grams], threshold)) + r")(?![a-z0-9])"
-    known = F.array(*[F.struct(F.lit(i).alias("id"), F.split(F.lit("|".join(g)), "[|]").alias("grams")) for i, g in grams])  # constants: folded once
+    known = F.array(*[F.struct(F.lit(i).alias("id"), F.split(F.lit("|".join(g)), "[|]").alias("grams")) for i, g in every])  # constants: folded once
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.lower("text").rlike(signal))
     units = rows.select("id", F.explode(passages(F.col("text"), _runs(texts))).alias("p")).where(F.col("p").rlike(signal)).select("id", F.split("p", " ").alias("w"))
     # A passage of a bigrams has more than a words, and at most a + 1 different ones.
@@ -137,7 +140,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.filter(F.array(F.array_min(dice)), lambda h: h["loss"] <= -threshold)
 
     # Exploded, not filtered: a filter would be pushed down and work the sets out again for each template.
-    hits = units.select("id", F.explode(let(bigrams(F.col("w")), best)).alias("hit"))
+    hits = units.select("id", F.explode(let(bigrams(F.col("w")), best)).alias("hit")).where(F.col("hit.license_id") != SHARED)
     return hits.groupBy(F.col("id").alias(id_col), F.col("hit.license_id").alias("license_id")).agg(F.max(-F.col("hit.loss")).alias("dice"), F.count("*").alias("n_passages"))
 
 
@@ -154,4 +157,4 @@ w AS (SELECT doc_id, row_number() OVER () AS unit, string_split(p, ' ') AS w FRO
 g AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
 d AS (SELECT doc_id, unit, license_id, 2.0::double * len(list_intersect(tg, g)) / (len(tg) + len(g)) AS dice FROM g, known),
 best AS (SELECT doc_id, unit, min(struct_pack(loss := -dice, license_id := license_id)) AS hit FROM d WHERE dice >= {threshold} GROUP BY doc_id, unit)
-SELECT doc_id, hit.license_id AS license_id, max(-hit.loss) AS dice, count(*) AS n_passages FROM best GROUP BY ALL"""
+SELECT doc_id, hit.license_id AS license_id, max(-hit.loss) AS dice, count(*) AS n_passages FROM best WHERE hit.license_id <> '{SHARED}' GROUP BY ALL"""

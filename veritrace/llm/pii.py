@@ -124,8 +124,20 @@ def candidates(text: Column) -> Column:
 _CANDIDATE = "array<struct<kind:int,start:int,end:int," + ",".join(f"{n}:int" for n in FEATURES) + ">>"
 
 
-def _inside(spans: Column, c: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+def _meets(spans: Column, c: Column) -> Column:
+    """Whether one of these spans, sorted and apart from each other, overlaps c. A search by halves for
+    how many begin before c ends; the last of them ends last. No span is looked at for most candidates."""
+    n = F.size(spans)
+
+    def half(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        before = F.get(spans, mid - 1)["start"] < c["end"]
+        go = s["lo"] < s["hi"]
+        return F.struct(F.when(go & before, mid).otherwise(s["lo"]).alias("lo"), F.when(go & ~before, mid - 1).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.length(F.bin(n)))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), half)["lo"]
+    return F.when(n > 0, F.coalesce(F.get(spans, found - 1)["end"] > c["start"], F.lit(False))).otherwise(False)
 
 
 class Boosted:
@@ -261,8 +273,8 @@ def planted(texts: DataFrame, kind: int, seed: int, each: int = 1) -> DataFrame:
 def _labelled(rows: DataFrame) -> DataFrame:
     """planted rows' candidates of their kind where the example stands, unless a fixed format holds there."""
     spans = base_spans(F.col("text"))
-    both = F.struct(candidates(F.col("text")).alias("c"), F.concat(spans["email"], spans["ip"], spans["card"], spans["phone"]).alias("b"))
-    here = let(both, lambda x: F.filter(x["c"], lambda c: (c["kind"] == F.col("of")) & (c["start"] < F.col("end")) & (F.col("start") < c["end"]) & ~_inside(x["b"], c)))
+    both = F.struct(candidates(F.col("text")).alias("c"), *[v.alias(k) for k, v in spans.items()])
+    here = let(both, lambda x: F.filter(x["c"], lambda c: (c["kind"] == F.col("of")) & (c["start"] < F.col("end")) & (F.col("start") < c["end"]) & ~reduce(lambda a, b: a | b, [_meets(x[k], c) for k in spans])))
     return rows.select("key", "label", F.explode(here).alias("c"))
 
 
@@ -285,6 +297,15 @@ def fit(docs: DataFrame, text_col: str = "text", seed: int = 1) -> Boosted:
     return model
 
 
+def _of_kind(k: int) -> Column:
+    return F.filter("chosen", lambda c: c["kind"] == k)
+
+
+def _clear(k: int):
+    """Of kind k: overlaps none that is chosen of an earlier kind."""
+    return lambda c: ~reduce(lambda a, b: a | b, [_meets(F.col(f"chosen_{j}"), c) for j in range(k)], F.lit(False))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Boosted | None = None) -> DataFrame:
     """One row per row of docs: (id, email, ip, card, phone, added), arrays of spans.
 
@@ -299,10 +320,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     text = F.col("text")
     out = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     out = out.withColumns({k: v for k, v in base_spans(text).items()} | {"proposed": candidates(text)})
-    base = F.concat("email", "ip", "card", "phone")
-    chosen = F.filter("proposed", lambda c: model.selects(c) & ~_inside(base, c))
+    chosen = F.filter("proposed", lambda c: model.selects(c) & ~reduce(lambda a, b: a | b, [_meets(F.col(k), c) for k in ("email", "ip", "card", "phone")]))
     out = out.withColumn("chosen", F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
-    first = F.filter("chosen", lambda c: ~F.exists("chosen", lambda d: (d["kind"] < c["kind"]) & (d["start"] < c["end"]) & (c["start"] < d["end"])))
+    # Spans of one generator are apart from each other and in order.
+    out = out.withColumns({f"chosen_{k}": _of_kind(k) for k in range(len(GENERATORS))})
+    first = F.concat(*[F.filter(f"chosen_{k}", _clear(k)) for k in range(len(GENERATORS))])
     name = F.array(*[F.lit(n) for n, _ in GENERATORS])
     return out.select(id_col, "email", "ip", "card", "phone", F.transform(first, lambda c: F.struct(F.get(name, c["kind"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end"))).alias("added"))
 
