@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrace.llm.common import single, stash, text_or_empty, without
+from veritrace.llm.common import single, stash, text_mark, text_or_empty, without
 from veritrace.llm.decontaminate import decontaminate
 from veritrace.llm.exact_dedup import exact_dedup
 from veritrace.llm.jaccard_join import jaccard_components
@@ -26,7 +26,7 @@ def _sha() -> dict:
 
 
 def _mark() -> dict:
-    return _row("text_mark", F.xxhash64)
+    return _row("text_mark", text_mark)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
