@@ -9,7 +9,9 @@ from ..functions import terms
 from ..functions.similarity import paragraph, similarity
 from ..functions.text import clean, comparison_text, significant_tokens, stable_hash
 from ..sources.shared import settled
+from .matching import one_to_one  # noqa: F401
 from .ordering import ranked
+from .token_join import most_shared
 
 
 def by_key(old: DataFrame, new: DataFrame, on: str, value: str) -> DataFrame:
@@ -40,22 +42,12 @@ def exact_pairs(old: DataFrame, new: DataFrame, text: str, pos: str, hashed: boo
 
 
 def candidates(old: DataFrame, new: DataFrame, text: str, pos: str, tokens: str | None = None) -> DataFrame:
-    """Pairs that share tokens, by how many; each old record's best. (old_pos, new_pos, token_score, rank)
-
-    Equal scores rank by which new record is touched first: by the place in the old record of the first
-    token that both have, then by the new record's place. Records of equal token lists are compared as one:
-    of a new list only its first records can be among the best, and they are the same for all records
-    of an old list. tokens: a column of token lists, else those of text.
-    """
-    listed = F.slice(F.col(tokens) if tokens else significant_tokens(clean(F.col(text)), terms.COMMON_TOKENS), 1, terms.TOKENS_USED)
-    a, b = old.select(F.col(pos).alias("old_pos"), listed.alias("old_set")), new.select(F.col(pos).alias("new_pos"), F.array_sort(listed).alias("new_set"))
-    first = b.withColumn("place", F.row_number().over(Window.partitionBy("new_set").orderBy("new_pos"))).where(F.col("place") <= terms.CANDIDATES)
-    left = a.select("old_set").distinct().select("old_set", F.posexplode("old_set").alias("at", "token"))
-    right = b.select("new_set").distinct().select("new_set", F.explode("new_set").alias("token"))
-    score = left.join(right, "token").groupBy("old_set", "new_set").agg(F.count("*").alias("token_score"), F.min("at").alias("touched"))
-    w = Window.partitionBy("old_set").orderBy(F.desc("token_score"), "touched", "new_pos")
-    best = score.join(first, "new_set").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= terms.CANDIDATES)
-    return a.join(best, "old_set").select("old_pos", "new_pos", "token_score", "rank")
+    """Pairs that share tokens, by how many; each old record's best: (old_pos, new_pos, token_score, rank), as
+    most_shared gives them. tokens: a column of token lists, else those of text. Pairs that share too few
+    of the old record's tokens to pass the gate of scored are left out."""
+    every = F.col(tokens) if tokens else significant_tokens(clean(F.col(text)), terms.COMMON_TOKENS)
+    side = lambda df: df.select(F.col(pos).alias("pos"), F.slice(every, 1, terms.TOKENS_USED).alias("tokens"))
+    return most_shared(side(old), side(new), "pos", "pos", "tokens", terms.CANDIDATES, terms.TOKEN_OVERLAP)
 
 
 def scored(pairs: DataFrame, old: DataFrame, new: DataFrame, text: str, pos: str, limit: float, of: str | None = None, tokens: str | None = None, length: str | None = None) -> DataFrame:
@@ -70,22 +62,6 @@ def scored(pairs: DataFrame, old: DataFrame, new: DataFrame, text: str, pos: str
     return out.where(F.col("similarity") >= limit).select("old_pos", "new_pos", "token_score", "rank", "similarity", "old_text", "new_text")
 
 
-def one_to_one(pairs: DataFrame) -> DataFrame:
-    """Greedy matching by similarity, then order: in each round the pairs that are best for both
-    sides match, which in the end is what taking pairs one by one from the best gives. The best pair
-    of all that are left always matches, so rounds go on until none is left."""
-    order = [F.desc("similarity"), F.asc("old_pos"), F.asc("rank"), F.asc("new_pos")]
-    left, done = settled(pairs), None
-    while True:
-        best = left.withColumn("_o", F.row_number().over(Window.partitionBy("old_pos").orderBy(*order))).withColumn("_n", F.row_number().over(Window.partitionBy("new_pos").orderBy(*order)))
-        now = settled(best.where("_o = 1 and _n = 1").drop("_o", "_n"))
-        if now.isEmpty():
-            break
-        done = now if done is None else done.unionByName(now)  # joins move their key to the front
-        left = settled(left.join(now.select("old_pos"), "old_pos", "left_anti").join(now.select("new_pos"), "new_pos", "left_anti"))
-    return done if done is not None else pairs.limit(0)
-
-
 def found(c: Column, pattern: str, group: int = 0) -> Column:
     """All matches in clean lower-case text: numbers, obligation words or references."""
     return F.regexp_extract_all(F.lower(clean(c)), F.lit("(?i)" + pattern), F.lit(group))
