@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..functions.similarity import paragraph, similarity
+from ..functions.similarity import character_counts, paragraph, ratio_bound, similarity_from
 from ..functions.text import clean, comparison_text, significant_tokens, stable_hash
 from ..sources.shared import settled
 from .matching import one_to_one  # noqa: F401
@@ -54,12 +54,22 @@ def scored(pairs: DataFrame, old: DataFrame, new: DataFrame, text: str, pos: str
     """Candidates that pass the cheap gates, with their similarity, from the limit on. of: the column to
     compare, else text; tokens and length: columns for the gates, else those of text."""
     listed = F.col(tokens) if tokens else significant_tokens(clean(F.col(text)), terms.COMMON_TOKENS)
-    side = lambda df, p: df.select(F.col(pos).alias(f"{p}_pos"), F.col(of or text).alias(f"{p}_text"), listed.alias(f"{p}_tokens"), (F.col(length) if length else F.length(clean(F.col(text)))).alias(f"{p}_length"))
-    both = pairs.join(side(old, "old"), "old_pos").join(side(new, "new"), "new_pos")
+    of = F.col(of or text)
+    side = lambda df, p: settled(df.select(F.col(pos).alias(f"{p}_pos"), of.alias(f"{p}_text"), listed.alias(f"{p}_tokens"), (F.col(length) if length else F.length(clean(F.col(text)))).alias(f"{p}_length"), comparison_text(of).alias(f"{p}_form")).withColumns({f"{p}_size": F.length(f"{p}_form"), f"{p}_counts": character_counts(F.col(f"{p}_form"))}))
+    a, b = side(old, "old"), side(new, "new")
+    left = surely_less(pairs.join(a.drop("old_text", "old_form"), "old_pos").join(b.drop("new_text", "new_form"), "new_pos"), limit)
+    both = left.select("old_pos", "new_pos", "token_score", "rank").join(a.select("old_pos", "old_text", "old_form"), "old_pos").join(b.select("new_pos", "new_text", "new_form"), "new_pos")
+    out = both.withColumn("similarity", similarity_from(limit)(F.col("old_form"), F.col("new_form")))
+    return out.where("similarity is not null").select("old_pos", "new_pos", "token_score", "rank", "similarity", "old_text", "new_text")
+
+
+def surely_less(both: DataFrame, limit: float) -> DataFrame:
+    """Without the pairs that a gate stops, or whose lengths or characters bound their similarity below limit:
+    no text is read for that. both: *_length, *_tokens, *_size and *_counts of the two sides, token_score."""
     x, y = F.greatest(F.col("old_length"), F.lit(1)), F.greatest(F.col("new_length"), F.lit(1))
     gate = (F.least(x, y) / F.greatest(x, y) >= terms.LENGTH_RATIO) & (F.col("token_score") / F.size(F.array_union("old_tokens", "new_tokens")) >= terms.TOKEN_OVERLAP)
-    out = both.where(gate).withColumn("similarity", similarity(comparison_text(F.col("old_text")), comparison_text(F.col("new_text"))))
-    return out.where(F.col("similarity") >= limit).select("old_pos", "new_pos", "token_score", "rank", "similarity", "old_text", "new_text")
+    sizes = F.col("old_size"), F.col("new_size")
+    return both.where(gate & (ratio_bound(*sizes) >= limit)).where(ratio_bound(*sizes, F.col("old_counts"), F.col("new_counts")) >= limit)
 
 
 def found(c: Column, pattern: str, group: int = 0) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions.patterns import REPORT_LAYOUT
-from ..functions.similarity import first_change, similarity
+from ..functions.similarity import first_change, ratio_bound, similarity, similarity_from
 from ..functions.text import clean, comparison_text, first_present, stable_hash
 from ..sources.shared import settled
 from . import diff, ordering
@@ -162,7 +162,8 @@ def page_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     last = new.where("page is not null").groupBy("page").agg(F.max("pos").alias("pos"))  # of pages of one number, the last
     targets = rest(new, "new").join(last, ["page", "pos"]).select(F.col("page").alias("new_page"), F.col("pos").alias("new_pos"), F.col("content").alias("new_content"), F.col("normalized").alias("new_normalized"))
     sources = rest(old, "old").where("page is not null").select(F.col("page").alias("old_page"), F.col("pos").alias("old_pos"), F.col("content").alias("old_content"), F.col("normalized").alias("old_normalized"))
-    met = sources.join(targets, F.col("old_page") + by == F.col("new_page")).withColumn("score", similarity(comparison_text(F.col("old_normalized")), comparison_text(F.col("new_normalized")))).where(F.col("score") >= terms.MATCH_LIMITS["page"])
+    met = sources.join(targets, F.col("old_page") + by == F.col("new_page")).withColumns({"_a": comparison_text(F.col("old_normalized")), "_b": comparison_text(F.col("new_normalized"))})
+    met = met.where(ratio_bound(F.length("_a"), F.length("_b")) >= terms.MATCH_LIMITS["page"]).withColumn("score", similarity_from(terms.MATCH_LIMITS["page"])(F.col("_a"), F.col("_b"))).where("score is not null").drop("_a", "_b")
     met = settled(met.withColumn("_n", F.row_number().over(Window.partitionBy("new_pos").orderBy("old_pos"))).where("_n = 1"))
     out.append(_change(met, "page", "modified", [F.col("old_pos")], difference_category=_class(F.col("old_normalized"), F.col("new_normalized"), F.col("score")), identifier=F.concat(F.lit("Page "), F.col("old_page").cast("string")), page=F.col("new_page"), old_page=F.col("old_page"), new_page=F.col("new_page"), display_title=F.lit("Page modified"), old_value=F.col("old_content"), new_value=F.col("new_content"), similarity_score=F.col("score")))
     for kind, df, p in (("removed", old, "old"), ("added", new, "new")):
