@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import phrases
+
+
+#: White space, as (?U)\s has it.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def strip(c: Column) -> Column:
-    """Removes all white space at both ends, not only U+0020."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Removes all white space at both ends, not only U+0020; what lies between is not looked at."""
+    return F.btrim(c, F.lit(SPACES))
+
+
+def single_spaced(c: Column) -> Column:
+    """Runs of white space as one space."""
+    return F.regexp_replace(c, r"(?U)\s+", " ")
 
 
 def present(c: Column) -> Column:
@@ -24,7 +37,7 @@ def first_present(*columns: Column) -> Column:
 def clean(c: Column) -> Column:
     """No space around hyphens, runs of white space as one space, stripped; null is empty."""
     tight = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s*-\s*", "-")
-    return strip(F.regexp_replace(tight, r"(?U)\s+", " "))
+    return strip(single_spaced(tight))
 
 
 def comparison_text(c: Column) -> Column:
@@ -50,25 +63,27 @@ def percent_sql(k: str, n: str) -> str:
 
 
 def matched_terms(c: Column, terms: list[str]) -> Column:
-    """The terms that occur in lower-cased text as whole words, longest first, then by name. Terms of one
-    word are looked up among the text's words; the others are literal patterns, each tried only where
-    one pattern of all of them is met."""
-    import re
-
-    known = {t.lower() for t in terms}
-    if not known:
-        return F.array().cast("array<string>")
-    single, other = sorted(t for t in known if re.fullmatch(r"\w+", t)), sorted(t for t in known if not re.fullmatch(r"\w+", t))
-    quoted = [re.sub(r"([^\w\s])", r"\\\1", t) for t in sorted(other, key=lambda t: (-len(t), t))]
-    whole = lambda p: rf"(?U)(?<!\w)(?:{p})(?!\w)"
-    text, none = F.lower(F.coalesce(c, F.lit(""))), F.array().cast("array<string>")
-    parts = []
-    if single:
-        parts.append(F.array_intersect(F.split(F.lit("|".join(single)), "[|]"), F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1))))
-    if quoted:
-        each = [F.when(text.rlike(whole(p)), t) for t, p in zip(sorted(other, key=lambda t: (-len(t), t)), quoted)]
-        parts.append(F.when(text.rlike(whole("|".join(quoted))), F.array_compact(F.array(*each))).otherwise(none))
-    return F.transform(F.array_sort(F.transform(F.concat(*parts), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
+    """The terms that occur in lower-cased text as whole words, longest first, then by name."""
+    return terms_of(c, [terms], lambda found: found[0])
+
+
+def terms_of(c: Column, lists: list[list[str]], f) -> Column:
+    """f of the matched terms of each list, all lists found in one pass over the text's words."""
+    known = [{t.lower() for t in terms} for terms in lists]
+    single, other = sorted({t for k in known for t in k if re.fullmatch(r"\w+", t)}), sorted({t for k in known for t in k if not re.fullmatch(r"\w+", t)})
+    bounded = lambda t: r"(?U)(?<!\w)(?:" + re.sub(r"([^\w\s])", r"\\\1", t) + r")(?!\w)"
+    by_length = lambda x: F.transform(F.array_sort(F.transform(x, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda y: y["t"])
+
+    def of(x: Column) -> Column:
+        parts = [phrases.among(x["words"], single)] if single else []
+        parts += [phrases.found(x["low"], x["words"], other, bounded)] if other else []
+        every = by_length(F.concat(*parts)) if parts else F.array().cast("array<string>")
+        if len(lists) == 1:
+            return f([every])
+        return phrases.let(every, lambda e: f([F.array_intersect(e, phrases.strings(sorted(k))) for k in known]))
+
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return phrases.let(low, lambda x: phrases.let(F.struct(x.alias("low"), phrases.bag(x).alias("words")), of))
 
 
 def significant_tokens(c: Column, common: list[str]) -> Column:
@@ -105,7 +120,7 @@ def lenient_decimal(c: Column) -> Column:
 
 def folded(c: Column) -> Column:
     """White space collapsed, case folded (sharp s as ss)."""
-    return F.replace(F.lower(strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))), F.lit("ß"), F.lit("ss"))
+    return F.replace(F.lower(strip(single_spaced(F.coalesce(c, F.lit(""))))), F.lit("ß"), F.lit("ss"))
 
 
 def has_content(c: Column, kind: str = "string") -> Column:

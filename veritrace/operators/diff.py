@@ -32,13 +32,20 @@ def records(items: DataFrame, text: Column, preview: Column, pos: str, page: Col
 
 
 def exact_pairs(old: DataFrame, new: DataFrame, text: str, pos: str, hashed: bool = False) -> DataFrame:
-    """The k-th old with the k-th new record of each content hash: (h, k, old_pos, new_pos). Only hashes that
-    both sides have are numbered, and a hot one is not held by one task. hashed: text is the hash itself."""
-    side = lambda df, p: df.select((F.col(text) if hashed else stable_hash(F.col(text))).alias("h"), F.col(pos).alias(p))
-    a, b = side(old, "old_pos"), side(new, "new_pos")
-    both = a.select("h").distinct().join(b.select("h").distinct(), "h")
-    rank = lambda df, p: ranked(df.join(both, "h", "left_semi"), ["h"], [p], "k")
-    return rank(a, "old_pos").join(rank(b, "new_pos"), ["h", "k"])
+    """The k-th old with the k-th new record of each content hash: (h, k, old_pos, new_pos). Hashes are worked
+    out once. Where a side has one record of a hash, its pair is the other side's first, which an aggregation
+    gives; only hashes that both have several times are numbered, and a hot one is not held by one task.
+    hashed: text is the hash itself."""
+    side = lambda df, new: df.select((F.col(text) if hashed else stable_hash(F.col(text))).alias("h"), F.col(pos).alias("p"), F.lit(new).alias("new"))
+    rows = settled(side(old, False).union(side(new, True)))
+    n = lambda new: F.count_if(F.col("new") == F.lit(new))
+    first = lambda new: F.min(F.when(F.col("new") == F.lit(new), F.col("p")))
+    both = settled(rows.where("h is not null").groupBy("h").agg(n(False).alias("olds"), n(True).alias("news"), first(False).alias("old_pos"), first(True).alias("new_pos")).where("olds > 0 and news > 0"))
+    single = F.least("olds", "news") == 1
+    several = settled(rows.join(both.where(~single).select("h"), "h", "left_semi"))
+    rank = lambda new, name: ranked(several.where(F.col("new") == F.lit(new)).select("h", F.col("p").alias(name)), ["h"], [name], "k")
+    once = both.where(single).select("h", F.lit(1).alias("k"), "old_pos", "new_pos")
+    return once.union(rank(False, "old_pos").join(rank(True, "new_pos"), ["h", "k"]))
 
 
 def candidates(old: DataFrame, new: DataFrame, text: str, pos: str, tokens: str | None = None) -> DataFrame:

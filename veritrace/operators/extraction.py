@@ -10,27 +10,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import acronyms, cross_references, first_present, folded, lines, present, signals, strip, words
+from ..functions import phrases
+from ..functions.text import acronyms, cross_references, first_present, folded, lines, present, signals, single_spaced, strip, words
 from .ordering import first_seen, section_ids
 
 _SENTENCE_END = "\u0001"
 
 
 def collapsed(c: Column) -> Column:
-    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    return strip(single_spaced(F.coalesce(c, F.lit(""))))
 
 
 def relevant(text: Column, features: bool = False, literal_compat: bool = False) -> Column:
     """Whether a sentence states something to verify: no figure reference, no lead-in, and the wording of
     a requirement, a declared or conditional behaviour or (with features) a feature. literal_compat
     keeps the empty alternative of the declared behaviours: then any text with a word counts."""
-    c = collapsed(text)
-    said = c.rlike(P.REQUIREMENT) | c.rlike(P.DECLARATIVE) | c.rlike(P.CONDITIONAL)
-    if features:
-        said = said | c.rlike(P.FEATURE)
-    if literal_compat:
-        said = said | c.rlike(r"\w")
-    return (c != "") & ~c.rlike(P.FIGURE_REFERENCE) & ~c.rlike(P.LEAD_IN) & said
+    verbs = phrases.alternatives(P.CONDITION_VERBS)
+    ways = {
+        P.REQUIREMENT: phrases.ways_of(P.REQUIREMENT_PHRASES), P.FEATURE: phrases.ways_of(P.FEATURE_PHRASES), P.FIGURE_REFERENCE: [["figure"], ["fig"]],
+        P.DECLARATIVE: [[w] for w in [*P.STATES, *phrases.alternatives(P.ACTIONS), "cause", "causes"]] + [["can", "be", "either", "or"]], P.CONDITIONAL: [[w, v] for w in ("when", "if") for v in verbs],
+    }
+    any_word = sorted({w for way in ways.values() for g in way for w in g})
+
+    def of(x: Column) -> Column:
+        c, there = x["c"], x["there"]
+        says = lambda p: phrases.said(c, there, p, ways[p])
+        found = says(P.REQUIREMENT) | says(P.DECLARATIVE) | says(P.CONDITIONAL)
+        if features:
+            found = found | says(P.FEATURE)
+        if literal_compat:
+            found = found | c.rlike(r"\w")
+        return (c != "") & ~says(P.FIGURE_REFERENCE) & ~F.substring(c, 1, 64).rlike(P.LEAD_IN) & found
+
+    there = lambda c: phrases.among(phrases.bag(F.lower(c), phrases.BOUNDED_WORD), any_word)
+    return phrases.let(collapsed(text), lambda c: phrases.let(F.struct(c.alias("c"), there(c).alias("there")), of))
 
 
 def blank_texts(requirements: DataFrame, order: str = "pos", shown: int = 10) -> list:

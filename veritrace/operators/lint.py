@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..functions.text import matched_terms, present, strip
+from ..functions.text import present, strip, terms_of
 
 WEAK, MISSING = "weak_or_optional_language", "missing_strong_requirement_language"
 _MESSAGES = {
@@ -28,11 +28,10 @@ def source_section(requirement_id: Column, *fields: Column) -> Column:
 
 def check_language(requirements: DataFrame, text: str = "text", weak: list[str] = terms.WEAK_WORDS, strong: list[str] = terms.STRONG_WORDS) -> DataFrame:
     """Up to two issues per requirement: weak wording with its terms, and no strong wording."""
-    out = requirements.withColumn("_weak", matched_terms(F.col(text), weak)).withColumn("_strong", matched_terms(F.col(text), strong))
     none = F.array().cast("array<string>")
     issue = lambda kind, words: F.struct(F.lit(kind).alias("issue_type"), words.alias("matched_words"), F.lit(_MESSAGES[kind]).alias("message"))
-    issues = F.array(F.when(F.size("_weak") > 0, issue(WEAK, F.col("_weak"))), F.when(F.size("_strong") == 0, issue(MISSING, none)))
-    return out.withColumn("_issue", F.explode(F.array_compact(issues))).select(*requirements.columns, "_issue.*")
+    issues = lambda found: F.array_compact(F.array(F.when(F.size(found[0]) > 0, issue(WEAK, found[0])), F.when(F.size(found[1]) == 0, issue(MISSING, none))))
+    return requirements.withColumn("_issue", F.explode(terms_of(F.col(text), [weak, strong], issues))).select(*requirements.columns, "_issue.*")
 
 
 def flagged(requirements: DataFrame, issues: DataFrame, on: str = "id") -> DataFrame:

@@ -22,18 +22,37 @@ def section_ids(rows: DataFrame, section: str, order: list[str], prefix: str = "
     """Ids numbered within each section's cleaned name (and document, given `by`): REQ_A2_1_003. A section
     without a letter or digit, or null, is UNKNOWN.
 
-    Sections may be few and hot, so no window sorts a section: rows are range-partitioned by section
-    and order, numbered within each partition's part of a section, and moved on by the number of rows
-    that earlier partitions have of it (one row per partition and section)."""
+    Sections may be few and hot: rows of a hot one are range-partitioned by section and order, numbered
+    within each partition's part of it, and moved on by the number of rows that earlier partitions
+    have of it (one row per partition and section)."""
     name = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(section).cast("string"), F.lit("")), r"[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
     keys = [*(by or []), "_name"]
     out = ranked(rows.withColumn("_name", F.when(name == "", "UNKNOWN").otherwise(name)), keys, order, "_n")
     return out.withColumn("new_id", F.concat(F.lit(prefix), "_name", F.lit("_"), F.format_string("%03d", "_n"))).drop("_name", "_n")
 
 
-def ranked(rows: DataFrame, by: list[str], order: list[str], name: str = "n") -> DataFrame:
-    """As numbered, for keys that a large share of all rows may have: no task holds a whole key. The
-    range-partitioned rows are settled, since both uses must see the same partitions."""
+#: Rows of one key that a task sorts; a key with more is hot.
+HOT_ROWS = 1 << 20
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str], name: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """As numbered, for keys that a large share of all rows may have: no task sorts more than hot_rows of a key.
+    Keys are counted first, combined in each task; rows of hot keys, of which there are few, are ranked by
+    ranges. The same numbers come out wherever the bound lies."""
+    counts = rows.groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
+    hot = settled(counts.select(*by)).toDF(*[f"_k{i}" for i in range(len(by))])
+    if hot.isEmpty():
+        return numbered(rows, by, order, name)
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    usual, many = rows.join(hot, same, "left_anti"), rows.join(hot, same, "left_semi")
+    return numbered(usual, by, order, name).unionByName(_ranked_by_ranges(settled(many), by, order, name))
+
+
+def _ranked_by_ranges(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """rows are settled, so that finding the ranges does not work them out again; the partitioned rows are settled
+    too, since both uses must see the same partitions."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = settled(rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()))
     local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
