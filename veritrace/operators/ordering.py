@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,47 +37,64 @@ def section_ids(rows: DataFrame, section: str, order: list[str], prefix: str = "
 HOT_ROWS = 1 << 20
 
 
-def ranked(rows: DataFrame, by: list[str], order: list[str], name: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """As numbered, for keys that a large share of all rows may have: no task sorts more than hot_rows of a key.
-    Keys are counted first, combined in each task; rows of hot keys, of which there are few, are ranked by
-    ranges. The same numbers come out wherever the bound lies."""
+class Scan:
+    """An associative running value: over the rows so far of a window, summed up over a part's rows, carried over
+    the parts before, and joined with what is carried in."""
+
+    def __init__(self, over, total, carried, joined):
+        self.over, self.total, self.carried, self.joined = over, total, carried, joined
+
+
+def summing(value: Column) -> Scan:
+    return Scan(lambda w: F.sum(value).over(w), lambda order: F.sum(value), lambda t, w: F.sum(t).over(w), lambda own, before: F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0)))
+
+
+def greatest_so_far(value: Column) -> Scan:
+    return Scan(lambda w: F.max(value).over(w), lambda order: F.max(value), lambda t, w: F.max(t).over(w), lambda own, before: F.greatest(own, before))
+
+
+def last_known(value: Column) -> Scan:
+    last = lambda order: F.max(F.when(value.isNotNull(), F.struct(*order, value.alias("_last"))))["_last"]
+    return Scan(lambda w: F.last(value, ignorenulls=True).over(w), last, lambda t, w: F.last(t, ignorenulls=True).over(w), F.coalesce)
+
+
+def scanned(rows: DataFrame, scan: Scan, by: list[str], order: list[str], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows with a running value over the rows of each key in their order. No task sorts more than hot_rows of a
+    key: keys are counted first, combined in each task, and rows of hot keys, of which there are few, are
+    scanned by ranges: within each range, plus what the ranges before carry (one row per range and key). The
+    same values come out wherever the bound lies. Rows of equal order have any order among them."""
+    so_far = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    plain = lambda df: df.withColumn(name, scan.joined(scan.over(so_far(*by)), F.lit(None)))
     counts = rows.groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
     hot = settled(counts.select(*by)).toDF(*[f"_k{i}" for i in range(len(by))])
     if hot.isEmpty():
-        return numbered(rows, by, order, name)
-    same = F.lit(True)
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    usual, many = rows.join(hot, same, "left_anti"), rows.join(hot, same, "left_semi")
-    return numbered(usual, by, order, name).unionByName(_ranked_by_ranges(settled(many), by, order, name))
+        return plain(rows)
+    meets = lambda extra=F.lit(True): reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)], extra)
+    usual, many = rows.join(hot, meets(), "left_anti"), settled(rows.join(hot, meets(), "left_semi"))
+    # Settled before, so that finding the ranges does not work the rows out again, and after, since both uses must see the same ranges.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(many.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy(*by, "_part").agg(scan.total(order).alias("_total"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("_before", scan.carried(F.col("_total"), earlier)).drop("_total").toDF(*[f"_k{i}" for i in range(len(by))], "_p", "_before")
+    own = dealt.withColumn("_own", scan.over(so_far(*by, "_part"))).join(before, meets(F.col("_part") == F.col("_p")))
+    return plain(usual).unionByName(own.withColumn(name, scan.joined(F.col("_own"), F.col("_before"))).select(*rows.columns, name))
 
 
-def _ranked_by_ranges(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """rows are settled, so that finding the ranges does not work them out again; the partitioned rows are settled
-    too, since both uses must see the same partitions."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = settled(rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()))
-    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
-    counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_rows"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
-    same = F.lit(True)
-    moved = before.toDF(*[f"_k{i}" for i in range(len(by))], "_p", "_before")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    out = local.join(moved, same & (F.col("_part") == F.col("_p")))
-    return out.withColumn(name, (F.col("_local") + F.col("_before")).cast("int")).select(*rows.columns, name)
+def ranked(rows: DataFrame, by: list[str], order: list[str], name: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """As numbered, for keys that a large share of all rows may have: the running count."""
+    return scanned(rows, summing(F.lit(1)), by, order, name, hot_rows).withColumn(name, F.col(name).cast("int"))
 
 
-def carried(rows: DataFrame, value: Column, by: list[str], order: list[str], name: str, default: str = "Unknown") -> DataFrame:
-    """The last non-null value so far within a document."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(default)))
+def carried(rows: DataFrame, value: Column, by: list[str], order: list[str], name: str, default: str = "Unknown", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The last non-null value so far within a document, however large it is."""
+    out = scanned(rows.withColumn("_value", value), last_known(F.col("_value")), by, order, name, hot_rows)
+    return out.withColumn(name, F.coalesce(name, F.lit(default))).drop("_value")
 
 
 def chunks(rows: DataFrame, opens: Column, by: list[str], order: list[str], text: str) -> DataFrame:
     """Runs of rows that each begin where `opens` holds; rows before the first are dropped."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("chunk", F.sum(F.when(opens, 1).otherwise(0)).over(w)).where("chunk > 0")
+    marked = scanned(rows.withColumn("_opens", F.when(opens, 1).otherwise(0)), summing(F.col("_opens")), by, order, "chunk").where("chunk > 0").drop("_opens")
     parts = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(F.col(text), F.lit("")).alias("t"))))
     return marked.groupBy(*by, "chunk").agg(F.count("*").alias("n_rows"), F.array_join(F.transform(parts, lambda p: p["t"]), "\n").alias("text"))
 

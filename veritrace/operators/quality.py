@@ -22,6 +22,8 @@ from ..functions import patterns as P
 from ..functions.phrases import let
 from ..functions.similarity import ratio
 from ..functions.text import lines, single_spaced, strip
+from .containment import contained
+from .ordering import greatest_so_far, scanned, summing
 
 
 def normal(c: Column) -> Column:
@@ -157,13 +159,39 @@ def reference_recall(page_texts: DataFrame, references: DataFrame, literal_compa
     return hit.agg(clamped(F.count("hit"), F.count("*")).alias("value"))
 
 
-def covered_pages(chunks: DataFrame) -> DataFrame:
-    """Distinct pages from 1 that chunks name: a list, one page (also as digits), or a range."""
+def page_ranges(chunks: DataFrame) -> DataFrame:
+    """Pages from 1 that chunks name, as ranges that neither meet nor touch: (first, last). A chunk names a list,
+    one page (also as digits), or a range, however long."""
     number = lambda c: F.when(strip(c.cast("string")).rlike(r"^-*\d+$"), strip(c.cast("string")).try_cast("int"))
-    span = F.when(F.col("page_end") >= F.col("page_start"), F.sequence("page_start", "page_end"))
-    none = F.array().cast("array<int>")
-    every = F.concat(F.coalesce(F.transform("pages", number), none), F.array(number(F.col("page"))), F.coalesce(span, none))
-    return chunks.select(F.explode(every).alias("page")).where("page >= 1").distinct()
+    one = lambda p: F.struct(p.cast("long").alias("first"), p.cast("long").alias("last"))
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    span = F.struct(F.col("page_start").cast("long").alias("first"), F.col("page_end").cast("long").alias("last"))
+    every = F.concat(F.coalesce(F.transform("pages", lambda p: one(number(p))), none), F.array(one(number(F.col("page")))), F.array(span))
+    return merged_ranges(chunks.select(F.explode(every).alias("r")).select(F.greatest("r.first", F.lit(1)).alias("first"), F.col("r.last").alias("last")))
+
+
+def merged_ranges(ranges: DataFrame) -> DataFrame:
+    """ranges: (first, last), whole numbers. Their union as ranges apart from each other: a range that begins
+    beyond all earlier ends opens an island. Empty and unknown ranges are nothing."""
+    rows = ranges.where("first <= last").select("first", "last").distinct().withColumn("_all", F.lit(0))
+    # What came before: the running greatest end of the ranges that begin earlier, each begin once.
+    begins = rows.groupBy("_all", "first").agg(F.max("last").alias("last"))
+    shifted = begins.select("_all", F.col("first").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast("long").alias("end"), "first", "last")
+    ends = begins.select("_all", F.col("first").alias("at"), F.lit(2).alias("asks"), F.col("last").alias("end"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
+    reach = scanned(shifted.union(ends), greatest_so_far(F.col("end")), ["_all"], ["at", "asks"], "_reach").where("asks = 1")
+    opens = F.when(F.col("_reach").isNull() | (F.col("first") > F.col("_reach") + 1), 1).otherwise(0)
+    island = scanned(reach.select("_all", "first", "last", opens.alias("_opens")), summing(F.col("_opens")), ["_all"], ["first"], "_island")
+    return island.groupBy("_island").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("first", "last")
+
+
+def covered_pages(chunks: DataFrame) -> DataFrame:
+    """The pages of page_ranges one by one: for ranges that a document can have."""
+    return page_ranges(chunks).select(F.explode(F.sequence("first", "last")).cast("int").alias("page"))
+
+
+def covered_count(chunks: DataFrame) -> DataFrame:
+    """One row: how many pages chunks name."""
+    return page_ranges(chunks).agg(F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0)).alias("n"))
 
 
 def inherited(chunks: DataFrame) -> DataFrame:
@@ -189,7 +217,7 @@ def completeness(document: dict[str, DataFrame], page_texts: DataFrame, total_pa
     keys = document["keys"].where(F.col("key").isin(P.REQUIRED_KEYS)).agg(F.countDistinct("key").alias("n")).select(clamped(F.col("n"), F.lit(len(P.REQUIRED_KEYS))).alias("value"))
     chars = lambda df: df.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)))
     sizes = page_texts.agg(F.count("*").alias("src_rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("src_chars"))
-    sizes = sizes.withColumns({"out_rows": _number(document["pages"]), "out_chars": chars(document["pages"]).scalar(), "chunked": _number(covered_pages(document["chunks"]))})
+    sizes = sizes.withColumns({"out_rows": _number(document["pages"]), "out_chars": chars(document["pages"]).scalar(), "chunked": covered_count(document["chunks"]).scalar()})
     expected = F.when(F.col("src_rows") > 0, F.col("src_rows")).otherwise(F.lit(total_pages))
     return _named({
         "required_json_field": keys, "page_coverage": sizes.select(clamped(F.col("out_rows"), expected).alias("value")), "text_coverage": sizes.select(clamped(F.least("out_chars", "src_chars"), F.col("src_chars")).alias("value")),
@@ -204,27 +232,11 @@ def page_fidelity(page_texts: DataFrame, pages: DataFrame) -> DataFrame:
     return mean(both.select((F.lit(100.0) * ratio(normal(F.col("a")), normal(F.col("b")))).alias("value")))
 
 
-def _places(source: DataFrame, width: int) -> DataFrame:
-    """Every place of the source's texts (_id, t), with a hash of the `width` characters that begin there."""
-    span = F.sequence(F.lit(1), F.greatest(F.length("t") - width + 1, F.lit(1)))
-    return source.select("_id", F.explode(F.transform(span, lambda i: F.struct(i.alias("at"), F.xxhash64(F.substr(F.col("t"), i, F.lit(width))).alias("h")))).alias("w")).select("_id", "w.*")
-
-
-def traceable(page_texts: DataFrame, requirements: DataFrame, width: int = 24) -> DataFrame:
-    """Share of requirements whose normal text stands in the source's, pages joined by a space. A page
-    and the next are searched together, so a text over one page break is found; every text meets only
-    the places that begin with its first characters, by hash, and is compared there. Texts shorter
-    than width are looked up by their own lengths (width - 1 lengths at most)."""
+def traceable(page_texts: DataFrame, requirements: DataFrame) -> DataFrame:
+    """Share of requirements whose normal text stands in the source's, pages joined by a space."""
     flat = page_texts.select("page", normal(F.col("text")).alias("t"))
-    after = flat.select((F.col("page") - 1).alias("page"), F.col("t").alias("next"))
-    source = flat.join(after, "page", "left").select(F.col("page").alias("_id"), F.concat_ws(" ", "t", "next").alias("t"))
     need = requirements.select(normal(F.col("text")).alias("n")).where("n <> ''")
-    distinct = need.distinct().withColumn("w", F.least(F.length("n"), F.lit(width)))
-    found = distinct.limit(0).select("n")
-    for w in sorted(r[0] for r in distinct.select("w").distinct().collect()):
-        own = distinct.where(F.col("w") == w).select("n", F.xxhash64(F.substring("n", 1, w)).alias("h"))
-        hit = _places(source, w).join(own, "h").join(source, "_id").where(F.substr(F.col("t"), F.col("at"), F.length("n")) == F.col("n"))
-        found = found.union(hit.select("n").distinct())
+    found = contained(flat, need)
     k = need.join(found.withColumn("hit", F.lit(1)), "n", "left").agg(F.count("hit").alias("k"))
     return k.select(clamped(F.col("k"), _number(requirements)).alias("value"))
 
