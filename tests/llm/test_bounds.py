@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from veritrace.llm import common, language_id, pii, substring_dedup
+from veritrace.llm import common, html_extract, language_id, pii, substring_dedup
 
 
 def test_rows_of_one_short_hash_keep_their_words(spark):
@@ -77,3 +77,13 @@ def test_grouped_join(spark):
     plain = rows.join(table, ["a", "b"], "left").select("a", "b", "id", "n", "top")
     got = common.grouped_join(rows, table, ["a", "b"], "n", "id")
     assert sorted(map(repr, got.select("a", "b", "id", "n", "top").collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_html_of_great_depth():
+    """Work is in proportion to the page: open elements, closing tags that close nothing, nested names."""
+    began = time.time()
+    deep = html_extract.main_text("<div class=a>" * 50_000 + "<p>Hello, world. This is a text, of a page.</p>" + "</nothing>" * 20_000)
+    assert deep == "Hello, world. This is a text, of a page."
+    html_extract.main_text("<x>" * 50_000 + "<p>hello there, you.</p></q>" * 20_000)
+    html_extract.main_text("".join(f"<div class=a{i}>word, word. " for i in range(50_000)))
+    assert time.time() - began < 20

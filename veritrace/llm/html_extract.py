@@ -48,21 +48,25 @@ LINKS = 0.6
 
 
 class _Element:
-    """barred: never content. weak: content only by a high score of its path."""
+    """barred: never content. weak: content only by a high score of its path. Both hold for all that is
+    inside; article is the outermost article around, itself included. A path is a number, found by its
+    parent's and the name, so that deep pages cost no more than their elements."""
 
-    __slots__ = ("name", "tag", "parent", "path", "barred", "weak", "depth")
+    __slots__ = ("tag", "parent", "path", "barred", "weak", "depth", "article")
 
-    def __init__(self, name, tag, parent):
-        self.name, self.tag, self.parent, self.barred, self.weak = name, tag, parent, False, False
-        self.path = (parent.path + "/" if parent else "") + name
+    def __init__(self, name: str, tag: str, parent: _Element | None, paths: dict[tuple[int, str], int]):
+        self.tag, self.parent = tag, parent
+        self.barred, self.weak = (parent.barred, parent.weak) if parent else (False, False)
+        self.path = paths.setdefault((parent.path if parent else -1, name), len(paths))
         self.depth = parent.depth + 1 if parent else 0
+        self.article = parent.article if parent else None
+        if self.article is None and tag in ("article", "main"):
+            self.article = self
 
 
 def _judge(element: _Element, named: str, rest: str) -> None:
-    """Sets barred and weak of an element from its tag, names and attributes."""
-    e, within = element.parent, False
-    while e is not None and not within:
-        within, e = e.tag in ("article", "main"), e.parent
+    """Sets barred and weak of an element from its tag, names and attributes, beside what it inherits."""
+    within = element.parent.article is not None
     if element.tag in _NOT_CONTENT or element.tag == "header" and not within or rest and _HIDDEN.search(rest):
         element.barred = True
     if not named or element.tag in ("html", "body"):
@@ -76,16 +80,19 @@ def _judge(element: _Element, named: str, rest: str) -> None:
         element.barred = True
     elif within:
         element.barred |= any(x - _OWN_PARTS for x in whole)
-        element.weak = any(x & _OWN_PARTS - {"header", "masthead"} for x in whole)
+        element.weak |= any(x & _OWN_PARTS - {"header", "masthead"} for x in whole)
     else:
-        element.weak = any(set(x) & _HINTS for x in names)
+        element.weak |= any(set(x) & _HINTS for x in names)
         element.barred |= any(x for x in whole)
 
 
-def blocks(page: str) -> list[tuple[_Element, str, int]]:
-    """Text blocks in page order: (element, raw text, characters of it in links)."""
-    root = _Element("", "", None)
+def blocks(page: str, paths: dict[tuple[int, str], int] | None = None) -> list[tuple[_Element, str, int]]:
+    """Text blocks in page order: (element, raw text, characters of it in links). paths: gets the number of
+    each path, by its parent's and its name."""
+    paths = {} if paths is None else paths
+    root = _Element("", "", None, paths)
     stack, out, held, links = [root], [], [], 0
+    open_: dict[str, int] = defaultdict(int)  # tags on the stack: what is not there is not looked for
 
     def flush():
         nonlocal held, links
@@ -97,6 +104,8 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
 
     def pop(to: int):
         flush()
+        for e in stack[to:]:
+            open_[e.tag] -= 1
         del stack[to:]
 
     at, anchors = 0, 0
@@ -118,17 +127,15 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             continue
         anchors = 0
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    pop(i)
-                    break
+            if open_[name]:
+                pop(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name))
             else:
                 flush()
             continue
         flush()
         if stack[-1].tag == "p":
             pop(len(stack) - 1)  # a block ends an open paragraph
-        if name in _CLOSES:
+        if name in _CLOSES and any(open_[x] for x in _CLOSES[name]):
             for i in range(len(stack) - 1, 0, -1):
                 if (tag := stack[i].tag) in _CLOSES[name]:
                     pop(i)
@@ -139,10 +146,11 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             continue
         rest = m[4] or ""
         named = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)) if "=" in rest else ""
-        element = _Element(name + ("." + named.split()[0] if named else ""), name, stack[-1])
+        element = _Element(name + ("." + named.split()[0] if named.strip() else ""), name, stack[-1], paths)
         _judge(element, named, rest)
         if not rest.rstrip().endswith("/"):
             stack.append(element)
+            open_[name] += 1
     if at < len(page):
         tail = page[at:]
         held.append(tail)
@@ -150,38 +158,37 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
     return out
 
 
-def _up(e: _Element | None):
-    while e is not None:
-        yield e
-        e = e.parent
-
-
 def _around(elements: list[_Element]) -> _Element:
     """The smallest element that holds all of them, and is no part of a list or table."""
     out = elements[0]
+    under: set[_Element] = set()  # known to be inside of out
     for e in elements[1:]:
-        while e is not out:
+        while e is not out and e not in under:
             if e.depth >= out.depth:
+                under.add(e)
                 e = e.parent
             else:
+                under.add(out)
                 out = out.parent
     while out.parent is not None and (out.tag in _INNER or out.tag in _BLOCKS):
         out = out.parent
     return out
 
 
-def _scores(found, smooth: float = SMOOTH) -> dict[str, float]:
+def _scores(found, smooth: float = SMOOTH) -> dict[int, float]:
     """The fused, smoothed ratios of each tag path."""
-    paths: dict[str, list[float]] = defaultdict(lambda: [0.0] * 4)
+    paths: dict[int, list[float]] = defaultdict(lambda: [0.0] * 4)
+    above = {}
     for element, text, share in found:
         row = paths[element.path]
+        above[element.path] = element.parent.path if element.parent else -1
         for i, v in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), share * len(text))):
             row[i] += v
     length, marks, inside = {}, {}, defaultdict(list)
     for path, (n, chars, points, linked) in paths.items():
         menu = linked > LINKS * chars
         length[path], marks[path] = (0.0, 0.0) if menu else (chars / n, points / n)
-        inside[path.rpartition("/")[0]].append(path)
+        inside[above[path]].append(path)
     score = {}
     for held in inside.values():
         total = sum(paths[p][0] for p in held)
@@ -198,9 +205,8 @@ def main_text(page: str) -> str:
     found = []
     for element, raw, links in blocks(page):
         if text := " ".join(html.unescape(raw).split()):
-            chain = list(_up(element))
-            if not any(e.barred for e in chain):
-                found.append((element, text, links / max(1, len(raw)), any(e.weak for e in chain), any(e.tag in ("article", "main") for e in chain)))
+            if not element.barred:
+                found.append((element, text, links / max(1, len(raw)), element.weak, element.article is not None))
     score = _scores([f[:3] for f in found])
     bare = _scores([f[:3] for f in found], 0.0) if any(f[3] for f in found) else {}
     # An article says where it is; on a page without one, the ratios decide among all paths. Weak
@@ -212,16 +218,25 @@ def main_text(page: str) -> str:
         return "\n\n".join(text for _, text, _, weak, inside in pool if inside and not weak)
     core = [f for f in pool if score.get(f[0].path, 0.0) >= CORE * best and not f[3]] or [f for f in pool if score.get(f[0].path, 0.0) == best]
     if articles:
-        nodes = {next(e for e in reversed(list(_up(f[0]))) if e.tag in ("article", "main")) for f in core}
+        nodes = {f[0].article for f in core}
     else:
         node = _around([f[0] for f in core])
         nodes = {node} if node.tag not in ("", "html", "body") or any(_around([f[0]]) is node for f in core) else {_around([f[0]]) for f in core}
     whole = {e for e in nodes if e.tag not in ("", "html", "body")}
     out = []
+    around: dict[_Element | None, tuple[bool, bool]] = {None: (False, False)}  # whether a node, and a whole one, is around
     for element, text, share, weak, _ in found:
-        held = {e for e in _up(element)} & nodes
+        chain = []
+        while element not in around:
+            chain.append(element)
+            element = element.parent
+        for e in reversed(chain):
+            in_node, in_whole = around[e.parent]
+            around[e] = in_node or e in nodes, in_whole or e in whole
+        element = chain[0] if chain else element
+        held, in_whole = around[element]
         own = score.get(element.path, 0.0)
-        if held and (not weak or bare.get(element.path, 0.0) >= CORE * best) and (held & whole or share <= LINKS) or not articles and own >= SHARE * best and not weak:
+        if held and (not weak or bare.get(element.path, 0.0) >= CORE * best) and (in_whole or share <= LINKS) or not articles and own >= SHARE * best and not weak:
             out.append(text)
     return "\n\n".join(out)
 
