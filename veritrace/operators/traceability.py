@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import json_walk
 from ..functions.terms import TRACE_FIELDS, TRACE_PATTERNS
 from ..functions.text import strip
 from .metrics import rate
@@ -13,21 +14,9 @@ from .metrics import rate
 _VALUE_PATTERNS = ("requirement", "section", "table", "figure")
 
 
-def _leaves(df: DataFrame, record: Column, out: list[Column]) -> DataFrame:
-    """All scalars inside a Variant, at any depth: one level of variant_explode a round, until none is left."""
-    rest = df.select(*out, record.alias("_v"))
-    found = None
-    while True:
-        kind = F.schema_of_variant("_v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        level = rest.where(~nested).select(*out, F.try_variant_get("_v", "$", "string").alias("leaf"))
-        found = level if found is None else found.union(level)
-        rest = rest.where(nested)
-        if rest.isEmpty():
-            return found
-        rest.createOrReplaceTempView("_veritrace_nested")
-        names = ", ".join(f"`{c}`" for c in rest.columns if c != "_v")
-        rest = df.sparkSession.sql(f"SELECT {names}, e.value AS _v FROM _veritrace_nested, LATERAL variant_explode(_v) AS e")
+def has_content(record: Column) -> Column:
+    """Whether a Variant holds text or a number at any depth: blank strings, nulls and empty brackets are none."""
+    return F.coalesce(F.exists(json_walk.leaves(F.to_json(record)), lambda x: strip(x) != ""), F.lit(False))
 
 
 def has_field_trace(plan: DataFrame, blank_counts: bool) -> Column:

@@ -56,23 +56,33 @@ def weighted_rows(labelled: DataFrame) -> DataFrame:
     return labelled.select("requirement_id", status.alias("status"), linking.status_weight(status).alias("coverage_score"))
 
 
+def both_sides(requirements: DataFrame, plan: DataFrame) -> DataFrame:
+    """One row of counts: of requirements, all and those with a plan row; of plan rows, all, those whose
+    requirement does not exist, and those with a filled trace field. Each table is read once: both are counted by id,
+    and the counts meet. Rows without an id meet nothing."""
+    own = requirements.groupBy("requirement_id").agg(F.count("*").alias("specs"))
+    rows = plan.groupBy("requirement_id").agg(F.count("*").alias("rows"), F.count_if(traceability.has_field_trace(plan, True)).alias("traced"))
+    total = lambda c, name, when=None: F.coalesce(F.sum(F.when(when, F.col(c)) if when is not None else F.col(c)), F.lit(0)).alias(name)
+    return own.join(rows, "requirement_id", "full").agg(total("specs", "total_spec_items"), total("specs", "mapped", F.col("rows") > 0), total("rows", "vplan_items"), total("rows", "orphan_vplan_items", F.col("specs").isNull()), total("traced", "traced"))
+
+
 def final_report(requirements: DataFrame, plan: DataFrame, labelled: DataFrame) -> dict[str, DataFrame]:
     """The report's parts: summary (one row), percentages (one row), gaps, ambiguity, and the rows behind them.
 
     requirements: (requirement_id, …); plan: its rows with trace fields; labelled: linking.verified."""
     status = linking.canonical_status(F.col("verified_coverage_status"))
     is_a = lambda s: F.count_if(status == s)
-    mapped = metrics.rate(metrics.flagged(requirements, plan, "requirement_id"), F.col("hit"), "requirement_mapping_coverage")
-    orphans = metrics.rate(metrics.flagged(plan, requirements, "requirement_id"), ~F.col("hit"), "orphan_rate")
-    traced = traceability.headline(plan)
+    sides = both_sides(requirements, plan)
     linked = F.size("linked_tests") > 0
     good = status.isin("Covered", "Partially covered")
     one = labelled.agg(
         is_a("Covered").alias("covered"), is_a("Partially covered").alias("partially_covered"), F.count_if(~status.isin("Covered", "Partially covered", AMBIGUOUS)).alias("uncovered"), is_a(AMBIGUOUS).alias("ambiguity_uncovered"),
         percent(F.coalesce(F.sum((linking.status_weight(status) * 2).cast("bigint")), F.lit(0)), F.count("*") * 2).alias("weighted_coverage"), percent(F.count_if(linked & good), F.count_if(linked)).alias("testability_coverage"),
     )
-    summary = one.select(mapped.select("total").scalar().alias("total_spec_items"), "covered", "partially_covered", "uncovered", "ambiguity_uncovered", orphans.select("matched").scalar().alias("orphan_vplan_items"))
-    shares = one.select(mapped.select("requirement_mapping_coverage").scalar().alias("requirement_mapping_coverage"), "weighted_coverage", traced.select("percentage").scalar().alias("traceability_coverage"), "testability_coverage", orphans.select("orphan_rate").scalar().alias("orphan_rate"))
+    every = one.withColumn("_s", sides.select(F.struct("*")).scalar())
+    summary = every.select(F.col("_s.total_spec_items"), "covered", "partially_covered", "uncovered", "ambiguity_uncovered", F.col("_s.orphan_vplan_items"))
+    share = lambda part, of: percent(F.col(f"_s.{part}"), F.col(f"_s.{of}"))
+    shares = every.select(share("mapped", "total_spec_items").alias("requirement_mapping_coverage"), "weighted_coverage", share("traced", "vplan_items").alias("traceability_coverage"), "testability_coverage", share("orphan_vplan_items", "vplan_items").alias("orphan_rate"))
     fields = [c for c in ("source_section", "text") if c in labelled.columns]
     rows = labelled.select("requirement_id", *fields, status.alias("coverage_status"), "linked_tests", F.col("coverage_verification_reason").alias("reason"), "linked_edge_cases", "linked_weak_word_flags")
     doubt = (F.size("linked_edge_cases") > 0) | (F.size("linked_weak_word_flags") > 0)

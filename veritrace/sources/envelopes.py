@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import json_walk
 from ..functions.text import clean
 
 #: Where each reader looks for its list, in order; "$" is the file itself. Fixed: they are the file formats.
@@ -73,19 +74,9 @@ def keys(docs: DataFrame) -> DataFrame:
 
 
 def nested_ids(docs: DataFrame, field_name: str = "id", prefix: str = "REQ_") -> DataFrame:
-    """(path, id) of every such field at any depth whose value begins with the prefix. Each level of
-    nesting is one pass over what is left of the documents; it ends when nothing is nested any more."""
-    spark = docs.sparkSession
-    rest = docs.select("path", F.col("doc").alias("v"))
-    found = None
-    while True:
-        rest.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")).createOrReplaceTempView("_veritrace_nested")
-        level = spark.sql("SELECT path, e.key AS key, e.value AS v FROM _veritrace_nested, LATERAL variant_explode(v) AS e")
-        hit = level.where(F.col("key") == field_name).select("path", F.try_variant_get("v", "$", "string").alias("id")).where(F.col("id").startswith(prefix))
-        found = hit if found is None else found.union(hit)
-        rest = level.select("path", "v").where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
-        if rest.isEmpty():
-            return found
+    """(path, id) of every such field at any depth whose value begins with the prefix."""
+    found = docs.select("path", F.explode(json_walk.named(F.to_json("doc"), field_name)).alias("id"))
+    return found.where(F.col("id").startswith(prefix))
 
 
 def duplicate_nested_ids(docs: DataFrame) -> DataFrame:

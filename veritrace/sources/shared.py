@@ -4,19 +4,29 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder: each use sees the same rows, also after an
-    executor is lost. The folder is spark.checkpoint.dir or what the session has set; only a session on
-    one machine gets one of its own."""
-    spark = df.sparkSession
+def _prepared(spark: SparkSession) -> str:
+    """The folder: spark.checkpoint.dir or what the session has set. A session on one machine without either gets
+    one of its own; on a cluster that is an error, since a machine's own folder would lose data there."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veritrace-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{_prepared(spark)}/veritrace-{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder: each use sees the same rows, also after an executor is lost."""
+    _prepared(df.sparkSession)
     return df.checkpoint()
