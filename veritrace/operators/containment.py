@@ -22,6 +22,8 @@ BLOCK, OVERLAP = 8192, 32
 #: (least length of a text, characters that are hashed, hashes of a run); shorter texts are hashed whole.
 TIERS = [(32, 16, 17), (8, 4, 5)]
 SHORT = 8
+#: Pages that one task may hold to number their places.
+FEW_PAGES = 1000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,7 +84,8 @@ def _of_blocks(kinds: list[tuple[int, int]]):
 def blocks(pages: DataFrame, text: str, order: list[str]) -> DataFrame:
     """(block, s): the pages' texts in order, joined by a space, without empty ones; s reaches into the next block."""
     rows = pages.where(F.col(text) != "").withColumns({"_all": F.lit(0), "_size": (F.length(text) + 1).cast("long")})
-    placed = scanned(rows, summing(F.col("_size")), ["_all"], order, "_end").withColumn("_start", F.col("_end") - F.col("_size"))
+    # Texts come along, so that few of them are one task's: the rest goes by ranges.
+    placed = scanned(rows, summing(F.col("_size")), ["_all"], order, "_end", hot_rows=FEW_PAGES).withColumn("_start", F.col("_end") - F.col("_size"))
     first = F.greatest(F.floor((F.col("_start") - OVERLAP) / BLOCK), F.lit(0))
     met = placed.select("_start", "_end", F.concat(text, F.lit(" ")).alias("t"), F.explode(F.sequence(first, F.floor((F.col("_end") - 1) / BLOCK))).alias("block"))
     begin = F.greatest(F.col("_start"), F.col("block") * BLOCK)

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from .functions import patterns, terms
 from .functions.patterns import REPORT_LAYOUT
 from .functions.text import acronyms, cross_references, matched_terms, natural_key, percent_sql, signals
-from .operators import chapters, diff, extraction, linking, lint, metrics, ordering, planning, quality, traceability, usage, version_diff
+from .operators import chapters, containment, diff, extraction, linking, lint, metrics, ordering, planning, quality, traceability, usage, version_diff
 from .operators import consensus as agree
 from .plans import coverage
+from .sources import envelopes
+from .sources.shared import fresh_path
+from .streaming import usage_log
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -550,3 +553,132 @@ def version_changes(spark, d):
     old = {"metadata": meta("1"), "sections": nations.where("pos % 5 <> 0"), "notes": notes.where("pos % 7 <> 0")}
     new = {"metadata": meta("2"), "sections": nations.where("pos % 4 <> 0").withColumn("title", F.when(F.col("pos") % 3 == 0, F.concat("title", F.lit(" 2"))).otherwise(F.col("title"))), "notes": notes.where("pos % 6 <> 0").withColumns({"text": F.when(F.col("pos") % 10 == 0, F.replace("text", F.lit("shall"), F.lit("may"))).otherwise(F.col("text")), "page": F.col("page") + (F.col("pos") % 2).cast("int")})}
     return version_diff.compare(old, new).select("change_id", "area", "change_type", "difference_category", "identifier", "old_page", "new_page", "similarity_score")
+
+
+@query("""WITH r AS (SELECT greatest(l_partkey * 7, 1) AS a, l_partkey * 7 AS b FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT greatest(l_orderkey * 2 - 5, 1), l_orderkey * 2 - 5 + l_quantity::bigint FROM lineitem WHERE l_linenumber = 2),
+o AS (SELECT a, b, max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r WHERE a <= b),
+i AS (SELECT a, b, sum(CASE WHEN reach IS NULL OR a > reach + 1 THEN 1 ELSE 0 END) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT min(a) AS first, max(b) AS last FROM i GROUP BY k""")
+def page_range_union(spark, d):
+    """Pages that line items name, one by one or as ranges, as ranges apart from each other."""
+    rows = _t(spark, d, "lineitem").where("l_linenumber in (1, 2)")
+    first = F.col("l_orderkey") * 2 - 5
+    chunks = rows.select(F.lit(None).cast("array<string>").alias("pages"), F.when(F.col("l_linenumber") == 1, (F.col("l_partkey") * 7).cast("string")).alias("page"), F.when(F.col("l_linenumber") == 2, first).alias("page_start"), F.when(F.col("l_linenumber") == 2, first + F.col("l_quantity").cast("bigint")).alias("page_end"))
+    return quality.page_ranges(chunks)
+
+
+_PART_TEXT = "concat_ws(' ', p_name, p_brand, p_type, 'size', p_size)"
+
+
+@query(f"""WITH w AS (SELECT p_partkey, unnest(regexp_extract_all(lower({_PART_TEXT}), '[a-z0-9_]+')) AS token, generate_subscripts(regexp_extract_all(lower({_PART_TEXT}), '[a-z0-9_]+'), 1) AS place FROM part),
+t AS (SELECT p_partkey, token, min(place) AS place FROM w WHERE length(token) >= 3 AND token NOT IN ({", ".join(f"'{t}'" for t in terms.COMMON_TOKENS)}) GROUP BY ALL),
+p AS (SELECT a.p_partkey AS old_pos, b.p_partkey AS new_pos, count(*)::int AS token_score, min(a.place) AS touched FROM t a JOIN t b ON a.token = b.token AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 GROUP BY ALL)
+SELECT old_pos, new_pos, token_score, row_number() OVER (PARTITION BY old_pos ORDER BY token_score DESC, touched, new_pos)::int AS rank FROM p QUALIFY rank <= {terms.CANDIDATES}""")
+def token_candidates(spark, d):
+    """Of each even part's description the odd parts' that share most tokens with it."""
+    rows = _t(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type", F.lit("size"), "p_size").alias("text"))
+    return diff.candidates(rows.where("p_partkey % 2 = 0"), rows.where("p_partkey % 2 = 1"), "text", "p_partkey")
+
+
+def _flat_sql(column: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({column}, '')), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH n AS (SELECT doc_id, {_flat_sql("text")} AS t FROM documents), whole AS (SELECT string_agg(t, ' ' ORDER BY doc_id) AS s FROM n WHERE t <> '')
+SELECT item_id, contains(s, {_flat_sql("text")}) AND {_flat_sql("text")} <> '' AS found FROM benchmark, whole""")
+def contained_passages(spark, d):
+    """Whether a benchmark text stands in the documents, read as the pages of one source."""
+    pages = _t(spark, d, "documents").select("doc_id", quality.normal(F.col("text")).alias("t"))
+    need = _t(spark, d, "benchmark").select("item_id", quality.normal(F.col("text")).alias("n"))
+    there = containment.contained(pages, need, order=["doc_id"]).withColumn("found", F.lit(True))
+    return need.join(there, "n", "left").select("item_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+@query("SELECT event_type AS agent_name, ts::date AS day, sum(event_id % 1000)::bigint AS prompt_tokens, sum(user_id)::bigint AS completion_tokens FROM events GROUP BY ALL")
+def usage_log_totals(spark, d):
+    """Events as a stream of usage records, appended to a log exactly once, then summed by agent and day."""
+    path, log = f"{d}/events.parquet", fresh_path(spark, "log")
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern, as the source takes a file by it
+    records = rows.select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("agent_name"), F.lit("m").alias("model_name"), (F.col("event_id") % 1000).alias("prompt_tokens"), F.col("user_id").alias("completion_tokens"))
+    usage_log.append_once(records, log, "events", f"{log}-checkpoint").awaitTermination()
+    per = usage_log.windowed(usage_log.read_log(spark, log), "1 day")
+    return per.select("agent_name", F.to_date("window.start").alias("day"), "prompt_tokens", "completion_tokens")
+
+
+@query("""SELECT o_orderkey::varchar AS path, 'REQ_O' || o_orderkey AS id FROM orders UNION ALL SELECT l_orderkey::varchar, 'REQ_L' || l_partkey FROM lineitem WHERE l_linenumber <> 2
+UNION ALL SELECT l_orderkey::varchar, 'REQ_D' || l_suppkey FROM lineitem""")
+def nested_record_ids(spark, d):
+    """Ids at any depth of documents: orders with their line items and, deeper, their suppliers."""
+    line = F.struct(F.when(F.col("l_linenumber") == 2, F.lit("x")).otherwise(F.concat(F.lit("REQ_L"), F.col("l_partkey").cast("string"))).alias("id"), F.col("l_quantity").alias("n"), F.array(F.struct(F.struct(F.concat(F.lit("REQ_D"), F.col("l_suppkey").cast("string")).alias("id")).alias("of"))).alias("deep"))
+    lines = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))
+    orders = _t(spark, d, "orders").join(lines, "o_orderkey", "left")
+    doc = F.struct(F.concat(F.lit("REQ_O"), F.col("o_orderkey").cast("string")).alias("id"), "lines")
+    return envelopes.nested_ids(orders.select(F.col("o_orderkey").cast("string").alias("path"), F.parse_json(F.to_json(doc)).alias("doc")))
+
+
+_FIRST_LINE = r"trim(split_part(coalesce(text, ''), chr(10), 1), ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
+
+
+@query(rf"SELECT doc_id, {_FIRST_LINE} <> '' AND NOT regexp_matches({_FIRST_LINE}, '^\p{{Ll}}') AND NOT regexp_matches({_FIRST_LINE}, '[.,;:]$') AND NOT regexp_matches({_FIRST_LINE}, '^[A-Z][a-z]{{2,8}}\s+\d{{4}}$') AND len(list_filter(string_split_regex({_FIRST_LINE}, '\s+'), lambda w: w <> '')) <= 12 AS heading FROM documents")
+def heading_rules(spark, d):
+    """Whether a document's first line may be a heading."""
+    first = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0))
+    return _t(spark, d, "documents").select("doc_id", extraction.plausible_heading(first).alias("heading"))
+
+
+@query(f"WITH {_CITED}, linked AS (SELECT p_partkey, coalesce(section IN (SELECT 'B' || p_size FROM part WHERE p_size % 8 = 0), false) OR (p_size % 6 = 0 AND 'A' || p_size IN (SELECT 'A' || p_size FROM part WHERE p_size % 12 = 0)) AS linked FROM cited) " + _rate_sql("linked", "NOT linked"))
+def broad_orphan_rate(spark, d):
+    """Share of parts none of whose citations names a section or table that exists; those come from the table itself."""
+    known = lambda letter, n: _t(spark, d, "part").where(F.col("p_size") % n == 0).select(F.concat(F.lit(letter), F.col("p_size").cast("string")).alias("id"))
+    return traceability.orphan_rate(_cited(spark, d), "p_partkey", traceability.source_ids(sections=known("B", 8), tables=known("A", 12)))
+
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS requirement_id, l_partkey AS id FROM lineitem),
+k AS (SELECT c.*, o_orderkey IS NOT NULL AS known, o_orderpriority, o_orderstatus FROM c LEFT JOIN orders ON o_orderkey = id)
+SELECT requirement_id, coalesce(string_agg(id || '/' || o_orderpriority || '/' || o_orderstatus, ',' ORDER BY id) FILTER (known AND id <> requirement_id), '') AS records, coalesce(string_agg(id::varchar, ',' ORDER BY id) FILTER (NOT known), '') AS invalid FROM k GROUP BY 1""")
+def supporting_requirements(spark, d):
+    """Line items' parts as cited requirements: those that exist as records, and those that do not."""
+    labelled = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("requirement_id")).agg(F.collect_list("l_partkey").alias("linked_supporting_requirement_ids"))
+    known = _t(spark, d, "orders").select(F.col("o_orderkey").alias("requirement_id"), F.col("o_orderpriority").alias("text"), F.col("o_orderstatus").alias("section"), F.col("o_orderkey").alias("pos"))
+    out = linking.supporting_records(labelled, known)
+    told = F.transform("records", lambda r: F.concat_ws("/", r["id"].cast("string"), r["text"], r["source_section"]))
+    return out.select("requirement_id", F.array_join(told, ",").alias("records"), F.array_join(F.transform("invalid", lambda i: i.cast("string")), ",").alias("invalid"))
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce(o_orderpriority, '') AS requirement_text FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'P'")
+def requirement_texts(spark, d):
+    """Plan rows with the text of their requirement, where it exists."""
+    specs = _t(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"), F.col("o_orderkey").alias("pos"))
+    plan = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("requirement_id"))
+    return planning.with_text(plan, specs).select("l_orderkey", "l_linenumber", "requirement_text")
+
+
+_TAXONOMY = "SELECT DISTINCT upper(o_orderpriority) AS p, o_orderstatus AS c FROM orders WHERE o_orderkey % 7 = 0 AND (o_orderpriority <> '5-LOW' OR o_orderstatus = 'F') AND o_orderstatus <> 'P'"
+
+
+@query(f"SELECT o_orderkey AS requirement_id FROM orders LEFT JOIN ({_TAXONOMY}) ON lower(p) = lower(o_orderpriority) AND lower(c) = lower(o_orderstatus) WHERE p IS NULL")
+def illegal_assignments(spark, d):
+    """Orders whose priority and status are no pair of the taxonomy that a seventh of them makes."""
+    orders = _t(spark, d, "orders")
+    taxonomy = orders.where("o_orderkey % 7 = 0 and (o_orderpriority <> '5-LOW' or o_orderstatus = 'F') and o_orderstatus <> 'P'").select(F.upper("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("subcategory")).distinct()
+    given = orders.select(F.col("o_orderkey").alias("requirement_id"), F.col("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("subcategory"))
+    return planning.illegal_assignments(given, taxonomy).select("requirement_id")
+
+
+@query(_rate_sql("(SELECT CASE o_orderstatus WHEN 'P' THEN 'not_mapped' WHEN 'F' THEN 'suitable_detail' ELSE 'too_coarse' END AS label FROM orders) WHERE label <> 'not_mapped'", "label = 'suitable_detail'"))
+def granularity(spark, d):
+    label = F.when(F.col("o_orderstatus") == "P", "not_mapped").when(F.col("o_orderstatus") == "F", "suitable_detail").otherwise("too_coarse")
+    return coverage.granularity_rate(_t(spark, d, "orders").select(label.alias("label")))
+
+
+@query(rf"WITH l AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), s AS (SELECT count(*) FILTER (regexp_matches(regexp_replace(line, '[^\x00-\x7f]', '_', 'g'), '{patterns.QUALITY_REQUIREMENT}')) AS said FROM l) SELECT CASE WHEN said = 0 THEN 100.0::double ELSE least(100.0, 100.0 * n / said)::double END AS value FROM s, (SELECT count(*) AS n FROM benchmark)")
+def requirement_recall(spark, d):
+    """Benchmark rows as captured requirements, of the documents' lines with requirement wording."""
+    return quality.requirement_recall(_t(spark, d, "documents"), _t(spark, d, "benchmark"))
+
+
+@query("WITH c AS (SELECT CASE " + " ".join(f"WHEN {h} > 0 THEN '{n}'" for n, h in _HITS.items()) + " ELSE 'Functional' END AS expected, CASE WHEN doc_id % 2 = 0 THEN 'Functional' ELSE 'Interface' END AS category FROM documents WHERE text <> '') SELECT CASE WHEN count(*) = 0 THEN 100.0::double ELSE (100.0 * count(*) FILTER (category = expected) / count(*))::double END AS value FROM c")
+def category_consistency(spark, d):
+    """Share of documents whose given category is what their keywords say."""
+    rows = _t(spark, d, "documents").withColumn("category", F.when(F.col("doc_id") % 2 == 0, "Functional").otherwise("Interface"))
+    return quality.category_consistency(rows, quality.category(F.col("text")))
