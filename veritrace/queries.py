@@ -13,7 +13,7 @@ from .functions.patterns import REPORT_LAYOUT
 from .functions.text import acronyms, cross_references, matched_terms, natural_key, percent_sql, signals
 from .operators import chapters, containment, diff, extraction, linking, lint, metrics, ordering, planning, quality, traceability, usage, version_diff
 from .operators import consensus as agree
-from .plans import coverage
+from .plans import coverage, generation
 from .sources import envelopes
 from .sources.shared import fresh_path
 from .streaming import usage_log
@@ -682,3 +682,37 @@ def category_consistency(spark, d):
     """Share of documents whose given category is what their keywords say."""
     rows = _t(spark, d, "documents").withColumn("category", F.when(F.col("doc_id") % 2 == 0, "Functional").otherwise("Interface"))
     return quality.category_consistency(rows, quality.category(F.col("text")))
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_orderpriority AS p, o_orderstatus AS s, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch FROM orders),
+r AS (SELECT batch, bool_and(NOT (p = '1-URGENT' AND s = 'P')) AS first, batch % 2 = 0 AS second FROM b GROUP BY batch)
+SELECT o_orderkey, CASE WHEN first OR second THEN p ELSE 'Uncategorised' END AS category, CASE WHEN first THEN s WHEN second THEN 'F' ELSE 'Uncategorised' END AS subcategory FROM b JOIN r USING (batch)""")
+def assignment_batches(spark, d):
+    """Orders categorised in batches of 100: a first answer with an illegal pair fails its batch, a second one comes for even batches."""
+    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"))
+    taxonomy = orders.where("not (p = '1-URGENT' and s = 'P')").select(F.col("p").alias("category"), F.col("s").alias("subcategory")).distinct()
+    numbered = ordering.batches(orders, ["id"], 100)
+    answer = lambda n, rows, status: rows.select("batch", F.lit(n).alias("attempt"), F.col("id").alias("requirement_id"), F.upper("p").alias("category"), F.lower(status).alias("subcategory"))
+    answers = answer(0, numbered, F.col("s")).union(answer(1, numbered.where("batch % 2 = 0"), F.lit("F")))
+    out, _ = generation.categorise(orders, taxonomy, answers, ["id"], 100)
+    return out.select(F.col("id").alias("o_orderkey"), F.col("requirement_category").alias("category"), F.col("requirement_subcategory").alias("subcategory"))
+
+
+@query("""WITH e AS (SELECT l_partkey, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS pos, unnest([l_returnflag || l_linenumber, l_linestatus || '0']) AS piece, generate_subscripts([1, 2], 1) AS i FROM lineitem),
+f AS (SELECT l_partkey, piece, min(pos * 10 + i) AS met FROM e GROUP BY ALL), k AS (SELECT l_partkey, min_by(l_suppkey, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1)
+SELECT l_partkey, l_suppkey, string_agg(piece, ',' ORDER BY met, piece) AS evidence FROM f JOIN k USING (l_partkey) GROUP BY ALL""")
+def merged_evidence(spark, d):
+    """Line items of one part as one record, with the evidence of all, each piece once."""
+    piece = lambda a, b: F.struct(F.concat(a, b).alias("id"))
+    pos = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_suppkey")
+    rows = _t(spark, d, "lineitem").select("l_partkey", pos.alias("pos"), "l_suppkey", F.array(piece("l_returnflag", F.col("l_linenumber").cast("string")), piece("l_linestatus", F.lit("0"))).alias("evidence"))
+    return generation.merged_evidence(rows, ["l_partkey"], "pos").select("l_partkey", "l_suppkey", F.array_join(F.transform("evidence", lambda e: e["id"]), ",").alias("evidence"))
+
+
+@query("""SELECT conv_id::varchar AS document_name, max(turn) AS total_pages, (count(*) FILTER (role = 'system'))::int AS sections, (count(*) FILTER (role = 'user'))::int AS requirements, 0 AS tables, 0 AS figures,
+(count(*) FILTER (role = 'assistant'))::int AS notes, 0 AS acronyms, 0 AS cross_references, count(*)::int AS semantic_chunks FROM conversations GROUP BY conv_id""")
+def extraction_counts(spark, d):
+    """Conversations as extracted documents: how many entities of each kind."""
+    of = lambda role: F.collect_list(F.when(F.col("role") == role, F.col("turn")))
+    docs = _t(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("document_name")).agg(F.max("turn").alias("total_pages"), of("system").alias("sections"), of("user").alias("requirements"), of("assistant").alias("notes"), F.collect_list("turn").alias("semantic_chunks"))
+    return generation.extraction_summary(docs)
