@@ -716,3 +716,43 @@ def extraction_counts(spark, d):
     of = lambda role: F.collect_list(F.when(F.col("role") == role, F.col("turn")))
     docs = _t(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("document_name")).agg(F.max("turn").alias("total_pages"), of("system").alias("sections"), of("user").alias("requirements"), of("assistant").alias("notes"), F.collect_list("turn").alias("semantic_chunks"))
     return generation.extraction_summary(docs)
+
+
+def _extracted(spark, d):
+    """An extracted document and its source, made of the tables: some pages lost, some fields empty."""
+    docs, keys = _t(spark, d, "documents"), F.array(*map(F.lit, patterns.REQUIRED_KEYS))
+    empty = lambda c, n, value: F.when(F.col(c) % n == 0, "").otherwise(value)
+    return {
+        "keys": _t(spark, d, "nation").select(F.get(keys, (F.col("n_nationkey") % 15).cast("int")).alias("key")), "pages": docs.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("page_number"), "text"),
+        "requirements": _t(spark, d, "benchmark").select("text", empty("item_id", 3, "Functional").alias("category")), "figures": _t(spark, d, "part").select(empty("p_size", 5, F.col("p_name")).alias("caption")),
+        "tables": _t(spark, d, "supplier").select(F.col("s_nationkey").alias("page"), empty("s_suppkey", 4, F.col("s_name")).alias("csv_file")), "cross_references": _t(spark, d, "nation").select(F.concat(F.lit("Section "), F.col("n_nationkey").cast("string")).alias("reference")),
+        "chunks": docs.where("doc_id % 3 = 0").select(F.lit(None).cast("array<string>").alias("pages"), (F.col("doc_id") + 1).cast("string").alias("page"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end")),
+    }, docs.select(F.col("doc_id").alias("page"), "text")
+
+
+def _share_sql(part: str, whole: str) -> str:
+    return f"(CASE WHEN ({whole}) = 0 THEN 100.0 ELSE greatest(0.0, least(100.0, 100.0 * ({part}) / ({whole}))) END)::double"
+
+
+_NUMBERED = " UNION ALL ".join(rf"SELECT unnest(regexp_extract_all(coalesce(text, ''), '{p}', 1)) AS r FROM documents" for p in (patterns.QUALITY_SECTION_REFERENCE, patterns.QUALITY_TABLE_REFERENCE))
+_COMPLETE = rf"""k AS (SELECT count(DISTINCT n_nationkey % 15) FILTER (n_nationkey % 15 < {len(patterns.REQUIRED_KEYS)}) AS n FROM nation),
+s AS (SELECT count(*) AS src, count(*) FILTER (doc_id % 10 <> 0) AS kept, coalesce(sum(length(text)), 0) AS src_chars, coalesce(sum(length(text)) FILTER (doc_id % 10 <> 0), 0) AS kept_chars, count(DISTINCT doc_id) FILTER (doc_id % 3 = 0) AS chunked FROM documents),
+f AS (SELECT avg(v) AS v FROM (SELECT {_share_sql("count(*) + count(*) FILTER (item_id % 3 <> 0)", "count(*) * 2")} AS v FROM benchmark UNION ALL SELECT {_share_sql("count(*) FILTER (p_size % 5 <> 0)", "count(*)")} FROM part UNION ALL SELECT {_share_sql("count(*) + count(*) FILTER (s_suppkey % 4 <> 0)", "count(*) * 2")} FROM supplier)),
+x AS (SELECT DISTINCT lower(r) AS r FROM ({_NUMBERED})),
+l AS (SELECT count(*) AS said FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE regexp_matches(regexp_replace(line, '[^\x00-\x7f]', '_', 'g'), '{patterns.QUALITY_REQUIREMENT}')),
+complete AS (SELECT 'required_json_field' AS component, {_share_sql("n", str(len(patterns.REQUIRED_KEYS)))} AS value FROM k UNION ALL SELECT 'page_coverage', {_share_sql("kept", "src")} FROM s UNION ALL SELECT 'text_coverage', {_share_sql("kept_chars", "src_chars")} FROM s
+  UNION ALL SELECT 'semantic_chunk_coverage', {_share_sql("chunked", "src")} FROM s UNION ALL SELECT 'record_field_completeness', v FROM f
+  UNION ALL SELECT 'cross_reference_recall', {_share_sql("count(*) FILTER (r IN (SELECT n_nationkey::varchar FROM nation))", "count(*)")} FROM x UNION ALL SELECT 'requirement_recall', {_share_sql("(SELECT count(*) FROM benchmark)", "said")} FROM l)"""
+
+
+@query(f"WITH {_COMPLETE} SELECT component, round(value, 6) AS value FROM complete")
+def extraction_completeness(spark, d):
+    return quality.completeness(*_extracted(spark, d)).select("component", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {_COMPLETE}, scores AS (SELECT 'completeness' AS score, avg(value) AS v FROM complete UNION ALL SELECT 'pages', value FROM complete WHERE component = 'page_coverage'),
+every AS (SELECT * FROM scores UNION ALL SELECT 'overall', avg(v) FROM scores) SELECT score, round(v, 2) AS percentage, CASE WHEN v >= 60 THEN 'pass' ELSE 'fail' END AS status FROM every""")
+def extraction_verdict(spark, d):
+    """The scores' means, their mean, and what passes."""
+    scores = quality.completeness(*_extracted(spark, d))
+    return quality.overall({"completeness": scores, "pages": scores.where("component = 'page_coverage'")}, 60.0)
