@@ -26,8 +26,8 @@ WINDOW, MINIMISER = 35, 6
 #: Buckets in a partition: a bucket is what a task holds in memory at once.
 FINE = 8
 
-_ROW = "bucket int, doc_id long, mark long, mark2 long, first int, last int, packed binary"
-_ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("mark2", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("packed", pa.binary())])
+_ROW = "bucket int, mark long, mark2 long, first int, last int, packed binary"
+_ARROW = pa.schema([("bucket", pa.int32()), ("mark", pa.int64()), ("mark2", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("packed", pa.binary())])
 
 
 def normalised(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +109,6 @@ def _send(buckets: int, k: int, m: int):
             if not len(at):
                 continue
             many, lead = repeated(text, starts, ends, long_runs(h, k)[at], at, k)
-            ids = table.column("doc_id").combine_chunks()
             marks = [table.column(c).combine_chunks() for c in ("mark", "mark2")]
             # What the chunk knows already.
             own = at[many]
@@ -117,7 +116,7 @@ def _send(buckets: int, k: int, m: int):
             doc = words.text[first]
             base = words.firsts[doc]
             if len(doc):
-                yield pa.RecordBatch.from_arrays([pa.array((doc % buckets).astype(np.int32)), ids.take(pa.array(doc)), *(m.take(pa.array(doc)) for m in marks), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.nulls(len(doc), pa.binary())], schema=_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array((doc % buckets).astype(np.int32)), *(m.take(pa.array(doc)) for m in marks), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.nulls(len(doc), pa.binary())], schema=_ARROW)
             # Minimisers: of k - m + 1 hashes, by doubling.
             low, width, span = runs(h, m), 1, k - m + 1
             while 2 * width <= span:
@@ -136,20 +135,17 @@ def _send(buckets: int, k: int, m: int):
             doc = words.text[head]
             left, right = starts[head].tolist(), ends[head + size + k - 2].tolist()
             place = (head - words.firsts[doc]).astype(np.int32)
-            who = ids.take(pa.array(doc))
-            null = who.is_null().to_numpy(zero_copy_only=False)
-            who = who.fill_null(0).to_numpy()
             mark, mark2 = (m.to_numpy()[doc] for m in marks)
             turn = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             rows = []
             for a, b in zip(turn[:-1].tolist(), turn[1:].tolist()):
                 n = b - a
-                fields = (np.int32(n), who[a:b], null[a:b], mark[a:b], mark2[a:b], place[a:b], size[a:b].astype(np.int32), flag[a:b])
+                fields = (np.int32(n), mark[a:b], mark2[a:b], place[a:b], size[a:b].astype(np.int32), flag[a:b])
                 rows.append(pack.compress(b"".join(x.tobytes() for x in fields) + b"\n".join([text[i:j] for i, j in zip(left[a:b], right[a:b])])))
             for a in range(0, len(rows), 512):
                 part = rows[a : a + 512]
                 none, long = pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[turn[:-1]][a : a + 512]), long, long, long, none, none, pa.array(part, pa.binary())], schema=_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[turn[:-1]][a : a + 512]), long, long, none, none, pa.array(part, pa.binary())], schema=_ARROW)
 
     return run
 
@@ -168,14 +164,14 @@ def _count(k: int):
                 raw = unpack.decompress(blob)
                 n, at = int(np.frombuffer(raw, np.int32, 1)[0]), 4
                 row = []
-                for kind in (np.int64, np.bool_, np.int64, np.int64, np.int32, np.int32, np.bool_):
+                for kind in (np.int64, np.int64, np.int32, np.int32, np.bool_):
                     row.append(np.frombuffer(raw, kind, n, at))
                     at += n * np.dtype(kind).itemsize
                 parts.append(row)
                 texts.append(raw[at:])
             if not parts:
                 continue
-            who, null, mark, mark2, place, size, flag = (np.concatenate(x) for x in zip(*parts))
+            mark, mark2, place, size, flag = (np.concatenate(x) for x in zip(*parts))
             text = b"\n".join(texts)
             words = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), _LINES)
             base = np.concatenate([[0], np.cumsum(size + k - 1)])[:-1]  # of each string, its first word
@@ -187,18 +183,18 @@ def _count(k: int):
             if len(begin):
                 r = run_of[ask][begin]
                 move = place[r] - base[r]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), bucket, np.int32)), pa.array(who[r], mask=null[r]), pa.array(mark[r]), pa.array(mark2[r]), pa.array((first + move).astype(np.int32)), pa.array((last + move).astype(np.int32)), pa.nulls(len(r), pa.binary())], schema=_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), bucket, np.int32)), pa.array(mark[r]), pa.array(mark2[r]), pa.array((first + move).astype(np.int32)), pa.array((last + move).astype(np.int32)), pa.nulls(len(r), pa.binary())], schema=_ARROW)
 
     return run
 
 
 def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
-    """docs: doc_id long, mark long, mark2 long, text string. Spans of words (first, last exclusive; they
-    may overlap) of each document that repeated windows cover; the marks come along as given."""
+    """docs: mark long, mark2 long, text string. Spans of words (first, last exclusive; they may overlap) of
+    each document that repeated windows cover; the marks come along as given."""
     n = partitions(docs.sparkSession)
-    sent = docs.select("doc_id", "mark", "mark2", "text").transform(in_arrow, _send(n * FINE, k, m), _ROW)
+    sent = docs.select("mark", "mark2", "text").transform(in_arrow, _send(n * FINE, k, m), _ROW)
     there = sent.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
-    return there.transform(in_arrow, _count(k), _ROW).select("doc_id", "mark", "mark2", "first", "last")
+    return there.transform(in_arrow, _count(k), _ROW).select("mark", "mark2", "first", "last")
 
 
 def _remove(batches):
@@ -236,12 +232,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns beside id and text, whatever their names, are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    # 128 bits tell texts of one id, or of none, apart; rows equal in both have equal spans.
-    base = base.withColumns({"mark": F.xxhash64("text"), "mark2": F.xxhash64(F.lit(1), "text")})
+    # 128 bits of id and text are a row's identity; rows that agree in both have equal spans.
+    base = base.withColumns({"mark": F.xxhash64("text", "doc_id"), "mark2": F.xxhash64(F.lit(1), "text", "doc_id")})
     found = repeated_spans(base, k, m)
-    by_doc = found.groupBy("doc_id", "mark", "mark2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    held = by_doc.select(F.col("doc_id").alias("to_id"), F.col("mark").alias("to_mark"), F.col("mark2").alias("to_mark2"), "spans")
-    joined = base.join(held, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("mark") == F.col("to_mark")) & (F.col("mark2") == F.col("to_mark2")), "left")
+    by_doc = found.groupBy("mark", "mark2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    joined = base.join(by_doc, ["mark", "mark2"], "left")
     none = F.array().cast("array<struct<first:int,last:int>>")
     out = joined.select("doc_id", "text", F.coalesce("spans", none).alias("spans")).transform(in_arrow, _remove, "doc_id long, n_words long, n_removed long, kept_text string")
     return out.withColumnRenamed("doc_id", id_col)
