@@ -186,7 +186,7 @@ def merged_ranges(ranges: DataFrame) -> DataFrame:
 
 def covered_pages(chunks: DataFrame) -> DataFrame:
     """The pages of page_ranges one by one: for ranges that a document can have."""
-    return page_ranges(chunks).select(F.explode(F.sequence("first", "last")).cast("int").alias("page"))
+    return page_ranges(chunks).select(F.explode(F.sequence("first", "last")).alias("page")).select(F.col("page").cast("int").alias("page"))
 
 
 def covered_count(chunks: DataFrame) -> DataFrame:
