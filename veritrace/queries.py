@@ -15,7 +15,7 @@ from .operators import chapters, containment, diff, extraction, linking, lint, m
 from .operators import consensus as agree
 from .plans import coverage, generation
 from .sources import envelopes
-from .sources.shared import fresh_path
+from .sources.shared import fresh_path, spread
 from .streaming import usage_log
 
 QUERIES: dict = {}
@@ -36,6 +36,11 @@ def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _texts(spark, d):
+    """Documents, for work on whole texts."""
+    return spread(_t(spark, d, "documents").select("doc_id", "text"))
+
+
 def _requirements(spark, d):
     return _t(spark, d, "orders").select(F.col("o_orderkey").alias("requirement_id"), F.col("o_orderpriority").alias("category"), "o_orderstatus")
 
@@ -225,7 +230,7 @@ _LINT_SQL = " || ".join(f"CASE WHEN {_whole(t)} THEN '{t},' ELSE '' END" for t i
 
 @query(f"SELECT doc_id, {_LINT_SQL} AS terms FROM documents")
 def term_lint(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.array_join(F.transform(matched_terms(F.col("text"), _LINT), lambda t: F.concat(t, F.lit(","))), "").alias("terms"))
+    return _texts(spark, d).select("doc_id", F.array_join(F.transform(matched_terms(F.col("text"), _LINT), lambda t: F.concat(t, F.lit(","))), "").alias("terms"))
 
 
 def _found_sql(pattern: str) -> str:
@@ -259,7 +264,7 @@ def multiset_f1(spark, d):
 
 
 def _versions(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", "text", "source")
+    docs = spread(_t(spark, d, "documents").select("doc_id", "text", "source"))
     return docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
 
 
@@ -461,7 +466,7 @@ _BEST = "greatest(" + ", ".join(f"s{i}" for i in range(len(patterns.CATEGORY_PRI
 
 @query("WITH s AS (SELECT doc_id, CASE " + " ".join(f"WHEN {h} > 0 THEN '{n}'" for n, h in _HITS.items()) + f" ELSE 'Functional' END AS category, {_SCORES} FROM documents) SELECT doc_id, category, CASE WHEN {_BEST} = 0 THEN 'Functional' " + " ".join(f"WHEN s{i} = {_BEST} THEN '{n}'" for i, n in enumerate(patterns.CATEGORY_PRIORITY)) + " END AS scored FROM s")
 def requirement_categories(spark, d):
-    return _t(spark, d, "documents").select("doc_id", quality.category(F.coalesce("text", F.lit(""))).alias("category"), quality.scored_category(F.coalesce("text", F.lit(""))).alias("scored"))
+    return _texts(spark, d).select("doc_id", quality.category(F.coalesce("text", F.lit(""))).alias("category"), quality.scored_category(F.coalesce("text", F.lit(""))).alias("scored"))
 
 
 #: Text for RE2, whose words are ASCII: other letters as underscores, which are words as well.
@@ -471,7 +476,7 @@ _SAID = " OR ".join(f"regexp_matches({_FLAT}, '{p}')" for p in (patterns.REQUIRE
 
 @query(f"SELECT doc_id, {_FLAT} <> '' AND NOT regexp_matches({_FLAT}, '{patterns.FIGURE_REFERENCE}') AND NOT regexp_matches({_FLAT}, '{patterns.LEAD_IN}') AND ({_SAID}) AS relevant FROM documents")
 def relevance_filter(spark, d):
-    return _t(spark, d, "documents").select("doc_id", extraction.relevant(F.col("text"), True).alias("relevant"))
+    return _texts(spark, d).select("doc_id", extraction.relevant(F.col("text"), True).alias("relevant"))
 
 
 @query("SELECT doc_id, coalesce(list_count(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x, E' \\t\\r\\f\\v'), '(?i)^(NOTE|WARNING|CAUTION|IMPORTANT|ASSUMPTION)([^0-9a-z_]|$)'))), 0)::int AS notes, len(regexp_extract_all(coalesce(text, ''), '(?i)section\\s+\\d+(\\.\\d+)*'))::int AS refs FROM documents")
@@ -519,7 +524,7 @@ _STRONG = ["the", "der", "les"]
 
 @query(f"SELECT doc_id::varchar AS requirement_id, issue_type, words FROM (SELECT doc_id, 'weak_or_optional_language' AS issue_type, {_LINT_SQL} AS words FROM documents WHERE trim(text) <> '' UNION ALL SELECT doc_id, 'missing_strong_requirement_language', '' FROM documents WHERE trim(text) <> '' AND NOT ({' OR '.join(map(_whole, _STRONG))})) WHERE issue_type LIKE 'missing%' OR words <> ''")
 def language_issues(spark, d):
-    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = _texts(spark, d).select(F.col("doc_id").alias("id"), "text")
     out = lint.language_report(rows, _LINT, _STRONG)
     return out.select("requirement_id", "issue_type", F.array_join(F.transform("matched_words", lambda w: F.concat(w, F.lit(","))), "").alias("words"))
 

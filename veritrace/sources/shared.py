@@ -30,3 +30,10 @@ def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder: each use sees the same rows, also after an executor is lost."""
     _prepared(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan whose work is in each row's text, dealt over the cores if it has fewer than half as many splits: a
+    small table may be one file, or one row group of it. A table of more splits is read as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
