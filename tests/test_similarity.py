@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from veritrace.functions import similarity as S
+from veritrace.functions import terms
 from veritrace.operators import diff
 
 
@@ -59,3 +60,24 @@ def test_share_of_pairs_that_never_reach_python(spark):
     both = pairs.join(side(old, "old"), "old_pos").join(side(new, "new"), "new_pos")
     left = both.where(S.ratio_bound(F.col("old_size"), F.col("new_size"), F.col("old_counts"), F.col("new_counts")) >= 0.78).count()
     assert left < 0.5 * len(every), (left, len(every))
+
+
+def test_copies_cost_no_more_pairs_and_change_no_match(spark):
+    """50 copies of each text: only the first few of equal old records can be taken, and are compared."""
+    texts = ["large ring brand one steel", "large ring brand two steel", "small cold bolt brand one", "old blue plate brand two"]
+    rows = [(i, texts[i % 4] + (" new" if i % 8 > 5 else "")) for i in range(400)]
+    df = spark.createDataFrame(rows, "pos long, text string")
+    old, new = df.where("(pos div 4) % 2 = 0"), df.where("(pos div 4) % 2 = 1")
+    some = diff.contenders(old, "text", "pos")
+    assert some.count() == 4 * terms.CANDIDATES
+    taken = lambda a: sorted(map(tuple, diff.one_to_one(diff.scored(diff.candidates(a, new, "text", "pos"), a, new, "text", "pos", 0.78)).collect()))
+    every = taken(old)
+    assert every == taken(some) and len(every) >= terms.CANDIDATES
+
+
+def test_no_table_is_broadcast_by_an_estimate(spark):
+    """A list of tokens explodes to more than Spark's estimate of it says."""
+    df = spark.createDataFrame([(i, f"alpha beta gamma word{i % 7}") for i in range(40)], "pos long, text string")
+    old, new = df.where("pos % 2 = 0"), df.where("pos % 2 = 1")
+    for out in (diff.candidates(old, new, "text", "pos"), diff.one_to_one(diff.similarities(diff.candidates(old, new, "text", "pos"), old, new, "text", "pos", 0.5))):
+        assert "BroadcastExchange" not in out._jdf.queryExecution().sparkPlan().toString() and "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()

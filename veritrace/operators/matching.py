@@ -39,7 +39,7 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
 
 def _least(edges: DataFrame) -> DataFrame:
     """Of each a: (a, b, m), m the least of a and all it is linked to. Aggregated first: no node's links meet in one place."""
-    return edges.join(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "a")
+    return edges.join(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m")).hint("merge"), "a")
 
 
 def _taken(batches):
@@ -84,7 +84,7 @@ def one_to_one(pairs: DataFrame, one_pass: int = ONE_PASS) -> DataFrame:
     while True:
         # Old records are even nodes, new ones odd.
         nodes = components(left.select((F.col("old_pos") * 2).alias("u"), (F.col("new_pos") * 2 + 1).alias("v")), "u", "v")
-        named = left.join(nodes.where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("old_pos"), F.col("component").alias("_component")), "old_pos")
+        named = left.join(nodes.where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("old_pos"), F.col("component").alias("_component")).hint("merge"), "old_pos")
         of = named.groupBy("_component").agg(F.count("*").alias("_pairs"))
         large = settled(of.where(F.col("_pairs") > one_pass).select("_component"))
         small = named.join(large, "_component", "left_anti")
@@ -98,4 +98,4 @@ def one_to_one(pairs: DataFrame, one_pass: int = ONE_PASS) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
-    return pairs.join(out, ["old_pos", "new_pos"]).select(pairs.columns)
+    return pairs.join(out.hint("merge"), ["old_pos", "new_pos"]).select(pairs.columns)

@@ -6,6 +6,9 @@ record's t: only such prefixes are posted and met. c is found per old record fro
 new records of each token's list give a pool, and if so many of the pool as are wanted share c tokens,
 records that share fewer cannot be among the best. The pool holds the best of those that share one token, so
 the most frequent token of a record never has to be met in full.
+
+Joins are by sort and merge: Spark's estimates know nothing of what a list explodes to, nor how far a file is
+compressed, and a table that is broadcast for a low one goes through the driver.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ SPLIT = 4096
 
 def _lists(rows: DataFrame, tokens: Column, known: DataFrame, by: str, *more: str) -> DataFrame:
     """Per list, its tokens that are known, rare ones first: toks array<struct<n, id, at>>."""
-    each = rows.select(by, *more, F.posexplode(tokens).alias("at", "token")).join(known, "token")
+    each = rows.select(by, *more, F.posexplode(tokens).alias("at", "token")).join(known.hint("merge"), "token")
     return each.groupBy(by, *more).agg(F.sort_array(F.collect_list(F.struct("n", "id", "at"))).alias("toks"))
 
 
@@ -39,7 +42,7 @@ def posted(olds: DataFrame, news: DataFrame) -> DataFrame:
     left = left.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     right = news.select("w", F.explode(_prefixes(F.col("toks"), F.lit(2))).alias("t")).select("w", "t.id", "t.n", "t.left")
     right = right.withColumn("part", F.pmod(F.xxhash64("w"), parts).cast("int"))
-    met = left.drop("n").join(right.drop("n"), ["id", "part"]).where(F.col("left") >= F.col("least"))
+    met = left.drop("n").join(right.drop("n").hint("merge"), ["id", "part"]).where(F.col("left") >= F.col("least"))
     return met.select("o", "w").distinct()
 
 
@@ -64,19 +67,19 @@ def most_shared(old: DataFrame, new: DataFrame, old_pos: str, new_pos: str, toke
     # The pool: the first lists of each token.
     at = Window.partitionBy("id").orderBy("first", "w")
     lead = right.select("w", "first", F.explode("toks.id").alias("id")).withColumn("k", F.row_number().over(at)).where(F.col("k") <= best).drop("k")
-    pool = left.select("o", F.explode("toks").alias("t")).select("o", "t.id", "t.at").join(lead, "id").groupBy("o", "w").agg(F.count("*").alias("both"), F.min("at").alias("touched"), F.min("first").alias("first"))
+    pool = left.select("o", F.explode("toks").alias("t")).select("o", "t.id", "t.at").join(lead.hint("merge"), "id").groupBy("o", "w").agg(F.count("*").alias("both"), F.min("at").alias("touched"), F.min("first").alias("first"))
     sure = pool.groupBy("o").agg(F.sort_array(F.collect_list("both"), asc=False).alias("both"), F.slice(F.sort_array(F.collect_list(F.struct("touched", "first", "w"))), 1, 2 * best).alias("early"))
     sure = settled(sure.select("o", F.coalesce(F.get("both", F.lit(best - 1)), F.lit(1)).alias("bound"), "early.w"))
 
     # At most 2 * best of the pool: with best records of two common tokens among them, one token is too little.
     floor = F.ceil(F.col("size") * least_share - 1e-6).cast("int")
-    sought = left.join(sure.select("o", "bound"), "o").withColumn("least", F.greatest(F.lit(2), floor, F.col("bound").cast("int")))
+    sought = left.join(sure.select("o", "bound").hint("merge"), "o").withColumn("least", F.greatest(F.lit(2), floor, F.col("bound").cast("int")))
     pairs = posted(sought.select("o", "toks", "least"), right.select("w", "toks")).union(sure.select("o", F.explode("w").alias("w"))).distinct()
     common = F.filter(F.col("toks"), lambda t: F.array_contains(F.col("ids"), t["id"]))
-    found = pairs.join(left.select("o", "toks"), "o").join(right.select("w", F.col("toks.id").alias("ids")), "w")
+    found = pairs.join(left.select("o", "toks").hint("merge"), "o").join(right.select("w", F.col("toks.id").alias("ids")).hint("merge"), "w")
     found = found.select("o", "w", common.alias("both")).select("o", "w", F.size("both").alias("token_score"), F.array_min("both.at").alias("touched"))
 
-    of_list = b.join(news.select("set", "w"), "set").select("w", "new_pos").withColumn("k", F.row_number().over(Window.partitionBy("w").orderBy("new_pos"))).where(F.col("k") <= best).drop("k")
+    of_list = b.join(news.select("set", "w").hint("merge"), "set").select("w", "new_pos").withColumn("k", F.row_number().over(Window.partitionBy("w").orderBy("new_pos"))).where(F.col("k") <= best).drop("k")
     order = Window.partitionBy("o").orderBy(F.desc("token_score"), "touched", "new_pos")
-    top = found.join(of_list, "w").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
-    return a.join(olds.select("set", "o"), "set").join(top, "o").select("old_pos", "new_pos", "token_score", "rank")
+    top = found.join(of_list.hint("merge"), "w").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+    return a.join(olds.select("set", "o").hint("merge"), "set").join(top.hint("merge"), "o").select("old_pos", "new_pos", "token_score", "rank")

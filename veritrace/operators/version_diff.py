@@ -77,8 +77,9 @@ def matched(old: DataFrame, new: DataFrame, limit: float) -> tuple[DataFrame, Da
     exact = settled(diff.exact_pairs(full(old), full(new), "hash", "pos", hashed=True).select("old_pos", "new_pos"))
     rest = lambda df, p: full(df).join(exact.select(F.col(p).alias("pos")), "pos", "left_anti")
     a, b = rest(old, "old_pos"), rest(new, "new_pos")
-    pairs = diff.scored(diff.candidates(a, b, "content", "pos", tokens="tokens"), a, b, "content", "pos", limit, of="normalized", tokens="tokens", length="length")
-    return exact, diff.one_to_one(pairs).select("old_pos", "new_pos", "similarity")
+    a = settled(diff.contenders(a, "content", "pos", of="normalized", length="length"))
+    pairs = diff.similarities(diff.candidates(a, b, "content", "pos", tokens="tokens"), a, b, "content", "pos", limit, of="normalized", tokens="tokens", length="length")
+    return exact, diff.one_to_one(settled(pairs)).select("old_pos", "new_pos", "similarity")
 
 
 def table_difference(old: DataFrame, new: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from .operators import chapters, containment, diff, extraction, linking, lint, m
 from .operators import consensus as agree
 from .plans import coverage, generation
 from .sources import envelopes
-from .sources.shared import fresh_path, spread
+from .sources.shared import fresh_path, settled, spread
 from .streaming import usage_log
 
 QUERIES: dict = {}
@@ -293,8 +293,9 @@ def similar_changes(spark, d):
     """Similar pairs of two versions' part descriptions, matched one to one, with the kind of change."""
     rows = _t(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type", F.lit("size"), "p_size").alias("text"))
     old, new = rows.where("p_partkey % 2 = 0"), rows.where("p_partkey % 2 = 1")
-    pairs = diff.scored(diff.candidates(old, new, "text", "p_partkey"), old, new, "text", "p_partkey", terms.MATCH_LIMITS["requirement"])
-    out = diff.one_to_one(pairs)
+    some = settled(diff.contenders(old, "text", "p_partkey"))
+    pairs = diff.similarities(diff.candidates(some, new, "text", "p_partkey"), some, new, "text", "p_partkey", terms.MATCH_LIMITS["requirement"])
+    out = diff.with_texts(diff.one_to_one(settled(pairs)), some, new, "text", "p_partkey")
     return out.withColumn("change", diff.wording_class("old_text", "new_text")).select("old_pos", "new_pos", "similarity", "change")
 
 
