@@ -81,3 +81,9 @@ def test_no_table_is_broadcast_by_an_estimate(spark):
     old, new = df.where("pos % 2 = 0"), df.where("pos % 2 = 1")
     for out in (diff.candidates(old, new, "text", "pos"), diff.one_to_one(diff.similarities(diff.candidates(old, new, "text", "pos"), old, new, "text", "pos", 0.5))):
         assert "BroadcastExchange" not in out._jdf.queryExecution().sparkPlan().toString() and "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_a_filter_does_not_score_pairs_again(spark):
+    df = spark.createDataFrame([("abcd", "abce"), ("abcd", "zzzz")], "a string, b string")
+    out = df.withColumn("s", S.similarity_from(0.5)(F.col("a"), F.col("b"))).where("s is not null")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1 and [r.s for r in out.collect()] == [0.75]

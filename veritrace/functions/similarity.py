@@ -101,7 +101,7 @@ def similarity_from(limit: float):
             out[k] = _at_least(old[k], held, limit, matcher)
         return pd.Series(out, dtype="float64")
 
-    return score
+    return score.asNondeterministic()  # else a filter on the score works it out a second time, before rows are dealt
 
 
 _TECHNICAL = re.compile(TECHNICAL_TOKEN)
