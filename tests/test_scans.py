@@ -87,3 +87,14 @@ def test_page_ranges(spark):
     got = [tuple(r) for r in quality.merged_ranges(spark.createDataFrame(many, "first long, last long")).orderBy("first").collect()]
     assert {p for a, b in got for p in range(a, b + 1)} == {p for a, b in many for p in range(a, b + 1)}
     assert all(b + 1 < c for (_, b), (c, _) in zip(got, got[1:]))
+
+
+def test_only_anchors_that_are_asked_for_leave_their_task(spark, monkeypatch):
+    """The source's anchors are a tenth of its places; a few texts ask for a few of them."""
+    sizes, whole = [], containment.settled
+    monkeypatch.setattr(containment, "settled", lambda df: (sizes.append((df.columns, (out := whole(df)).count())), out)[1])
+    pages = spark.createDataFrame([(i, " ".join(f"w{(i * 7919 + j * 104729) % 99991}" for j in range(400))) for i in range(60)], "page int, t string")
+    text = pages.where("page = 30").first().t[100:400]
+    got = containment.contained(pages, spark.createDataFrame([(text,), ("nowhere to be found in any of the pages",)], "n string")).collect()
+    assert [r.n for r in got] == [text]
+    assert [n for c, n in sizes if c == ["k", "at", "h"]][0] < 200

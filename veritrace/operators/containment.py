@@ -67,8 +67,33 @@ def _of_texts(batches):
         yield from _rows(ids, kinds, (anchors(t, *kind) for t, kind in zip(texts, kinds)))
 
 
-def _of_blocks(kinds: list[tuple[int, int]]):
+#: Bits of the set of hashes asked for that goes to all tasks: a fixed size, whatever the number of texts.
+FILTER_BITS = 1 << 22
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(17)) % np.uint64(FILTER_BITS)
+
+
+def _asked_filter(asked: DataFrame):
+    """A broadcast of FILTER_BITS: which slots hold a hash that some text asks for."""
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_slots(batch.column(0).to_numpy().view(np.uint64))] = True
+        for i in np.unique(np.flatnonzero(bits) >> 19).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(bits[i << 19 : (i + 1) << 19]).tobytes()], pa.binary())], names=["i", "bits"])
+
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in asked.select("h").distinct().mapInArrow(run, "i int, bits binary").toLocalIterator():
+        bits[r.i << 16 : (r.i + 1) << 16] |= np.frombuffer(r.bits, np.uint8)
+    return asked.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def _of_blocks(kinds: list[tuple[int, int]], held):
     def run(batches):
+        wanted = np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool)
         for batch in batches:
             for i, t in zip(batch.column("block").to_pylist(), batch.column("s").to_pylist()):
                 for kind in kinds:
@@ -76,6 +101,8 @@ def _of_blocks(kinds: list[tuple[int, int]]):
                     if kind[1] == 1:  # the text is its hash's characters: one place of each is enough
                         h, first = np.unique(h, return_index=True)
                         at = at[first]
+                    own = wanted[_slots(h)]
+                    at, h = at[own], h[own]
                     yield from _rows([i], [kind], [(at + i * BLOCK, h)])
 
     return run
@@ -83,7 +110,8 @@ def _of_blocks(kinds: list[tuple[int, int]]):
 
 def blocks(pages: DataFrame, text: str, order: list[str]) -> DataFrame:
     """(block, s): the pages' texts in order, joined by a space, without empty ones; s reaches into the next block."""
-    rows = pages.where(F.col(text) != "").withColumns({"_all": F.lit(0), "_size": (F.length(text) + 1).cast("long")})
+    # Settled first: each pass below, and each filter, would work the texts out again.
+    rows = settled(pages.select(*order, text)).where(F.col(text) != "").withColumns({"_all": F.lit(0), "_size": (F.length(text) + 1).cast("long")})
     # Texts come along, so that few of them are one task's: the rest goes by ranges.
     placed = scanned(rows, summing(F.col("_size")), ["_all"], order, "_end", hot_rows=FEW_PAGES).withColumn("_start", F.col("_end") - F.col("_size"))
     first = F.greatest(F.floor((F.col("_start") - OVERLAP) / BLOCK), F.lit(0))
@@ -101,8 +129,9 @@ def contained(pages: DataFrame, texts: DataFrame, text: str = "t", order: list[s
     lengths = need.select(F.when(F.length("n") < SHORT, F.length("n")).otherwise(F.when(F.length("n") < TIERS[0][0], SHORT).otherwise(TIERS[0][0])).alias("l")).distinct()
     kinds = sorted({_kind(r.l) for r in lengths.collect()})  # nine at most
     source = settled(blocks(pages, text, order or ["page"]))
-    there = settled(source.mapInArrow(_of_blocks(kinds), "id long, k int, at long, h long").drop("id"))
-    asked = need.mapInArrow(_of_texts, "id long, k int, at long, h long").withColumnRenamed("at", "within")
+    asked = settled(need.mapInArrow(_of_texts, "id long, k int, at long, h long").withColumnRenamed("at", "within"))
+    # Of the source's anchors only those that a text may ask for leave their task; the joins below are exact.
+    there = settled(source.mapInArrow(_of_blocks(kinds, _asked_filter(asked)), "id long, k int, at long, h long").drop("id"))
     often = there.groupBy("k", "h").agg(F.count("*").alias("n"))
     # The rarest anchor of each text; one that the source lacks shows that the text is not there.
     rarest = asked.join(often, ["k", "h"], "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k", "h", "within")).alias("a")).where("a.n > 0").select("id", "a.k", "a.h", "a.within")
