@@ -121,3 +121,11 @@ def test_report_counts_each_table_once(spark):
     assert tuple(coverage.both_sides(specs.limit(0), plan.limit(0)).first()) == (0, 0, 0, 0, 0)
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("LogicalRDD") + text.count("Scan") + text.count("LocalRelation") <= 2
+
+
+def test_named_values_are_taken_without_a_step_per_token(spark):
+    texts = [r'{"x": "\"id\": \"REQ_no\"", "id" : "REQ_1", "d": [{"id": {"id": -2.5e3}}, {"id": null}, {"id": ["id", {"id": true}]}]}', '{"a.b": 1, "aXb": 2, "id": ""}', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = df.select("i", json_walk.named(F.col("t"), "id").alias("v"), json_walk.named(F.col("t"), "a.b").alias("w"))
+    assert [(r.v, r.w) for r in out.orderBy("i").collect()] == [(["REQ_1", "-2.5e3", "true"], []), ([""], ["1"]), (None, None)]
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -6,12 +6,13 @@ in order, a value is the token after its name, whatever is nested around it. No
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .phrases import let
-
-_TOKEN = r'"(?:[^"\\]++|\\.)*+"(?:\s*+:)?|[{\[]|-?[0-9][0-9.eE+-]*+|true|false|null'
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_TOKEN = _STRING + r'(?:\s*+:)?|[{\[]|-?[0-9][0-9.eE+-]*+|true|false|null'
 
 
 def _plain(token: Column) -> Column:
@@ -33,10 +34,7 @@ def leaves(json: Column) -> Column:
 def named(json: Column, name: str) -> Column:
     """The scalar values that stand under a name, at any depth: array<string>. A name whose value is an object or
     array has none of its own."""
-    said = '"' + name.replace("\\", "\\\\").replace('"', '\\"') + '"'
-
-    def of(tokens: Column) -> Column:
-        after = F.transform(tokens, lambda x, i: F.when((i > 0) & F.get(tokens, i - 1).endswith(":") & (F.regexp_replace(F.get(tokens, i - 1), r"\s*:$", "") == said) & _scalar(x) & (x != "null"), _plain(x)))
-        return F.array_compact(after)
-
-    return let(F.regexp_extract_all(json, F.lit(_TOKEN), F.lit(0)), of)
+    said = re.escape('"' + name.replace("\\", "\\\\").replace('"', '\\"') + '"')
+    # Strings are passed over as wholes, so that the name is met as one only; what follows it is all that is kept.
+    one = rf'{said}\s*+:\s*+({_STRING}|-?[0-9][0-9.eE+-]*+|true|false)|{_STRING}'
+    return F.transform(F.filter(F.regexp_extract_all(json, F.lit(one), F.lit(1)), lambda x: x != ""), _plain)

@@ -619,7 +619,7 @@ def nested_record_ids(spark, d):
     lines = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))
     orders = _t(spark, d, "orders").join(lines, "o_orderkey", "left")
     doc = F.struct(F.concat(F.lit("REQ_O"), F.col("o_orderkey").cast("string")).alias("id"), "lines")
-    return envelopes.nested_ids(orders.select(F.col("o_orderkey").cast("string").alias("path"), F.parse_json(F.to_json(doc)).alias("doc")))
+    return envelopes.nested_ids(orders.select(F.col("o_orderkey").cast("string").alias("path"), F.to_variant_object(doc).alias("doc")))
 
 
 _FIRST_LINE = r"trim(split_part(coalesce(text, ''), chr(10), 1), ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
