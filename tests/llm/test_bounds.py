@@ -87,3 +87,27 @@ def test_html_of_great_depth():
     html_extract.main_text("<x>" * 50_000 + "<p>hello there, you.</p></q>" * 20_000)
     html_extract.main_text("".join(f"<div class=a{i}>word, word. " for i in range(50_000)))
     assert time.time() - began < 20
+
+
+def test_language_network_works_in_place():
+    """Bytes are looked up step by step: as the layers by themselves give it, in a fraction of the memory."""
+    import tracemalloc
+
+    import numpy as np
+
+    from veritrace.llm.language_id import Network
+
+    rng = np.random.default_rng(4)
+    network = Network(["a", "b", "c"])
+    x, length = rng.integers(0, 256, (128, 1024)).astype(np.uint8), rng.integers(1, 129, 1024)
+    masks = [None, (np.arange(128)[:, None] < length).astype(np.float32)[..., None]]
+    for mask in masks:
+        ahead = network.ahead.forward(x, mask)
+        back = network.back.forward(x[::-1], None if mask is None else mask[::-1])[::-1]
+        want = Network._softmax(np.concatenate([ahead, back], 2) @ network.out + network.bias)
+        assert np.abs(network.probabilities(x, mask) - np.moveaxis(want, 2, 0)).max() < 1e-5
+    tracemalloc.start()
+    network.probabilities(x, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20

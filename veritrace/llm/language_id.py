@@ -120,18 +120,49 @@ class Network:
         return logits
 
     def probabilities(self, bytes_: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
-        """(languages, positions, segments)."""
-        h = self.ahead.h
-        ahead = self.ahead.forward(bytes_, mask)
-        back = self.back.forward(bytes_[::-1], None if mask is None else mask[::-1])[::-1]
-        logits = ahead.reshape(-1, h) @ self.out[:h]
-        logits += (back @ self.out[h:]).reshape(logits.shape)
+        """(languages, positions, segments). Each step looks its bytes up and works in place, so that what it
+        touches stays in the processor's cache; only the logits of all positions are kept."""
+        h, (t, b) = self.ahead.h, bytes_.shape
+        logits = np.empty((t, b, len(self.languages)), np.float32)
+        x, z, r, n, below = (np.empty((b, h), np.float32) for _ in range(5))
+        share = np.empty(logits.shape[1:], np.float32)
+
+        def squash_into(y):
+            np.abs(y, out=below)
+            np.add(below, 1, out=below)
+            np.divide(y, below, out=y)
+
+        for gru, out, steps in ((self.ahead, self.out[:h], range(t)), (self.back, self.out[h:], range(t - 1, -1, -1))):
+            (xz, xr, xn), (uz, ur, un) = gru.x, gru.u
+            state = np.zeros((b, h), np.float32)
+            for i in steps:
+                at = bytes_[i].astype(np.intp)
+                for gate, table, u in ((z, xz, uz), (r, xr, ur)):
+                    np.matmul(state, u, out=gate)
+                    gate += np.take(table, at, axis=0, out=x, mode="clip")  # bytes are all in range
+                    squash_into(gate)
+                    gate += 1
+                    gate *= 0.5
+                np.matmul(state, un, out=n)
+                n *= r
+                n += np.take(xn, at, axis=0, out=x, mode="clip")
+                squash_into(n)
+                state -= n
+                state *= z
+                state += n
+                if mask is not None:
+                    state *= mask[i]
+                if gru is self.ahead:
+                    np.matmul(state, out, out=logits[i])
+                else:
+                    np.matmul(state, out, out=share)
+                    logits[i] += share
         logits += self.bias
-        p = np.ascontiguousarray(logits.T)
+        p = np.ascontiguousarray(logits.reshape(t * b, -1).T)
         p -= p.max(0)
         np.exp(p, out=p)
         p /= p.sum(0)
-        return p.reshape(-1, *bytes_.shape)
+        return p.reshape(-1, t, b)
 
     def train(self, bytes_: np.ndarray, mask: np.ndarray, labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 2) -> None:
         """bytes_, mask: (segments, positions); labels: (segments,). Adam; the rate falls to 0."""
