@@ -68,6 +68,18 @@ def test_a_token_of_all_records_is_not_paired_in_full(spark, monkeypatch):
     assert seen[-1].count() <= 3 * n  # of n * n
 
 
+def test_tokens_of_all_records_beside_names_of_their_own(spark, monkeypatch):
+    """Lists that are equal from a token on are posted under it a few times, not each."""
+    n, seen = 600, []
+    real = token_join.posted
+    monkeypatch.setattr(token_join, "posted", lambda a, b: seen.append(real(a, b)) or seen[-1])
+    old = [(i, ["all", "also", f"a{i}", *([f"u{i % 50}"] if i % 3 else []), "units"]) for i in range(n)]
+    new = [(i, ["units", "also", f"u{i % 40}", "all", f"a{i + n // 2}"]) for i in range(n)]
+    got = token_join.most_shared(*frames(spark, old, new), "pos", "pos", "tokens", 5)
+    assert {tuple(r) for r in got.collect()} == brute(old, new, 5)
+    assert seen[-1].count() <= 12 * n  # of n * n
+
+
 def greedy(pairs):
     old, new, out = set(), set(), set()
     for s, a, k, b in sorted((-s, a, k, b) for a, b, s, k in pairs):

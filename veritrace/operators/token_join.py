@@ -7,6 +7,10 @@ new records of each token's list give a pool, and if so many of the pool as are
 records that share fewer cannot be among the best. The pool holds the best of those that share one token, so
 the most frequent token of a record never has to be met in full.
 
+Two records whose rarest common token is t share tokens from t on only. So of new records whose lists are equal from t
+on, the first are at least as good as all others for every old record that meets them at t: only they are posted under
+t. Tokens that nearly all records have are followed by few different rests, so their lists stay short.
+
 Joins are by sort and merge: Spark's estimates know nothing of what a list explodes to, nor how far a file is
 compressed, and a table that is broadcast for a low one goes through the driver.
 """
@@ -18,31 +22,40 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import settled
 
-#: New records with one token that a task pairs with an old record's prefix; longer lists are dealt over parts.
+#: New records posted under one token that a task pairs with an old record's prefix; longer lists are dealt over parts.
 SPLIT = 4096
 
 
 def _lists(rows: DataFrame, tokens: Column, known: DataFrame, by: str, *more: str) -> DataFrame:
-    """Per list, its tokens that are known, rare ones first: toks array<struct<n, id, at>>."""
+    """Per list, its tokens that are known, rare ones first: toks array<struct<n, id, at, what else is known>>."""
     each = rows.select(by, *more, F.posexplode(tokens).alias("at", "token")).join(known.hint("merge"), "token")
-    return each.groupBy(by, *more).agg(F.sort_array(F.collect_list(F.struct("n", "id", "at"))).alias("toks"))
+    token = F.struct("n", "id", "at", *[c for c in known.columns if c not in ("n", "id", "token")])
+    return each.groupBy(by, *more).agg(F.sort_array(F.collect_list(token)).alias("toks"))
+
+
+def _prefix(toks: Column, least: Column) -> Column:
+    """Tokens of a list that a pair with `least` common ones must meet at."""
+    return F.slice(toks, 1, F.greatest(F.size(toks) - least + 1, F.lit(0)))
 
 
-def _prefixes(toks: Column, least: Column) -> Column:
-    """Tokens of a list that a pair with `least` common ones must meet at, with how many stand from there on."""
-    kept = F.slice(toks, 1, F.greatest(F.size(toks) - least + 1, F.lit(0)))
-    return F.transform(kept, lambda t, i: F.struct(t["id"].alias("id"), t["n"].alias("n"), (F.size(toks) - i).alias("left")))
+def leading(news: DataFrame, best: int) -> DataFrame:
+    """news: (w, first, toks). Under which tokens a list is posted, with how many tokens stand from there on: (w, id,
+    left). Of lists that are equal from a token on, the first `best`; a pair must share two tokens."""
+    ids = F.col("toks.id").cast("array<string>")
+    rest = lambda i: F.unhex(F.sha2(F.array_join(F.slice(ids, i + 1, F.size(ids)), ","), 256))
+    each = F.transform(_prefix(F.col("toks"), F.lit(2)), lambda t, i: F.struct(t["id"].alias("id"), (F.size(ids) - i).alias("left"), rest(i).alias("rest")))
+    at = Window.partitionBy("rest").orderBy("first", "w")
+    return news.select("w", "first", F.explode(each).alias("t")).select("w", "first", "t.*").withColumn("k", F.row_number().over(at)).where(F.col("k") <= best).select("w", "id", "left")
 
 
 def posted(olds: DataFrame, news: DataFrame) -> DataFrame:
-    """olds: (o, toks, least), news: (w, toks). The pairs (o, w) whose prefixes meet with enough tokens left on
-    both sides. A long list is dealt over parts, so no task pairs a whole one."""
-    parts = F.greatest(F.ceil(F.col("n") / SPLIT), F.lit(1)).cast("int")
-    left = olds.select("o", "least", F.explode(_prefixes(F.col("toks"), F.col("least"))).alias("t")).select("o", "least", "t.id", "t.n")
+    """olds: (o, toks, least), news: (w, id, left, m), m being how many are posted under a token. The pairs (o, w)
+    that meet with enough tokens left on both sides. A long list is dealt over parts, so no task pairs a whole one."""
+    parts = F.greatest(F.ceil(F.col("m") / SPLIT), F.lit(1)).cast("int")
+    left = olds.select("o", "least", F.explode(_prefix(F.col("toks"), F.col("least"))).alias("t")).select("o", "least", "t.id", "t.m").where("m is not null")
     left = left.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    right = news.select("w", F.explode(_prefixes(F.col("toks"), F.lit(2))).alias("t")).select("w", "t.id", "t.n", "t.left")
-    right = right.withColumn("part", F.pmod(F.xxhash64("w"), parts).cast("int"))
-    met = left.drop("n").join(right.drop("n").hint("merge"), ["id", "part"]).where(F.col("left") >= F.col("least"))
+    right = news.withColumn("part", F.pmod(F.xxhash64("w"), parts).cast("int"))
+    met = left.drop("m").join(right.drop("m").hint("merge"), ["id", "part"]).where(F.col("left") >= F.col("least"))
     return met.select("o", "w").distinct()
 
 
@@ -61,8 +74,10 @@ def most_shared(old: DataFrame, new: DataFrame, old_pos: str, new_pos: str, toke
     lists = lambda df, name: df.groupBy("set").agg(F.min(df.columns[0]).alias("first")).withColumn(name, F.monotonically_increasing_id())
     olds, news = settled(lists(a, "o")), settled(lists(b, "w"))
     known = settled(news.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    left = settled(_lists(olds.withColumn("size", F.size("set")), F.col("set"), known, "o", "size"))
     right = settled(_lists(news, F.col("set"), known, "w", "first"))
+    leads = settled(leading(right, best))
+    many = settled(leads.groupBy("id").agg(F.count("*").alias("m")))
+    left = settled(_lists(olds.withColumn("size", F.size("set")), F.col("set"), known.join(many.hint("merge"), "id", "left"), "o", "size"))
 
     # The pool: the first lists of each token.
     at = Window.partitionBy("id").orderBy("first", "w")
@@ -71,10 +86,10 @@ def most_shared(old: DataFrame, new: DataFrame, old_pos: str, new_pos: str, toke
     sure = pool.groupBy("o").agg(F.sort_array(F.collect_list("both"), asc=False).alias("both"), F.slice(F.sort_array(F.collect_list(F.struct("touched", "first", "w"))), 1, 2 * best).alias("early"))
     sure = settled(sure.select("o", F.coalesce(F.get("both", F.lit(best - 1)), F.lit(1)).alias("bound"), "early.w"))
 
-    # At most 2 * best of the pool: with best records of two common tokens among them, one token is too little.
+    # Of the pool only where one common token may be enough, then at most 2 * best: all others are posted.
     floor = F.ceil(F.col("size") * least_share - 1e-6).cast("int")
     sought = left.join(sure.select("o", "bound").hint("merge"), "o").withColumn("least", F.greatest(F.lit(2), floor, F.col("bound").cast("int")))
-    pairs = posted(sought.select("o", "toks", "least"), right.select("w", "toks")).union(sure.select("o", F.explode("w").alias("w"))).distinct()
+    pairs = posted(sought.select("o", "toks", "least"), leads.join(many.hint("merge"), "id")).union(sure.where("bound < 2").select("o", F.explode("w").alias("w"))).distinct()
     common = F.filter(F.col("toks"), lambda t: F.array_contains(F.col("ids"), t["id"]))
     found = pairs.join(left.select("o", "toks").hint("merge"), "o").join(right.select("w", F.col("toks.id").alias("ids")).hint("merge"), "w")
     found = found.select("o", "w", common.alias("both")).select("o", "w", F.size("both").alias("token_score"), F.array_min("both.at").alias("touched"))
